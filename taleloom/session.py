@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a plain scan the bytes of its files. No job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
