@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import encode, mixing, packing
+from taleloom.llm import encode, mixing, near, overlap, packing
 from taleloom.session import read_table
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.record_pairs(read_table(spark, sf_dir, "documents"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train records that hold at least half of an evaluation record."""
+    pairs = _overlaps(spark, sf_dir)
+    return pairs.select(
+        F.least("eval_id", "train_id").alias("doc_id_a"), F.greatest("eval_id", "train_id").alias("doc_id_b")
+    ).distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    return overlap.report(_overlaps(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose sets of 3-word sequences agree to 0.7."""
+    return near.record_pairs(read_table(spark, sf_dir, "documents"), size=3, threshold=0.7)
+
+
 def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     shards = read_table(spark, sf_dir, "shards")
     return mixing.mix_rates(read_table(spark, sf_dir, "mix_targets"), shards, read_table(spark, sf_dir, "loop_iterations")), shards
@@ -80,10 +102,13 @@ _PLAN = f"""
 """
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_plan": p3_plan,
     "p3_copies": p3_copies,
     "p3_shares": p3_shares,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_assignments": p7_assignments,
     "p7_usage": p7_usage,
