@@ -159,7 +159,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at = np.arange(w.sum()) + np.repeat(low[part] - (np.cumsum(w) - w), w)
             pairs = np.unique(np.stack([side[1][at], np.repeat(rep[part], w)], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64)
+            pairs = pairs.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["e", "t"])
 
 
@@ -187,7 +187,7 @@ def _sets(column: pa.Array, depth: int) -> list[np.ndarray]:
 def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
     """``(e, t)``: representatives of texts of which the first, in an evaluation split, is covered by the second in train.
 
-    A text that stands in both is paired with itself.
+    A text that stands in both meets its own suffixes and is paired with itself.
     """
     rows = documents.select("doc_id", "text", split_name().alias("side"))
     wanted = rows.where("side <> ''")
@@ -212,23 +212,11 @@ def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THR
 
     ids = candidates.select(F.explode(F.array("e", "t")).alias("rep")).distinct()
     found = copies.pick(documents, ids)
-    checked = (
+    return (
         candidates.join(found.select(F.col("rep").alias("e"), F.col("text").alias("text_e")), "e")
         .join(found.select(F.col("rep").alias("t"), F.col("text").alias("text_t")), "t")
         .mapInArrow(_covered(depth, threshold), "e bigint, t bigint")
     )
-    both = texts.where("trains and evaluates").select("rep", "text").mapInArrow(_long_enough(depth), "e bigint, t bigint")
-    return checked.unionByName(both)
-
-
-def _long_enough(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, _, _ = sequences(batch["text"].to_pylist(), depth)
-            rep = batch["rep"].take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([rep, rep], ["e", "t"])
-
-    return run
 
 
 def record_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
