@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import encode, mixing, near, overlap, packing
-from taleloom.session import read_table
+from taleloom.llm import encode, mixing, near, overlap, packing, quality, residue
+from taleloom.session import cut, read_table
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,42 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(rates, mixing.emit(rates, shards))
 
 
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part no running text."""
+    strict = read_table(spark, sf_dir, "quality_filters").where("filter_name = 'strict'").select("min_words").first()
+    scored = quality.outlier_scores(cut(_statistics(spark, sf_dir)))
+    return quality.not_running(scored, strict[0] if strict else 20).select("doc_id").distinct()
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document against every named setting."""
+    return quality.against_filters(_statistics(spark, sf_dir), read_table(spark, sf_dir, "quality_filters"))
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outlier score of every document."""
+    scored = quality.outlier_scores(cut(_statistics(spark, sf_dir)))
+    return scored.select("doc_id", "language", "words", F.round("score", 6).alias("score"))
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, error messages or script notices."""
+    return _residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases per reason."""
+    return _residue(spark, sf_dir).groupBy("reason").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each document's text."""
     return encode.encode_corpus(read_table(spark, sf_dir, "documents"))
@@ -109,9 +145,14 @@ QUERIES = {
     "p3_copies": p3_copies,
     "p3_shares": p3_shares,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_statistics": p5_statistics,
+    "p5_scores": p5_scores,
     "p6_ids": p6_ids,
     "p7_assignments": p7_assignments,
     "p7_usage": p7_usage,
+    "p8_found": p8_found,
+    "p8_reasons": p8_reasons,
 }
 
 SQL = {
