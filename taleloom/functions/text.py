@@ -8,10 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that separate words, and those that separate lines.
-BLANKS = r"\u0009-\u000d\u001c- \u0085   -     　"
-LINE_BREAK = r"\r\n|[\u000a-\u000d\u001c-\u001e\u0085  ]"
-CONTROL = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f]"
+#: The code points that separate words, those that separate lines, and control characters.
+_BLANK = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_BREAK = ((0x0A, 0x0D), (0x1C, 0x1E), (0x85, 0x85), (0x2028, 0x2029))
+_CONTROL = ((0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x9F))
+
+
+def _ranges(points: tuple[tuple[int, int], ...]) -> str:
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in points)
+
+
+BLANKS = _ranges(_BLANK)
+LINE_BREAK = rf"\r\n|[{_ranges(_BREAK)}]"
+CONTROL = f"[{_ranges(_CONTROL)}]"
 #: Fixed value: the separator token of the corpora.
 SEPARATOR = "<|endoftext|>"
 
