@@ -73,15 +73,17 @@ GRID = {
     "temperature": [0.9, 1.0, 1.1],
     "top_k": [None],
     "lr": [1e-3, 3e-3],
-    "steps": [300],
+    "steps": [300.0],
 }
-TYPES = {"synthetic_fraction": "double", "temperature": "double", "top_k": "int", "lr": "double", "steps": "int"}
+TYPES = {"synthetic_fraction": "double", "temperature": "double", "top_k": "int", "lr": "double", "steps": "double"}
 
 
 def search_grid(spark: SparkSession, grid: dict[str, list] = GRID, min_real_fraction: float = 0.25) -> DataFrame:
-    """Every point of the grid that keeps the least share of real data: a product of short option lists."""
-    frames = [spark.createDataFrame([(v,) for v in options], f"{name} {TYPES[name]}") for name, options in grid.items()]
-    points = reduce(DataFrame.crossJoin, frames).withColumn("real_fraction", 1 - F.col("synthetic_fraction"))
+    """Every point of the grid that keeps the least share of real data; the short option lists are exploded one after the other."""
+    points = spark.range(1).drop("id")
+    for name, options in grid.items():
+        points = points.withColumn(name, F.explode(F.array(*[F.lit(o).cast(TYPES[name]) for o in options])))
+    points = points.withColumn("real_fraction", 1 - F.col("synthetic_fraction"))
     return points.where(F.col("real_fraction") >= min_real_fraction)
 
 
