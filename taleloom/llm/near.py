@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from taleloom.llm import copies, postings
 from taleloom.llm.overlap import _gather, _sets
 from taleloom.llm.words import mix, sequences
+from taleloom.operators.components import components
 from taleloom.session import cut
 
 BASE = 1.05
@@ -225,3 +226,24 @@ def record_pairs(documents: DataFrame, size: int, threshold: float) -> DataFrame
         .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
         .distinct()
     )
+
+
+def groups(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(doc_id, class_id, links)`` of every document that has a near-duplicate.
+
+    ``class_id`` is the smallest document of the connected group; ``links`` counts the documents that
+    reach the threshold with this one, copies included. Copies are not expanded into pairs.
+    """
+    pairs = cut(class_pairs(documents, size, threshold).select("a", "b"))
+    everyone = cut(copies.members(documents))
+    sizes = everyone.groupBy("rep").agg(F.count(F.lit(1)).alias("members"))
+    other = pairs.where("a <> b")
+    both = other.unionByName(other.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("members").alias("others"))
+    found = components(other).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    per_class = (
+        reps.join(sizes, "rep").join(linked, "rep", "left").join(found, "rep", "left")
+        .select("rep", F.coalesce("class_id", "rep").alias("class_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    )
+    return everyone.join(per_class, "rep").select("doc_id", "class_id", "links")

@@ -222,7 +222,9 @@ def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THR
 def record_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
     """``(eval_id, train_id, eval_split, eval_source, train_source)`` of every overlapping pair of records."""
     pairs = class_pairs(documents, depth, threshold)
-    everyone = copies.members(documents, split_name().alias("side"), F.col("source")).where("side <> ''")
+    # The same rows as in class_pairs, so that a class has the same representative.
+    sided = documents.select("doc_id", "text", "source", split_name().alias("side")).where("side <> ''")
+    everyone = copies.members(sided, F.col("side"), F.col("source"))
     evals = everyone.where("side <> 'train'").select(
         F.col("rep").alias("e"), F.col("doc_id").alias("eval_id"), F.col("side").alias("eval_split"), F.col("source").alias("eval_source")
     )

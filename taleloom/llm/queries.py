@@ -31,6 +31,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.record_pairs(read_table(spark, sf_dir, "documents"), size=3, threshold=0.7)
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group and the number of links of every document with a near-duplicate."""
+    return near.groups(read_table(spark, sf_dir, "documents"), size=3, threshold=0.7)
+
+
 def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     shards = read_table(spark, sf_dir, "shards")
     return mixing.mix_rates(read_table(spark, sf_dir, "mix_targets"), shards, read_table(spark, sf_dir, "loop_iterations")), shards
@@ -145,6 +150,7 @@ QUERIES = {
     "p3_copies": p3_copies,
     "p3_shares": p3_shares,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
     "p5_scores": p5_scores,
