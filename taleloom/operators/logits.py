@@ -15,11 +15,14 @@ def _add(s: Column, v: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    """Shifted by the maximum, so large logits do not overflow."""
+    """Shifted by the maximum, so large logits do not overflow.
+
+    Scalars enter as repeated arrays: inside a lambda they would be computed for every element.
+    """
     wide = F.transform(logits, lambda x: x.cast("double"))
-    top = F.array_max(wide)
-    norm = F.ln(F.aggregate(F.transform(wide, lambda x: F.exp(x - top)), F.lit(0.0), _add))
-    return F.transform(wide, lambda x: x - top - norm)
+    shifted = F.zip_with(wide, F.array_repeat(F.array_max(wide), F.size(logits)), lambda x, top: x - top)
+    norm = F.ln(F.aggregate(F.transform(shifted, F.exp), F.lit(0.0), _add))
+    return F.zip_with(shifted, F.array_repeat(norm, F.size(logits)), lambda x, n: x - n)
 
 
 def surprisal_bits(log_probs: Column, target: Column) -> Column:
@@ -32,8 +35,9 @@ def entropy_bits(log_probs: Column) -> Column:
 
 def rank(log_probs: Column, target: Column) -> Column:
     """1 and the number of strictly likelier tokens."""
-    actual = F.element_at(log_probs, target + 1)
-    return F.size(F.filter(log_probs, lambda x: x > actual)) + 1
+    actual = F.array_repeat(F.element_at(log_probs, target + 1), F.size(log_probs))
+    above = F.zip_with(log_probs, actual, lambda x, a: (x > a).cast("int"))
+    return F.aggregate(above, F.lit(0), _add) + 1
 
 
 def top_k(log_probs: Column, k: int) -> Column:
@@ -44,8 +48,8 @@ def top_k(log_probs: Column, k: int) -> Column:
 
 def top_k_mask(logits: Column, k: int) -> Column:
     """Logits below the k-th largest become null; ties with it stay."""
-    kth = F.element_at(F.reverse(F.array_sort(logits)), k)
-    return F.transform(logits, lambda x: F.when(x >= kth, x))
+    kth = F.array_repeat(F.element_at(F.reverse(F.array_sort(logits)), k), F.size(logits))
+    return F.zip_with(logits, kth, lambda x, t: F.when(x >= t, x))
 
 
 def confident_and_wrong(entropy: Column, surprisal: Column) -> Column:

@@ -399,7 +399,7 @@ SQL: dict[str, str] = {
     "letter_chunk_freq": _CHUNKS,
     "pair_counts": _BYTE_PAIRS,
     "best_pair": f"SELECT * FROM ({_BYTE_PAIRS}) ORDER BY n DESC, a, b LIMIT 1",
-    "alphabet": "SELECT DISTINCT unnest(string_split(text, '')) AS character FROM documents",
+    "alphabet": "SELECT DISTINCT character FROM (SELECT unnest(string_split(text, '')) AS character FROM documents) WHERE character <> ''",
     "shard_rollup": "SELECT corpus AS split, source AS shard, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS documents FROM shards GROUP BY ROLLUP (corpus, source)",
     "split_summary": f"""
         SELECT split, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(documents), 0) AS BIGINT) AS documents,
