@@ -142,6 +142,18 @@ _PLAN = f"""
     LEFT JOIN ({_SOURCES}) s ON t.corpus = s.corpus AND t.source = s.source
 """
 
+_WORDS = r"""
+    SELECT doc_id, CASE WHEN starts_with(s, 'train') THEN 'train' WHEN starts_with(s, 'val') OR starts_with(s, 'test') THEN 'eval' END AS side, w
+    FROM (SELECT doc_id, lower(trim(split)) AS s, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)
+    WHERE len(w) >= 20
+"""
+
+
+def _sequences(n: int) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"SELECT DISTINCT doc_id, side, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM ({_WORDS}))"
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -162,6 +174,14 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": f"""
+        WITH g AS ({_sequences(8)}), n AS (SELECT doc_id, count(*) AS n FROM g WHERE side = 'eval' GROUP BY doc_id),
+        m AS (SELECT e.doc_id AS e, t.doc_id AS t, count(*) AS c FROM g e JOIN g t ON e.g = t.g AND e.side = 'eval' AND t.side = 'train' GROUP BY 1, 2)
+        SELECT least(e, t) AS doc_id_a, greatest(e, t) AS doc_id_b FROM m JOIN n ON e = n.doc_id WHERE 2 * c >= n""",
+    "p4_found": f"""
+        WITH g AS ({_sequences(3)}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+        SELECT a AS doc_id_a, b AS doc_id_b FROM m JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 10 * c >= 7 * (p.n + q.n - c)""",
     "p3_found": f"SELECT mix_id, source FROM ({_PLAN}) WHERE short",
     "p3_plan": f"SELECT mix_id, source, available, real_tokens, synthetic_tokens, short FROM ({_PLAN})",
 }
