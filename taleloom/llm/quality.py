@@ -4,7 +4,7 @@ Statistics are computed per document, ranked exactly within each language by a
 range-partitioned sort with partition offsets, and the empirical tail probabilities of all
 statistics are combined into an outlier score (the sum of negative logarithms). Documents at
 least as unusual as the average go on to the exact check: running text must make up the
-greater part of their characters, and their word triples must not mostly repeat.
+greater part of their characters, and no phrase may loop through most of them.
 
 Defined results: a null or empty text has 0 words and null ratios; a blank text likewise; ratios
 are rounded to three decimals, so that a statistic has a bounded number of different
@@ -35,11 +35,14 @@ STATISTICS = [
 ]
 #: The group of all documents; those of an unknown language are ranked in it.
 EVERY = "every"
-SCHEMA = "doc_id bigint, language string, words int, " + ", ".join(f"{name} double" for name, _ in STATISTICS)
+SCHEMA = "doc_id bigint, language string, words int, " + ", ".join(f"{name} double" for name, _ in STATISTICS) + ", looping double"
 
-#: Below these a document is not running text for the most part.
-LEAST_RUNNING = 0.5
-LEAST_DISTINCT = 0.45
+#: With less running text than this, or more of one phrase looping, a document is no running text for the most part.
+LEAST_RUNNING = 0.45
+MOST_LOOPING = 0.53
+#: A phrase of up to so many words can loop; texts whose triples mostly differ need no search for one.
+LONGEST_PHRASE = 24
+SUSPECT_DISTINCT = 0.7
 
 _PIECES = re.compile(r"(?<=[.!?…:;。！？])[\"”»')]*\s+|\n+|\s{3,}|\t")
 _EDGE = ".,;:!?\"'“”„«»()[]…—–-¿¡*_#|<>‘’"
@@ -70,7 +73,8 @@ def is_sentence(tokens: list[str], common: frozenset[str], piece: str) -> bool:
     if n > 5 and marks > 0.34 * n:
         return False
     share = sum(c.lower() in common for c in core) / n
-    end = piece.rstrip("\"”»') ")[-1:] in _ENDS
+    # An item's number ("... 2.") ends no sentence.
+    end = piece.rstrip("\"”»') ")[-1:] in _ENDS and not core[-1].isdigit()
     if share >= 0.18:
         return n >= 6 or end
     if not end or alpha < n or _GLUED.search(piece):
@@ -82,12 +86,19 @@ def is_sentence(tokens: list[str], common: frozenset[str], piece: str) -> bool:
     return 0.3 < vowels < 0.62
 
 
+def looping_share(low: list[str]) -> float:
+    """Share of words that equal the word one phrase length before, for the phrase length with most of them."""
+    n = len(low)
+    most = max((sum(map(str.__eq__, low, low[p:])) for p in range(1, min(LONGEST_PHRASE, n - 1) + 1)), default=0)
+    return most / n
+
+
 def statistics(text: str | None, common: frozenset[str]) -> tuple[int, list[float | None]]:
-    """Word count and the values of STATISTICS."""
+    """Word count, the values of STATISTICS and the share of a looping phrase."""
     tokens = (text or "").split()
     n = len(tokens)
     if not n:
-        return 0, [None] * len(STATISTICS)
+        return 0, [None] * (len(STATISTICS) + 1)
     low = [t.lower().strip(_EDGE) for t in tokens]
     chars = sum(map(len, tokens))
     letters = sum(map(str.isalpha, text))
@@ -107,6 +118,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple[int, list[floa
         len(set(zip(low, low[1:], low[2:], strict=False))) / triples if n > 2 else 1.0,
         min(1.0, running / chars),
     ]
+    values.append(looping_share(low) if values[4] < SUSPECT_DISTINCT else 0.0)
     return n, [round(v, 3) for v in values]
 
 
@@ -125,8 +137,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         for batch in batches:
             found = [statistics(t, common) for t in batch["text"].to_pylist()]
             arrays = [batch["doc_id"], batch["language"], pa.array([n for n, _ in found], pa.int32())]
-            arrays += [pa.array([v[i] for _, v in found], pa.float64()) for i in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "language", "words", *(n for n, _ in STATISTICS)])
+            arrays += [pa.array([v[i] for _, v in found], pa.float64()) for i in range(len(STATISTICS) + 1)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "language", "words", *(n for n, _ in STATISTICS), "looping"])
 
     return source.mapInArrow(run, SCHEMA)
 
@@ -214,7 +226,7 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
 def not_running(scored: DataFrame, min_words: int) -> DataFrame:
     """Documents that are for the most part no running text: outliers that fail the exact check."""
     unusual = F.col("score") >= len(STATISTICS)
-    fails = (F.col("running_share") < LEAST_RUNNING) | (F.col("distinct_triples") < LEAST_DISTINCT)
+    fails = (F.col("running_share") < LEAST_RUNNING) | (F.col("looping") > MOST_LOOPING)
     return scored.where((F.col("words") >= min_words) & unusual & fails)
 
 
