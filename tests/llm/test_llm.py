@@ -194,6 +194,7 @@ CASES = [
     "Erreur 404 : la page demandée est introuvable.", "undefined walked past the quarry", "[object Object]", "XXXXX", "(name to be added)",
     "Text text text text text.", "Nulla velit aliqua tempor ipsum sunt.", "Your session has expired; log in again.", "__NAME__ and $TITLE$",
     "Bitte aktivieren Sie JavaScript, um fortzufahren.", "The uncle laughed undefined slowly.",
+    "Type something about lanterns here...",
 ]
 CLEAN = [
     "The value stayed undefined in run 5 because of zero.", "The guard said that access was denied, so he left.", "<|endoftext|>", None, "", " ",
