@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +138,34 @@ def split_on_separator(tokens: DataFrame, group: str, position: str, token: str,
     numbered = tokens.withColumn("document", F.sum((F.col(token) == F.lit(separator)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kept = numbered.where(F.col(token) != F.lit(separator))
     return kept.groupBy(group, "document").agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(token).alias("t"))))["t"].alias("tokens"))
+
+
+def repeated_blocks(trials: int, block: int, pool: list[int], seed: int = 0) -> list[list[int]]:
+    """Sequences of a random block and its repetition, from a pool of (frequent) tokens."""
+    rng = np.random.default_rng(seed)
+    halves = [rng.choice(np.asarray(pool), size=block, replace=True).tolist() for _ in range(trials)]
+    return [h + h for h in halves]
+
+
+def induction(bits: DataFrame, block: int, pool_size: int, position: str = "position", value: str = "bits") -> DataFrame:
+    """In-context copying from stored surprisals of repeated blocks.
+
+    Position i predicts token i + 1; the first token of either copy is left out, as predicting the seam
+    needs no copying.
+    """
+    per = bits.groupBy(F.col(position).alias("p")).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.count(value).alias("n"))
+    first, second = F.col("p") < block - 1, F.col("p") >= block
+    late = F.col("p") >= block + (block - 1) // 2
+    mean = lambda where: F.sum(F.when(where, F.col("total"))) / F.sum(F.when(where, F.col("n")))
+    return per.agg(
+        mean(first).alias("first_copy_bits"), mean(second).alias("second_copy_bits"),
+        (mean(first) - mean(second)).alias("score_bits"), F.avg(F.when(late, F.col("mean"))).alias("late_bits"),
+        F.lit(math.log2(pool_size)).alias("uniform_baseline_bits"),
+    )
+
+
+def generated_stats(texts: DataFrame, tokens: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Documents, tokens, bytes and mean tokens per document of a generated corpus."""
+    sizes = tokens.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("tokens"))
+    octets = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("utf8_bytes"))
+    return sizes.crossJoin(octets).withColumn("mean_document_tokens", F.coalesce(F.try_divide("tokens", "documents"), F.lit(0.0)))

@@ -255,3 +255,13 @@ def test_streams(spark, tmp_path):
     assert logs.run_bounded(stream, handle, str(tmp_path / "s2"), logs.Budget(batches=2)) == "batches exhausted"
     assert len(seen) == 2
     assert logs.run_bounded(stream, handle, str(tmp_path / "s2"), logs.Budget()) == "finished" and sorted(seen) == [0, 1, 2, 9]
+
+
+def test_induction(spark):
+    blocks = logits.repeated_blocks(3, 4, [5, 6, 7], seed=1)
+    assert len(blocks) == 3 and all(b[:4] == b[4:] for b in blocks) and blocks == logits.repeated_blocks(3, 4, [5, 6, 7], seed=1)
+    rows = [(t, p, 4.0 if p < 4 else 1.0 + t) for t in range(2) for p in range(7)]
+    got = logits.induction(frame(spark, rows, "trial int, position int, bits double"), 4, 8).first()
+    assert tuple(got) == (4.0, 1.5, 2.5, 1.5, 3.0)
+    docs = frame(spark, [(0, "é", [1, 2, 3]), (1, "ab", [4])], "i int, text string, ids array<int>")
+    assert tuple(logits.generated_stats(docs, docs).first()) == (2, 4, 4, 2.0)
