@@ -2,9 +2,10 @@
 
 Statistics are computed per document, ranked exactly within each language by a
 range-partitioned sort with partition offsets, and the empirical tail probabilities of all
-statistics are combined into an outlier score (the sum of negative logarithms). Documents at
-least as unusual as the average go on to the exact check: running text must make up the
-greater part of their characters, and no phrase may loop through most of them.
+statistics are combined into an outlier score (the sum of negative logarithms), by which
+documents can be ordered. Whether a document is running text is decided by itself and not by
+the rest of the corpus: running text must make up the greater part of its characters, and no
+phrase may loop through most of it.
 
 Defined results: a null or empty text has 0 words and null ratios; a blank text likewise; ratios
 are rounded to three decimals, so that a statistic has a bounded number of different
@@ -223,11 +224,10 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     return stats.mapInArrow(run, SCHEMA + ", score double")
 
 
-def not_running(scored: DataFrame, min_words: int) -> DataFrame:
-    """Documents that are for the most part no running text: outliers that fail the exact check."""
-    unusual = F.col("score") >= len(STATISTICS)
+def not_running(stats: DataFrame, min_words: int) -> DataFrame:
+    """Documents that are for the most part no running text, however common their kind is."""
     fails = (F.col("running_share") < LEAST_RUNNING) | (F.col("looping") > MOST_LOOPING)
-    return scored.where((F.col("words") >= min_words) & unusual & fails)
+    return stats.where((F.col("words") >= min_words) & fails)
 
 
 def against_filters(stats: DataFrame, filters: DataFrame) -> DataFrame:

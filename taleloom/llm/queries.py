@@ -70,8 +70,7 @@ def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for the most part no running text."""
     strict = read_table(spark, sf_dir, "quality_filters").where("filter_name = 'strict'").select("min_words").first()
-    scored = quality.outlier_scores(cut(_statistics(spark, sf_dir)))
-    return quality.not_running(scored, strict[0] if strict else 20).select("doc_id").distinct()
+    return quality.not_running(_statistics(spark, sf_dir), strict[0] if strict else 20).select("doc_id").distinct()
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,17 @@ def test_quality_ranks_and_decisions(spark):
     assert quality.outlier_scores(stats.limit(0)).count() == 0
 
 
+def test_common_junk_is_no_running_text(spark):
+    """The kind that fills a third of the table, or all of it, is found as well as a rare one."""
+    words_frame = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    loop = "quiet pocket red crate who cookie " * 20
+    rows = [(i, loop if i % 3 == 0 else PROSE + f"Then they said something about the number {i} and the sea. " * 2, "en") for i in range(60)]
+    for part in (rows, rows[:1]):
+        stats = quality.document_statistics(spark.createDataFrame(part, "doc_id long, text string, lang string"), words_frame)
+        found = quality.not_running(quality.outlier_scores(stats), 20)
+        assert {r["doc_id"] for r in found.collect()} == {i for i, _, _ in part if i % 3 == 0}
+
+
 CASES = [
     "Hello {{name}}, welcome!", "Dear %(name)s, thanks.", "The ${title} of it", "[INSERT NAME HERE] went home.", "Saw [Your Child] at sea",
     "a <value goes here> b", "Lorem ipsum dolor sit amet.", "404 Not Found", "Please enable JavaScript to continue.", "<noscript>JS required</noscript>",
