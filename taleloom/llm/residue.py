@@ -1,10 +1,12 @@
 """Template residue, filler text, error pages and notices that scripts are needed.
 
 Records are cut into segments, and segments of one template are aligned by their skeleton:
-function words stay, everything between them is a slot. A slot that retains a variable's name, a
-default or a blank is residue. A value such as ``undefined``, which prose can also use, is
-residue only where the aligned segments fill the slot otherwise; where nearly all of them hold the
-same word it is part of the text. Unmistakable placeholders and messages are residue by
+function words stay, everything between them is a slot. A value such as ``undefined``, which prose
+can also use, is residue unless the aligned segments show it to be part of the text: nearly all
+different ones hold it while their other words vary. Copies and other numbers are no
+different segments, so neither a frequent record nor a template that is never filled in turns its
+unset value into text. An address without a name is residue; other blanks are not, as a
+dropped word leaves the same. Unmistakable placeholders and messages are residue by
 themselves, and so is a short page that stands, numbers apart, in several records and addresses the
 reader as an error page does.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taleloom.session import cut, spread
 
-#: Records that must share a template before its constant words are taken as text, or a page as a template.
+#: Different segments that must share a template before its constant words are taken as text; records that make a page a template.
 SUPPORT = 5
 CONSTANT_SHARE = 0.8
 PAGE_WORDS = 12
@@ -149,6 +152,12 @@ _MENTION = re.compile(
     r"(?:undefined|null|nil|nan|none)\b(?=\s*[.,;:!?]|\s+(?:in|for|because|when|at|if|and|or|on|until|since|by)\b|\s*$)",
     re.I,
 )
+#: An address whose name is unset or left out; no template has to show it.
+_SALUTATION = re.compile(
+    r"\b(?i:dear|hello|hi|hey|welcome(?: back)?|hallo|lieber?|bonjour|ch[eè]re?|hola|querid[oa]|estimad[oa])[ ,]+"
+    r"(?:undefined|null|NULL|NaN|None|nil)\b(?=\s*[,.!:\n]|\s*$)"
+)
+_NAMELESS = re.compile(r"(?:^|\n|[.!?]\s+)(?:Dear|Lieber?|Ch[eè]re?|Querid[oa]|Estimad[oa])\s+,(?=\s)")
 _ENGLISH_NONE = re.compile(r"(?:^|[.!?\"“]\s*)None\b|\bNone of\b")
 
 #: Words of the usual filler Latin.
@@ -167,7 +176,9 @@ _PAGE_CUES = re.compile(
 )
 _ADDRESS = re.compile(r"\b(?:please|you|your|reload|try again|contact|log ?in|go back|refresh|return to|veuillez|bitte|vuelve|inténtalo)\b", re.I)
 _NUMBERS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|/\S+")
-SCHEMA = "doc_id bigint, certain boolean, skeletons array<bigint>, doubtful array<bigint>, page bigint"
+_PAIRS = "array<struct<skeleton bigint, words bigint>>"
+SCHEMA = f"doc_id bigint, certain boolean, aligned {_PAIRS}, doubtful {_PAIRS}, page bigint"
+_NUMERIC = "0123456789abcdef.,:%-"
 
 
 def _hash(text: str) -> int:
@@ -175,18 +186,19 @@ def _hash(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def skeleton(segment: str, frame: frozenset[str]) -> int:
-    """Function words with everything between them as one slot."""
-    out, slot = [], False
+def skeleton(segment: str, frame: frozenset[str]) -> tuple[int, int]:
+    """Function words with everything between them as one slot; and all words, with numbers as one."""
+    out, every, slot = [], [], False
     for token in segment.split():
         word = token.strip(".,;:!?\"'“”„«»()[]…¿¡").lower()
+        every.append(word if word.isalpha() or word.strip(_NUMERIC) else "0")
         if word in frame:
             out.append(word)
             slot = False
         elif not slot:
             out.append("_")
             slot = True
-    return _hash(" ".join(out))
+    return _hash(" ".join(out)), _hash(" ".join(every))
 
 
 def latin_filler(segment: str) -> bool:
@@ -204,16 +216,18 @@ def certain_residue(text: str, low: str, segments: list[str]) -> bool:
     return any(c in low for c in _LATIN_CUES) and any(map(latin_filler, segments))
 
 
-def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[int], list[int], int | None]:
-    """Whether it is certain residue; its skeletons; those with an unset value; its hash as a short page."""
+def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]], int | None]:
+    """Whether it is certain residue; its segments; those with an unset value; its hash as a short page."""
     if not text or text.isspace():
         return False, [], [], None
     low = text.lower()
     segments = [s for s in _SEGMENTS.split(text) if s and not s.isspace()]
-    certain = certain_residue(text, low, segments)
+    certain = certain_residue(text, low, segments) or _NAMELESS.search(text) is not None
     skeletons = {skeleton(s, frame) for s in segments}
     doubtful = set()
-    if not certain and ("undefined" in low or "null" in low or "nan" in low or "none" in low or "nil" in low):
+    unset = "undefined" in low or "null" in low or "nan" in low or "none" in low or "nil" in low
+    certain = certain or (unset and _SALUTATION.search(text) is not None)
+    if unset and not certain:
         for s in segments:
             plain = _ENGLISH_NONE.sub("", _MENTION.sub("", s))
             if UNSET.search(plain) or "UNDEFINED" in plain:
@@ -224,6 +238,14 @@ def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[int], l
     return certain, sorted(skeletons), sorted(doubtful), page
 
 
+def _pairs(lists: list[list[tuple[int, int]]]) -> pa.Array:
+    """Lists of pairs as lists of structs, without a Python object for each struct."""
+    ends = np.cumsum([0, *map(len, lists)])
+    flat = np.array([pair for pairs in lists for pair in pairs], np.int64).reshape(-1, 2)
+    columns = [pa.array(flat[:, i]) for i in range(2)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["skeleton", "words"]))
+
+
 def residue(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id`` and ``reason`` of every record with residue."""
     rows = common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().limit(100_000).collect()
@@ -232,20 +254,24 @@ def residue(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [examine(t, frame) for t in batch["text"].to_pylist()]
-            kinds = (pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-            arrays = [batch["doc_id"], *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "certain", "skeletons", "doubtful", "page"])
+            arrays = [
+                batch["doc_id"],
+                pa.array([f[0] for f in found], pa.bool_()),
+                _pairs([f[1] for f in found]),
+                _pairs([f[2] for f in found]),
+                pa.array([f[3] for f in found], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "certain", "aligned", "doubtful", "page"])
 
     examined = cut(spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, SCHEMA))
     certain = examined.where("certain").select("doc_id", F.lit("placeholder, filler or message").alias("reason"))
 
-    waiting = examined.where(~F.col("certain") & (F.size("doubtful") > 0)).select("doc_id", F.explode("doubtful").alias("skeleton"))
-    with_value = waiting.groupBy("skeleton").agg(F.count(F.lit(1)).alias("same"))
-    # Aligned records per template, counted where they lie before they are shuffled.
-    aligned = examined.select(F.explode("skeletons").alias("skeleton")).groupBy("skeleton").agg(F.count(F.lit(1)).alias("records"))
-    constant = with_value.join(aligned, "skeleton").where(
-        (F.col("same") >= SUPPORT) & (F.col("same") >= CONSTANT_SHARE * F.col("records"))
-    )
+    waiting = examined.where(~F.col("certain") & (F.size("doubtful") > 0)).select("doc_id", F.inline("doubtful"))
+    # Different segments with the value; few templates have enough of them, and only theirs are counted.
+    with_value = waiting.groupBy("skeleton").agg(F.countDistinct("words").alias("same")).where(F.col("same") >= SUPPORT)
+    aligned = examined.select(F.inline("aligned")).join(with_value.select("skeleton"), "skeleton", "left_semi")
+    different = aligned.groupBy("skeleton").agg(F.countDistinct("words").alias("all"))
+    constant = with_value.join(different, "skeleton").where(F.col("same") >= CONSTANT_SHARE * F.col("all"))
     unset = waiting.join(constant, "skeleton", "left_anti").select("doc_id", F.lit("unset value in a slot").alias("reason"))
 
     pages = examined.where(~F.col("certain") & F.col("page").isNotNull()).select("doc_id", "page")

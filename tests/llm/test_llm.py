@@ -233,3 +233,15 @@ def test_alignment_decides_on_unset_values(spark):
     frame = spark.createDataFrame(constant + filled + pages, "doc_id long, text string")
     got = {r["doc_id"] for r in residue.residue(frame, words_frame).collect()}
     assert got == {200, *range(300, 305)}
+
+
+def test_frequent_unset_values_are_residue(spark):
+    """Copies, other numbers and templates never filled in do not make an unset value text."""
+    words_frame = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    copies = [(i, "Anna told undefined to look at the sea") for i in range(40)]
+    numbered = [(100 + i, f"The parcel of undefined was sent to the port in {i} days") for i in range(20)]
+    greeted = [(200 + i, f"Dear null, the boat to {w} was late") for i, w in enumerate(["Rome", "Oslo", "Lima", "Bern", "Cork", "Nice"])]
+    blank = [(300, "Dear , it was a pleasure."), (301, "It was cold in  treehouse."), (302, "Oh dear, it was cold.")]
+    rows = copies + numbered + greeted + blank
+    got = {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), words_frame).collect()}
+    assert got == {i for i, _ in rows} - {301, 302}
