@@ -18,7 +18,8 @@ spelled in capitals; repeated rows are judged each; an empty table gives no rows
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,62 @@ SUPPORT = 5
 CONSTANT_SHARE = 0.8
 PAGE_WORDS = 12
 
+
+
+def _weight(strings: frozenset[str]) -> int:
+    """How rare strings are by their most frequent one; signs are rarer than letters."""
+    return min((sum(1 if c.isalpha() or c == " " else 4 for c in string) for string in strings), default=0)
+
+
+def _necessary(parsed: Iterable) -> frozenset[str]:
+    """Strings of which the folded text of every match of a parsed pattern holds at least one; none if there are none."""
+    found: list[frozenset[str]] = []
+    literal = ""
+
+    def close() -> None:
+        nonlocal literal
+        if literal:
+            found.append(frozenset([literal]))
+        literal = ""
+
+    for op, value in parsed:
+        if op is _parser.LITERAL:
+            literal += chr(value).lower()
+            continue
+        if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0]:
+            part = list(value[2])
+            if len(part) == 1 and part[0][0] is _parser.LITERAL:
+                literal += chr(part[0][1]).lower() * value[0]
+                close()
+            else:
+                close()
+                found.append(_necessary(part))
+            continue
+        close()
+        if op is _parser.SUBPATTERN:
+            found.append(_necessary(value[-1]))
+        elif op is _parser.BRANCH:
+            branches = [_necessary(branch) for branch in value[1]]
+            found.append(frozenset().union(*branches) if all(branches) else frozenset())
+    close()
+    return max(found, key=_weight, default=frozenset())
+
+
+def _alternatives(patterns: list[str], flags: int = 0) -> list[tuple[tuple[str, ...], re.Pattern[str]]]:
+    """Each pattern with the strings derived from it of which a folded text must hold one; most texts hold none."""
+    return [(tuple(sorted(_necessary(_parser.parse(p, flags)))), re.compile(p, flags)) for p in patterns]
+
+
+def fold(text: str) -> str:
+    """Lower case as patterns that ignore case see it."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i").replace("ſ", "s")
+
+
 _NAME = r"[A-Za-zÄÖÜäöüéèñ_][\w.\- ]{0,40}"
 #: Placeholders by their syntax.
-PLACEHOLDERS = re.compile(
-    "|".join([
+PLACEHOLDERS = _alternatives(
+    [
         r"\{\{[^{}\n]{0,60}\}\}",  # {{name}}
         r"\{%[^{}\n]{0,60}%\}",  # {% block name %}
         r"<%[^<>\n]{0,60}%>",  # <%= name %>
@@ -52,23 +105,23 @@ PLACEHOLDERS = re.compile(
         r"&lt;" + _NAME + r"&gt;",  # &lt;name&gt;
         r"\[object Object\]",
         r"\bX{4,}\b",
-    ])
+    ]
 )
 #: Placeholders by their words, in several languages.
-PROMPTS = re.compile(
-    "|".join([
+PROMPTS = _alternatives(
+    [
         r"[\[<({]\s*(?:please )?(?:insert|enter|add|type|fill in|choose)\b[^\]>)}\n]{0,40}[\]>)}]",
         r"[\[<({][^\[\]<>(){}\n]{0,40}\b(?:goes here|here|to be added|to come|to follow)\s*[\]>)}]",
         r"\[\s*(?:your|votre|ihre?|dein|su|tu|ton|il tuo)\b[^\]\n]{0,40}\]",
         r"\[[^\]\n]{0,40}\b(?:einfügen|eintragen|ici|hier|aquí|insérer|insertar|inserir|invullen)\s*\]",
         r"[\[<({]\s*(?:tbd|tba|todo|fixme|placeholder)\b[^\]>)}\n]{0,40}[\]>)}]",
         r"\[\s*[\w ]{1,30} (?:missing|pending|unset|not set|fehlt|manquante?|pendiente)\s*\]",
-    ]),
+    ],
     re.I,
 )
 #: Filler that stands in for text.
-FILLER = re.compile(
-    "|".join([
+FILLER = _alternatives(
+    [
         r"lorem ipsum dolor",
         r"\b(text|texte?|texto|blah|test|word|lorem)(?: \1){3,}\b",
         r"\b(?:sample|dummy|example|placeholder) (?:text|copy|content|paragraph)\b(?: goes here|,? replace| for the \w+ section|\.| to be replaced)",
@@ -80,13 +133,13 @@ FILLER = re.compile(
         r"(?:^|\n|[.!?…]\s+)(?:please )?write a (?:short |brief )?(?:description|summary|text) (?:of|about) this\b",
         r"\b(?:your|some) (?:text|content|copy) here\b",
         r"(?:^|\n|[.!?…]\s+)(?:please )?(?:type|write|enter|put|add|say) (?:something|anything|a few words|some text|your)\b[^.\n]{0,40}\bhere\b",
-    ]),
+    ],
     re.I,
 )
 _SCRIPTS = r"(?:java ?script|js|scripts?|scripting)"
 #: Notices that scripts are needed.
-NOTICES = re.compile(
-    "|".join([
+NOTICES = _alternatives(
+    [
         r"<noscript\b",
         r"\b(?:please |must |need to |have to )(?:enable|activate|turn on|switch on|allow) " + _SCRIPTS + r"\b",
         r"\bif nothing happens, (?:allow|enable|activate) " + _SCRIPTS + r"\b",
@@ -97,7 +150,7 @@ NOTICES = re.compile(
         r"\b(?:bitte )?aktivieren sie " + _SCRIPTS + r"\b",
         r"\bveuillez activer " + _SCRIPTS + r"\b",
         r"\b(?:activa|activar|active|habilita|habilite) " + _SCRIPTS + r" (?:en|para)\b",
-    ]),
+    ],
     re.I,
 )
 _STATUS = (
@@ -105,8 +158,8 @@ _STATUS = (
     r"|method not allowed|request time-?out|too many requests|gone)"
 )
 #: Messages of error pages.
-ERRORS = re.compile(
-    "|".join([
+ERRORS = _alternatives(
+    [
         r"\b(?:error|http(?:/[\d.]+)?|erreur|fehler|status)\s*:?\s*[45]\d\d\b",
         r"(?:^|\n|[.!?…\"”]\s+)[45]\d\d:?\s+(?:error\b|" + _STATUS + ")",
         r"\bcould(?: not|n't) find the \w+ you (?:were|are) looking for\b",
@@ -124,23 +177,10 @@ ERRORS = re.compile(
         r"\bseite (?:wurde )?nicht gefunden\b|\bdie angeforderte seite\b[^.\n]{0,60}\bexistiert nicht\b",
         r"\bpage (?:demandée )?(?:est )?introuvable\b|\bla page demandée\b[^.\n]{0,20}\bintrouvable\b",
         r"\bpágina no encontrada\b|\bla página solicitada no existe\b",
-    ]),
+    ],
     re.I,
 )
-#: Each kind of residue with words of which a lower-cased text must hold one; most texts hold none.
-KINDS = [
-    (PLACEHOLDERS, ("{", "&lt;", "<%", "%(", "@@", "__", "[[", "[object", "xxxx", "$", "%")),
-    (PROMPTS, ("[", "<", "to be added", "goes here", "to follow", "{insert", "(insert", "(tbd", "(todo")),
-    (FILLER, ("ipsum", "text text", "blah blah", "dummy", "sample", "placeholder", "example text", "relleno", "ejemplo", "factice",
-              "hier steht", "insert ", "add your", "write a", "text here", "something", "anything",
-              "a few words", "type ", "enter your", "put your", "say ", "copy here", "content here")),
-    (NOTICES, ("script", " js", "js is", "js required")),
-    (ERRORS, ("error", "erreur", "fehler", "http", "status", "not found", "forbidden", "gateway", "denied", "expired", "timed out",
-              "was reset", "connection failed", "looking for", "on this server", "or deleted", "permission", "server is", "went wrong",
-              "gefunden", "existiert nicht", "introuvable", "encontrada", "unavailable", "no existe", "unauthorized", "too many requests")),
-]
-_LATIN_CUES = ("cupidatat", "egestas", "nostrud", "mollit", "velit ", "fugiat", "veniam", "netus", "aliqu", "tristique", "morbi", "irure",
-               "occaecat", "labor", "ipsum", "sunt")
+KINDS = (PLACEHOLDERS, PROMPTS, FILLER, NOTICES, ERRORS)
 
 #: Code quoted in a text is written about, not left over.
 _QUOTED = re.compile(r"`[^`\n]{1,120}`")
@@ -202,25 +242,26 @@ def skeleton(segment: str, frame: frozenset[str]) -> tuple[int, int]:
 
 
 def latin_filler(segment: str) -> bool:
-    words = [w.strip(".,;:!?").lower() for w in segment.split()]
-    return len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words) and sum(len(w) > 3 for w in words) >= 2
+    words = [w.strip(".,;:!?") for w in segment.lower().split()]
+    return len(words) >= 3 and sum(map(LATIN.__contains__, words)) >= 0.8 * len(words) and sum(len(w) > 3 for w in words) >= 2
 
 
 def certain_residue(text: str, low: str, segments: list[str]) -> bool:
     """Residue that shows by itself."""
     if "`" in text:
         text = _QUOTED.sub("", text)
-    for pattern, cues in KINDS:
-        if any(c in low for c in cues) and pattern.search(text):
-            return True
-    return any(c in low for c in _LATIN_CUES) and any(map(latin_filler, segments))
+    for kind in KINDS:
+        for cues, pattern in kind:
+            if any(c in low for c in cues) and pattern.search(text):
+                return True
+    return any(map(latin_filler, segments))
 
 
 def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]], int | None]:
     """Whether it is certain residue; its segments; those with an unset value; its hash as a short page."""
     if not text or text.isspace():
         return False, [], [], None
-    low = text.lower()
+    low = fold(text)
     segments = [s for s in _SEGMENTS.split(text) if s and not s.isspace()]
     certain = certain_residue(text, low, segments) or _NAMELESS.search(text) is not None
     skeletons = {skeleton(s, frame) for s in segments}

@@ -245,3 +245,19 @@ def test_frequent_unset_values_are_residue(spark):
     rows = copies + numbered + greeted + blank
     got = {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), words_frame).collect()}
     assert got == {i for i, _ in rows} - {301, 302}
+
+
+def test_no_gate_hides_a_pattern():
+    """Every alternative has strings that its matches must hold, and no text that it matches goes unsearched."""
+    assert all(cues and all(cues) for kind in residue.KINDS for cues, _ in kind)
+    hidden = [
+        "400 Bad Request", "405 Method Not Allowed", "408 Request Timeout", "410 Gone", "(enter your name)", "(fixme)", "(tba)", "{fill in here}",
+        "test test test test", "lorem lorem lorem lorem", "texte texte texte texte", "Write your story here",
+        "Dolor sit amet, consectetur adipiscing elit.", "PLEASE ENABLE JAVAſCRİPT NOW",
+    ]
+    texts = hidden + [t for t in CASES + CLEAN if t] + [t for t in pq.read_table(f"{SMALL}/documents.parquet")["text"].to_pylist() if t]
+    for text in texts:
+        low = residue.fold(text)
+        for kind in residue.KINDS:
+            assert all(any(c in low for c in cues) for cues, pattern in kind if pattern.search(text)), text
+    assert all(residue.examine(t, frozenset(COMMON))[0] for t in hidden)
