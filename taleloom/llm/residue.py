@@ -7,8 +7,9 @@ different ones hold it while their other words vary. Copies and other numbers ar
 different segments, so neither a frequent record nor a template that is never filled in turns its
 unset value into text. An address without a name is residue; other blanks are not, as a
 dropped word leaves the same. Unmistakable placeholders and messages are residue by
-themselves, and so is a short page that stands, numbers apart, in several records and addresses the
-reader as an error page does.
+themselves, and so is a page of any length that tells of a failure and of what to do about it and
+little else. A page that only addresses the reader as an error page does, in most of its sentences, is residue if it
+stands, numbers apart, in several records.
 
 Defined results: null and empty texts are no cases; literals of a tokenizer's special tokens,
 sets and JSON in braces, and prices are none; matching ignores case except for placeholders that are
@@ -32,7 +33,8 @@ from taleloom.session import cut, spread
 #: Different segments that must share a template before its constant words are taken as text; records that make a page a template.
 SUPPORT = 5
 CONSTANT_SHARE = 0.8
-PAGE_WORDS = 12
+#: Share of a page's sentences that speak as an error page does.
+PAGE_SHARE = 0.5
 
 
 
@@ -75,9 +77,18 @@ def _necessary(parsed: Iterable) -> frozenset[str]:
     return max(found, key=_weight, default=frozenset())
 
 
+def _gated(pattern: str, flags: int = 0) -> tuple[tuple[str, ...], re.Pattern[str]]:
+    """A pattern with the strings derived from it of which a folded text must hold one; most texts hold none."""
+    return tuple(sorted(_necessary(_parser.parse(pattern, flags)))), re.compile(pattern, flags)
+
+
 def _alternatives(patterns: list[str], flags: int = 0) -> list[tuple[tuple[str, ...], re.Pattern[str]]]:
-    """Each pattern with the strings derived from it of which a folded text must hold one; most texts hold none."""
-    return [(tuple(sorted(_necessary(_parser.parse(p, flags)))), re.compile(p, flags)) for p in patterns]
+    return [_gated(p, flags) for p in patterns]
+
+
+def _in_any(gated: tuple[tuple[str, ...], re.Pattern[str]], low: str, text: str) -> bool:
+    cues, pattern = gated
+    return any(c in low for c in cues) and pattern.search(text) is not None
 
 
 def fold(text: str) -> str:
@@ -209,12 +220,29 @@ LATIN = frozenset(
     vestibulum voluptate""".split()
 )
 _SEGMENTS = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|\n+")
-_PAGE_CUES = re.compile(
+_PAGE_CUES = _gated(
     r"\b(?:page|server|site|seite|página|browser|script|session|connection|request|url|reload|try again|contact|enable|disabled|"
     r"error|erreur|fehler|maintenance|unavailable|permission|login|log in)\b",
     re.I,
 )
-_ADDRESS = re.compile(r"\b(?:please|you|your|reload|try again|contact|log ?in|go back|refresh|return to|veuillez|bitte|vuelve|inténtalo)\b", re.I)
+_ADDRESS = _gated(r"\b(?:please|you|your|reload|try again|contact|log ?in|go back|refresh|return to|veuillez|bitte|vuelve|inténtalo)\b", re.I)
+_FAILURE = _gated(
+    r"\b(?:sorry|unable|cannot|can't|could(?: not|n't)|fail(?:ed|ure|s)|(?:un|not |no longer )available|out of service|overloaded|maintenance|error|"
+    r"problem|went wrong|expired|denied|refused|timed out|interrupted|désolés?|impossible|indisponible|erreur|leider|fehler|fehlgeschlagen|"
+    r"nicht (?:verfügbar|erreichbar)|sentimos|no disponible|no se (?:pudo|puede))\b",
+    re.I,
+)
+_MACHINE = _gated(
+    r"\b(?:page|server|web ?site|site|request|session|connection|service|browser|url|link|seite|anfrage|verbindung|sitzung|dienst|requête|serveur|"
+    r"connexion|página|servidor|solicitud|conexión|sesión|sitio)\b",
+    re.I,
+)
+_REMEDY = _gated(
+    r"\b(?:(?:try|check|come) (?:again|back)|try (?:again|later|reloading|refreshing)|(?:reload|refresh) (?:the|this|your) |go back|return to|contact (?:us|the|your|support)|"
+    r"(?:log|sign) in again|check (?:the|your) (?:url|address|link|connection)|réessaye[rz]|erneut|später (?:noch einmal|wieder)|laden sie|"
+    r"inténtelo|inténtalo|vuelva a|vuelve a)",
+    re.I,
+)
 _NUMBERS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|/\S+")
 _PAIRS = "array<struct<skeleton bigint, words bigint>>"
 SCHEMA = f"doc_id bigint, certain boolean, aligned {_PAIRS}, doubtful {_PAIRS}, page bigint"
@@ -251,14 +279,35 @@ def certain_residue(text: str, low: str, segments: list[str]) -> bool:
     if "`" in text:
         text = _QUOTED.sub("", text)
     for kind in KINDS:
-        for cues, pattern in kind:
-            if any(c in low for c in cues) and pattern.search(text):
-                return True
+        if any(_in_any(gated, low, text) for gated in kind):
+            return True
     return any(map(latin_filler, segments))
 
 
+def _in_each(gated: tuple[tuple[str, ...], re.Pattern[str]], segments: list[str]) -> list[bool]:
+    return [gated[1].search(s) is not None for s in segments]
+
+
+def failure_page(text: str, low: str, segments: list[str]) -> bool:
+    """Whether a whole text tells of a failed page, server or the like and of what to do, and little else."""
+    if not all(_in_any(gated, low, text) for gated in (_REMEDY, _MACHINE, _FAILURE)):
+        return False
+    failed, advised = _in_each(_FAILURE, segments), _in_each(_REMEDY, segments)
+    if not any(f and m for f, m in zip(failed, _in_each(_MACHINE, segments), strict=True)):
+        return False
+    return sum(f or a for f, a in zip(failed, advised, strict=True)) > PAGE_SHARE * len(segments)
+
+
+def page_like(text: str, low: str, segments: list[str]) -> bool:
+    """Whether most sentences of a whole text name a page's parts or address its reader."""
+    if not (_in_any(_PAGE_CUES, low, text) and _in_any(_ADDRESS, low, text)):
+        return False
+    cues, addresses = _in_each(_PAGE_CUES, segments), _in_each(_ADDRESS, segments)
+    return sum(c or a for c, a in zip(cues, addresses, strict=True)) > PAGE_SHARE * len(segments)
+
+
 def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]], int | None]:
-    """Whether it is certain residue; its segments; those with an unset value; its hash as a short page."""
+    """Whether it is certain residue; its segments; those with an unset value; its hash as a page."""
     if not text or text.isspace():
         return False, [], [], None
     low = fold(text)
@@ -273,8 +322,9 @@ def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[tuple[i
             plain = _ENGLISH_NONE.sub("", _MENTION.sub("", s))
             if UNSET.search(plain) or "UNDEFINED" in plain:
                 doubtful.add(skeleton(s, frame))
+    certain = certain or failure_page(text, low, segments)
     page = None
-    if len(text) < 400 and len(text.split()) <= PAGE_WORDS and _PAGE_CUES.search(text) and _ADDRESS.search(text):
+    if not certain and page_like(text, low, segments):
         page = _hash(" ".join(_NUMBERS.sub("0", low).split()))
     return certain, sorted(skeletons), sorted(doubtful), page
 

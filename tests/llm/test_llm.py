@@ -261,3 +261,17 @@ def test_no_gate_hides_a_pattern():
         for kind in residue.KINDS:
             assert all(any(c in low for c in cues) for cues, pattern in kind if pattern.search(text)), text
     assert all(residue.examine(t, frozenset(COMMON))[0] for t in hidden)
+
+
+def test_pages_of_any_length(spark):
+    """A failure page is found once; a repeated page whatever its length; repeated prose about a server is none."""
+    words_frame = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    failure = "We're sorry, but the server is currently unable to process your request. Please try again later."
+    long = "You have reached the sign-up page of the harbour. " + "Please log in with your account to open this page. " * 30
+    prose = PROSE * 3 + "The server in the mill was cold, and you could not see it. " + PROSE
+    rows = [(0, failure)] + [(10 + i, long + f"Ref {i}.") for i in range(5)] + [(20 + i, prose) for i in range(9)]
+    rows += [(40, "The connection failed twice. We will try again with a smaller batch. The loss fell in run 4. The notes are kept. All was well.")]
+    got = {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), words_frame).collect()}
+    assert got == {0, *range(10, 15)}
+    for text in ("Der Server ist leider nicht erreichbar. Bitte versuchen Sie es später noch einmal.", "Sorry, the page failed to load. " + "Refresh the page. " * 300):
+        assert residue.examine(text, frozenset(COMMON))[0]
