@@ -146,23 +146,44 @@ def orphan_metrics(spark, sf_dir):
 
 
 def _rung_groups(spark, sf_dir):
+    """The best run of each rung and residue of the seed: at most five values a rung, as SQL can enumerate."""
     few = _runs(spark, sf_dir).where("rung is not null and seed is not null")
     per = few.groupBy("rung", F.pmod("seed", F.lit(5)).alias("seed")).agg(F.min("best_bpb").alias("best_bpb")).where("best_bpb is not null")
     return runs.seed_groups(per.withColumn("name", F.col("rung")), group_by="rung", strip_seed_suffix=False)
 
 
-def _compared(spark, sf_dir):
-    groups = _rung_groups(spark, sf_dir)
+def _whole_groups(spark, sf_dir):
+    """All runs of each rung."""
+    return runs.seed_groups(_runs(spark, sf_dir), group_by="rung", strip_seed_suffix=False)
+
+
+def _compared(groups):
     sides = [groups.select(*[F.col(c).alias(f"{c}_{s}") for c in ("label", "mean", "std", "values")]) for s in "ab"]
     return expstats.compare(sides[0].join(sides[1], F.col("label_a") < F.col("label_b")))
 
 
+def _p_values(groups):
+    return _rounded(_compared(groups).select("label_a", "label_b", "p_value", "min_p"), "p_value", "min_p")
+
+
+def _verdicts(groups):
+    return _rounded(_compared(groups).select("label_a", "label_b", "difference", "effect", "winner", "verdict"), "difference", "effect")
+
+
 def permutation_exact(spark, sf_dir):
-    return _rounded(_compared(spark, sf_dir).select("label_a", "label_b", "p_value", "min_p"), "p_value", "min_p")
+    return _p_values(_rung_groups(spark, sf_dir))
 
 
 def verdicts(spark, sf_dir):
-    return _rounded(_compared(spark, sf_dir).select("label_a", "label_b", "difference", "effect", "winner", "verdict"), "difference", "effect")
+    return _verdicts(_rung_groups(spark, sf_dir))
+
+
+def permutation_whole(spark, sf_dir):
+    return _p_values(_whole_groups(spark, sf_dir))
+
+
+def verdicts_whole(spark, sf_dir):
+    return _verdicts(_whole_groups(spark, sf_dir))
 
 
 def _cells(spark, sf_dir, parity=None):
@@ -320,7 +341,8 @@ QUERIES = {
     for f in (
         letter_chunk_freq, chunk_freq, pair_counts, best_pair, bpe_compression, vocabulary_sweep, alphabet, shard_packing, shard_rollup,
         split_summary, untagged_shards, windows_packed, diversity, frequent_tokens, bigram_model, split_on_separator, metrics_unpivot,
-        seed_groups, noise_floor, leaderboard, best_so_far, last_values, orphan_metrics, permutation_exact, verdicts, cell_means,
+        seed_groups, noise_floor, leaderboard, best_so_far, last_values, orphan_metrics, permutation_exact, verdicts, permutation_whole,
+        verdicts_whole, cell_means,
         regime_pivot, regimes, cells_full_outer, against_control, drift_first_last, promotion_rates, rejection_reasons,
         rejections_by_fraction, relative_drop, lineage_chain, lineage_verify, gate_results, gate_quarantine, logit_surprisal, topk_tokens,
         evaluation, learning_rates, arm_mix, arm_accumulate, search_grid, task_examples, visible_text, events_per_window,

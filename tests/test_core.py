@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from taleloom.functions import text as T
 from taleloom.operators import arms, bpe, curate, eav, expstats, gates, lineage, logits, minhash, runs, shards, tasks
 from taleloom.operators.components import components
+from taleloom.plans import experiment_queries
 from taleloom.sources import files
 from taleloom.streaming import logs
 
@@ -146,6 +148,24 @@ def test_run_index(spark, tmp_path):
         expstats.pair_up(runs.seed_groups(found), "nf", "absent").collect()
 
 
+def test_whole_groups_are_compared(spark, tmp_path):
+    """Every run of a rung counts, whatever its seed: p-values against all splits, and with too many of them near it."""
+    rng = random.Random(4)
+    groups = {"a": [rng.random() for _ in range(6)], "b": [rng.random() + 0.5 for _ in range(3)], "c": [rng.random() + 0.2 for _ in range(14)]}
+    rows = [(f"{r}-s{i}", r, i if i != 2 else None, v) for r, values in groups.items() for i, v in enumerate(values)] + [("a-s9", "a", 9, None), ("x", None, 1, 0.5)]
+    frame(spark, rows, "name string, rung string, seed long, best_bpb double").write.parquet(str(tmp_path / "runs.parquet"))
+    got = {(r["label_a"], r["label_b"]): r for r in experiment_queries.permutation_whole(spark, str(tmp_path)).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (x, y), row in got.items():
+        pooled, k = groups[x] + groups[y], len(groups[x])
+        gaps = [abs(sum(c) / k - (sum(pooled) - sum(c)) / (len(pooled) - k)) for c in itertools.combinations(pooled, k)]
+        p = sum(g >= gaps[0] - 1e-12 for g in gaps) / len(gaps)
+        assert abs(row["p_value"] - p) < (2e-6 if len(gaps) <= expstats.MAX_EXACT else 0.02)
+        assert abs(row["min_p"] - 2 / len(gaps)) < 1e-6
+    difference = {(r["label_a"], r["label_b"]): r["difference"] for r in experiment_queries.verdicts_whole(spark, str(tmp_path)).collect()}
+    assert all(abs(d - (sum(groups[y]) / len(groups[y]) - sum(groups[x]) / len(groups[x]))) < 1e-6 for (x, y), d in difference.items())
+
+
 def test_permutation_native_equals_python(spark):
     rng = random.Random(3)
     cases = [([rng.random() for _ in range(n)], [rng.random() + 0.3 for _ in range(m)]) for n, m in ((3, 3), (5, 5), (1, 6), (0, 3), (2, 2))]
