@@ -275,3 +275,20 @@ def test_pages_of_any_length(spark):
     assert got == {0, *range(10, 15)}
     for text in ("Der Server ist leider nicht erreichbar. Bitte versuchen Sie es später noch einmal.", "Sorry, the page failed to load. " + "Refresh the page. " * 300):
         assert residue.examine(text, frozenset(COMMON))[0]
+
+
+def test_looping_phrases_of_any_length(monkeypatch):
+    rng = random.Random(2)
+    phrase = [f"{w}{i}" for i, w in enumerate(story(rng, 40).split())]
+    assert quality.looping_share(phrase * 5) == 0.8
+    text = (PROSE + "Then a grey cat came to the mill with her three kittens and sat down in the sun to wait for milk. ") * 6
+    n, values = quality.statistics(text, frozenset(COMMON))
+    assert values[5] == 1 and values[6] > quality.MOST_LOOPING and n // 6 > 24
+    pattern = "".join(f"Samples at temperature 0.{i}4 are {w}, while samples at 0.{i}9 repeat the word {w}ra. " for i, w in enumerate(["flat", "odd", "dull", "long"]))
+    assert quality.statistics(pattern, frozenset(COMMON))[1][6] == 0
+    texts = [[rng.choice("abcde") for _ in range(n)] for n in (0, 1, 2, 30, 300)] + [phrase * 3 + ["a"] * 90, ["a"] * 200]
+    for few in (quality.FEW_PLACES, 2):
+        monkeypatch.setattr(quality, "FEW_PLACES", few)
+        for low in texts:
+            most = max((sum(a == b for a, b in zip(low, low[p:])) for p in range(1, len(low))), default=0)
+            assert quality.looping_share(low) == most / max(1, len(low))
