@@ -1,15 +1,15 @@
 """Records of evaluation splits that also stand in training records.
 
-A depth-bounded suffix array over partitioned texts: every suffix that starts at a word is
-keyed by its first eight words (built by prefix doubling), partitions are ranges of that
-key, and each holds its suffixes sorted. Neighbours from both sides with a common prefix of
-eight words are shared spans; a record's coverage is the share of its distinct eight-word
-sequences that lie in shared spans with one training record.
+An inverted index of hashed sequences, in place of a suffix array: the distinct eight-word
+sequences of every text are hashed to 64 bits by prefix doubling, partitioned by hash and sorted.
+Equal hashes from both sides are shared sequences; a record's coverage is the share of its distinct
+sequences that one training record shares. Coverage counts sequences of a fixed length, so no
+order of suffixes, no longer common prefix and no merged span is needed for it.
 
 Only evaluation records whose sequences are covered to the threshold by the training split as a
 whole go on. Such a record with m covered of n sequences must share at least one of its rarest
 m - ceil(t n) + 1 covered sequences with any qualifying training record, so only
-those make candidates; every candidate is then checked on the words themselves.
+those make candidates; every candidate is then checked on the hashes of all its sequences, made anew from the text.
 
 Defined results: null texts and texts under 20 words take no part; a null or unknown split
 belongs to neither side; identical texts count as one until the pairs are listed; repeated rows
