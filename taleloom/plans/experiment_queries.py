@@ -9,6 +9,8 @@ from taleloom.operators import arms, bpe, expstats, gates, lineage, logits, runs
 from taleloom.session import read_table, spread
 
 R6 = 6
+#: The vocabulary sizes of the reference's sweep.
+SWEEP = (256, 512, 1024, 2048, 4096, 8192)
 
 
 def _rounded(frame, *columns):
@@ -42,7 +44,7 @@ def bpe_compression(spark, sf_dir):
 
 
 def vocabulary_sweep(spark, sf_dir):
-    return bpe.vocabulary_sweep(spread(read_table(spark, sf_dir, "documents"), "doc_id"), (256, 384, 512))
+    return bpe.vocabulary_sweep(spread(read_table(spark, sf_dir, "documents"), "doc_id"), SWEEP)
 
 
 def alphabet(spark, sf_dir):

@@ -166,6 +166,17 @@ def test_whole_groups_are_compared(spark, tmp_path):
     assert all(abs(d - (sum(groups[y]) / len(groups[y]) - sum(groups[x]) / len(groups[x]))) < 1e-6 for (x, y), d in difference.items())
 
 
+def test_sweep_has_all_sizes(spark, tmp_path):
+    """The reference's six sizes; a larger vocabulary needs no more tokens."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000))
+    frame(spark, [(i, text[i * 40 :]) for i in range(2)] + [(9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(experiment_queries.vocabulary_sweep(spark, str(tmp_path)).collect())
+    assert [r["vocab_size"] for r in found] == [256, 512, 1024, 2048, 4096, 8192]
+    tokens = [r["tokens"] for r in found]
+    assert tokens[0] == found[0]["bytes"] and tokens == sorted(tokens, reverse=True) and tokens[2] > tokens[3] > tokens[4]
+
+
 def test_permutation_native_equals_python(spark):
     rng = random.Random(3)
     cases = [([rng.random() for _ in range(n)], [rng.random() + 0.3 for _ in range(m)]) for n, m in ((3, 3), (5, 5), (1, 6), (0, 3), (2, 2))]
