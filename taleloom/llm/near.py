@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.llm import copies, postings
-from taleloom.llm.overlap import _gather, _sets
+from taleloom.llm.overlap import _sets
 from taleloom.llm.words import mix, sequences
 from taleloom.operators.components import components
 from taleloom.session import cut
@@ -132,7 +132,7 @@ def _band_pairs(threshold: float):
     """
 
     def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, rep, n = _gather(held, 3)
+        key, rep, n = postings.gathered(held, 3)
         order = np.lexsort((n, key))
         key, rep, n = key[order], rep[order].view(np.int64), n[order].astype(np.int64)
         # One number per row that grows with key, then size: the range of partners is a search.
@@ -196,7 +196,7 @@ def class_pairs(documents: DataFrame, size: int = 5, threshold: float = 0.8) ->
     sketches = cut(texts.mapInArrow(_sketches(size), "rep bigint, copies bigint, n int, sketch binary"))
     buckets = postings.bucket_count(documents)
     bands = sketches.select("rep", "n", "sketch").mapInArrow(_band_blocks(buckets), postings.BLOCK_SCHEMA)
-    met = postings.by_bucket(bands).mapInArrow(_band_pairs(threshold), "a bigint, b bigint").distinct()
+    met = postings.by_bucket(bands, buckets).mapInArrow(_band_pairs(threshold), "a bigint, b bigint").distinct()
 
     def side(name: str) -> DataFrame:
         return sketches.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))

@@ -1,19 +1,19 @@
 """Records of evaluation splits that also stand in training records.
 
-An inverted index of hashed sequences, in place of a suffix array: the distinct eight-word
-sequences of every text are hashed to 64 bits by prefix doubling, partitioned by hash and sorted.
-Equal hashes from both sides are shared sequences; a record's coverage is the share of its distinct
-sequences that one training record shares. Coverage counts sequences of a fixed length, so no
-order of suffixes, no longer common prefix and no merged span is needed for it.
+A suffix array over all texts, cut into ranges of suffixes (``suffixes``): where suffixes of both sides stand side by side
+with eight words in common, the evaluation record shares a sequence with the training split. Shared sequences that
+follow each other are merged into spans, and the spans of a record give its coverage, the
+share of its different sequences that the training split holds.
 
-Only evaluation records whose sequences are covered to the threshold by the training split as a
-whole go on. Such a record with m covered of n sequences must share at least one of its rarest
-m - ceil(t n) + 1 covered sequences with any qualifying training record, so only
-those make candidates; every candidate is then checked on the hashes of all its sequences, made anew from the text.
+Only records that are covered to the threshold by the training split as a whole go on. Such a
+record with m covered of n sequences must share at least one of its rarest m - ceil(t n) + 1
+covered sequences with any qualifying training record, so only the runs of those make candidates;
+every candidate is then checked on all its sequences, made anew from the texts.
 
 Defined results: null texts and texts under 20 words take no part; a null or unknown split
 belongs to neither side; identical texts count as one until the pairs are listed; repeated rows
-of one id are one record per side; an empty table gives no rows.
+of one id are one record per side; a sequence that recurs in a record counts once, at its first place; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleloom.llm import copies, postings
+from taleloom.llm.suffixes import DEPTH, EVAL, TRAIN, Ranges, draw_ranges, neighbours, suffix_blocks
 from taleloom.llm.words import sequences
 from taleloom.session import cut
 
-DEPTH = 8
 THRESHOLD = 0.5
-EVAL, TRAIN = 0, 1
 _NO = np.zeros(0, np.uint64)
 
 
@@ -47,127 +46,59 @@ def needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(k, 1)
 
 
-def _suffix_blocks(depth: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, grams, starts = sequences(batch["text"].to_pylist(), depth)
-            if not len(at):
-                continue
-            n = np.diff(starts)
-            reps = batch["rep"].to_numpy()[at].view(np.uint64)
-            for kind, name in ((EVAL, "evaluates"), (TRAIN, "trains")):
-                side = batch[name].to_numpy(zero_copy_only=False)[at]
-                chosen = np.repeat(side, n)
-                columns = [np.repeat(reps, n)[chosen]]
-                if kind == EVAL:
-                    columns.append(np.repeat(n, n)[chosen].astype(np.uint64))
-                if chosen.any():
-                    yield postings.blocks(grams[chosen], columns, buckets, kind)
-
-    return run
-
-
-def _row(bucket: int, kind: int, n: int, payload: bytes) -> pa.RecordBatch:
-    arrays = [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int32()), pa.array([payload], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", "n", "payload"])
-
-
-def _gather(held: list[list[np.ndarray]], columns: int) -> list[np.ndarray]:
-    """Blocks of one side, merged in key order."""
-    if not held:
-        return [_NO] * columns
-    merged = [np.concatenate(c) for c in zip(*held, strict=True)]
-    order = np.argsort(merged[0], kind="stable")
-    return [c[order] for c in merged]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the suffixes that both sides have; evaluation ones with their training frequency.
-
-    The evaluation side of a bucket is held, training blocks stream past it.
-    """
-    current, held, keys, count, side = None, [], _NO, _NO, [_NO] * 3
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if len(keys) and count.any():
-            df = count[np.searchsorted(keys, side[0])]
-            hit = df > 0
-            step = np.diff(side[0][hit], prepend=np.uint64(0))
-            yield _row(current, EVAL, int(hit.sum()), postings.squeeze(step, side[1][hit], side[2][hit], df[hit].astype(np.uint64)))
-
-    for bucket, kind, n, payload in postings.streamed(batches):
-        if bucket != current:
-            yield from close()
-            current, held, keys, count, side = bucket, [], _NO, _NO, [_NO] * 3
-        if kind == EVAL:
-            held.append(postings.opened(payload, n, 2))
-            continue
-        if held:
-            side, held = _gather(held, 3), []
-            keys = np.unique(side[0])
-            count = np.zeros(len(keys), np.int64)
-        if not len(keys):
-            continue
-        key, rep = postings.opened(payload, n, 1)
-        at = np.searchsorted(keys, key)
-        at[at == len(keys)] = 0
-        hit = keys[at] == key
-        if hit.any():
-            count += np.bincount(at[hit], minlength=len(keys))
-            step = np.diff(key[hit], prepend=np.uint64(0))
-            yield _row(bucket, TRAIN, int(hit.sum()), postings.squeeze(step, rep[hit]))
-    yield from close()
-
-
 def _open_eval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, _, n, payload in postings.streamed(batches):
-        key, rep, size, df = postings.opened(payload, n, 3)
-        arrays = [pa.array(rep.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(key.view(np.int64)), pa.array(df.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, ["e", "n", "bucket", "key", "df"])
+        key, rep, size, place, df = postings.opened(payload, n, 4)
+        columns = [rep.view(np.int64), size.astype(np.int32), np.full(n, bucket, np.int32), key.view(np.int64), place.view(np.int64), df.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "n", "bucket", "key", "place", "df"])
 
 
-def _probe_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bucket, key, rep = (batch[c].to_numpy() for c in ("bucket", "key", "e"))
-        for b in np.unique(bucket).tolist():
-            mine = bucket == b
-            order = np.argsort(key[mine])
-            step = np.diff(key[mine][order].view(np.uint64), prepend=np.uint64(0))
-            yield _row(b, EVAL, int(mine.sum()), postings.squeeze(step, rep[mine][order].view(np.uint64)))
+def _probe_blocks(ranges: Ranges):
+    """Probes by bucket; those of a large run go to each of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, key, rep = (batch[c].to_numpy() for c in ("bucket", "key", "e"))
+            for b in np.unique(bucket).tolist():
+                mine = bucket == b
+                order = np.argsort(key[mine].view(np.uint64))
+                step = np.diff(key[mine][order].view(np.uint64), prepend=np.uint64(0))
+                payload = postings.squeeze(step, rep[mine][order].view(np.uint64))
+                of_run = ranges.run_of(b)
+                to = [b] if of_run < 0 else range(ranges.first[of_run], ranges.first[of_run] + ranges.spread[of_run])
+                n = len(to)
+                yield postings.batch_of(list(to), [EVAL] * n, [int(mine.sum())] * n, [payload] * n)
+
+    return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(evaluation record, training record) for every probe and training suffix with equal keys."""
-    current, held, side = None, [], [_NO] * 2
-    for bucket, kind, n, payload in postings.streamed(batches):
-        if bucket != current:
-            current, held, side = bucket, [], [_NO] * 2
-        if kind == EVAL:
-            held.append(postings.opened(payload, n, 1))
+    """(evaluation record, training record) for every probe and training suffix of one run."""
+    for _, parts in postings.by_bucket_of(batches):
+        probe, probing = postings.gathered([postings.opened(p, n, 1) for kind, n, p in parts if kind == EVAL], 2)
+        if not len(probe):
             continue
-        if held:
-            side, held = _gather(held, 2), []
-        if not len(side[0]):
-            continue
-        key, rep = postings.opened(payload, n, 1)
-        low, high = np.searchsorted(side[0], key, "left"), np.searchsorted(side[0], key, "right")
-        width = high - low
-        hit = width > 0
-        for part in np.array_split(np.flatnonzero(hit), max(1, int(width[hit].sum()) // 200_000 + 1)):
-            w = width[part]
-            if not w.sum():
+        for kind, n, payload in parts:
+            if kind != TRAIN:
                 continue
-            at = np.arange(w.sum()) + np.repeat(low[part] - (np.cumsum(w) - w), w)
-            pairs = np.unique(np.stack([side[1][at], np.repeat(rep[part], w)], 1), axis=0)
-            pairs = pairs.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["e", "t"])
-
-
-def _covered(depth: int, threshold: float):
+            key, rep = postings.opened(payload, n, 1)
+            low, high = np.searchsorted(probe, key, "left"), np.searchsorted(probe, key, "right")
+            width = high - low
+            hit = width > 0
+            for part in np.array_split(np.flatnonzero(hit), max(1, int(width[hit].sum()) // 200_000 + 1)):
+                w = width[part]
+                if not w.sum():
+                    continue
+                at = np.arange(w.sum()) + np.repeat(low[part] - (np.cumsum(w) - w), w)
+                pairs = np.unique(np.stack([probing[at], np.repeat(rep[part], w)], 1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["e", "t"])
+
+
+def _covered(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            evals, trains = _sets(batch["text_e"], depth), _sets(batch["text_t"], depth)
+            evals, trains = _sets(batch["text_e"], DEPTH), _sets(batch["text_t"], DEPTH)
             for a, b in zip(evals, trains, strict=True):
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(len(a) > 0 and shared >= needed(np.asarray(len(a)), threshold))
@@ -184,7 +115,20 @@ def _sets(column: pa.Array, depth: int) -> list[np.ndarray]:
     return [by.get(i, _NO) for i in coded.indices.to_pylist()]
 
 
-def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
+def spans(covered: DataFrame) -> DataFrame:
+    """``(e, n, first, length)``: shared sequences at consecutive places merged into spans; the length is in words."""
+    island = F.col("place") - F.row_number().over(Window.partitionBy("e").orderBy("place"))
+    return covered.withColumn("island", island).groupBy("e", "n", "island").agg(
+        F.min("place").alias("first"), (F.count(F.lit(1)) + DEPTH - 1).alias("length")
+    ).drop("island")
+
+
+def coverage(merged: DataFrame) -> DataFrame:
+    """``(e, n, m)``: of each record the number of its sequences and of those within spans."""
+    return merged.groupBy("e", "n").agg(F.sum(F.col("length") - (DEPTH - 1)).alias("m"))
+
+
+def class_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(e, t)``: representatives of texts of which the first, in an evaluation split, is covered by the second in train.
 
     A text that stands in both meets its own suffixes and is paired with itself.
@@ -192,22 +136,22 @@ def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THR
     rows = documents.select("doc_id", "text", split_name().alias("side"))
     wanted = rows.where("side <> ''")
     texts = copies.distinct_texts(wanted, {"trains": F.col("side") == "train", "evaluates": F.col("side") != "train"})
-    buckets = postings.bucket_count(documents)
-    suffixes = texts.drop("copies").mapInArrow(_suffix_blocks(depth, buckets), postings.BLOCK_SCHEMA)
-    shared = cut(postings.by_bucket(suffixes).mapInArrow(_shared, postings.BLOCK_SCHEMA))
+    size = postings.stored_bytes(documents)
+    ranges = draw_ranges(wanted, size, postings.bucket_count(documents, size))
+    array = texts.drop("copies").mapInArrow(suffix_blocks(ranges), postings.BLOCK_SCHEMA)
+    shared = cut(postings.by_bucket(array, ranges.buckets).mapInArrow(neighbours(ranges), postings.BLOCK_SCHEMA))
 
-    covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, bucket int, key bigint, df bigint")
-    record = Window.partitionBy("e")
+    covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, bucket int, key bigint, place bigint, df bigint")
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))
+    enough = coverage(spans(covered)).where(F.col("m") >= least).select("e", "m")
     probes = (
-        covered.withColumn("m", F.count(F.lit(1)).over(record))
-        .where(F.col("m") >= least)
-        .withColumn("rank", F.row_number().over(record.orderBy("df", "bucket", "key")))
+        covered.join(enough, "e")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("e").orderBy("df", "bucket", "key")))
         .where(F.col("rank") <= F.col("m") - least + 1)
         .select("e", "bucket", "key")
     )
-    probe_blocks = probes.mapInArrow(_probe_blocks, postings.BLOCK_SCHEMA)
-    meeting = postings.by_bucket(shared.where(F.col("kind") == TRAIN).unionByName(probe_blocks))
+    probe_blocks = probes.mapInArrow(_probe_blocks(ranges), postings.BLOCK_SCHEMA)
+    meeting = postings.by_bucket(shared.where(F.col("kind") == TRAIN).unionByName(probe_blocks), ranges.buckets)
     candidates = cut(meeting.mapInArrow(_meet, "e bigint, t bigint").distinct())
 
     ids = candidates.select(F.explode(F.array("e", "t")).alias("rep")).distinct()
@@ -215,13 +159,13 @@ def class_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THR
     return (
         candidates.join(found.select(F.col("rep").alias("e"), F.col("text").alias("text_e")), "e")
         .join(found.select(F.col("rep").alias("t"), F.col("text").alias("text_t")), "t")
-        .mapInArrow(_covered(depth, threshold), "e bigint, t bigint")
+        .mapInArrow(_covered(threshold), "e bigint, t bigint")
     )
 
 
-def record_pairs(documents: DataFrame, depth: int = DEPTH, threshold: float = THRESHOLD) -> DataFrame:
+def record_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(eval_id, train_id, eval_split, eval_source, train_source)`` of every overlapping pair of records."""
-    pairs = class_pairs(documents, depth, threshold)
+    pairs = class_pairs(documents, threshold)
     # The same rows as in class_pairs, so that a class has the same representative.
     sided = documents.select("doc_id", "text", "source", split_name().alias("side")).where("side <> ''")
     everyone = copies.members(sided, F.col("side"), F.col("source"))

@@ -54,11 +54,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sequences(texts: list[str | None], n: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(
+    texts: list[str | None], n: int, min_words: int = MIN_WORDS, width: int = 0
+) -> tuple[np.ndarray, ...]:
     """Distinct n-word sequences of each text with enough words.
 
     Returns (positions of those texts, hashes sorted within each text, start of each text's
-    hashes with the total at the end).
+    hashes with the total at the end). With a ``width`` the hashes stand in the order of the texts, and there follow
+    the place of each hash's first occurrence among all words, the leading ``width`` bits of all words' hashes and the place of
+    each text's first word.
     """
     kept, lengths, flat = [], [], []
     for i, text in enumerate(texts):
@@ -68,7 +72,9 @@ def sequences(texts: list[str | None], n: int, min_words: int = MIN_WORDS) -> tu
             lengths.append(len(w))
             flat.append(np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w)))
     if not kept:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        none = np.zeros(0, np.int64)
+        empty = none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return (*empty, none, np.zeros(0, np.uint64), none) if width else empty
     h = np.concatenate(flat)
     # Prefix doubling: the key of 2k words comes from two keys of k words.
     span, key, power = 1, h, _P
@@ -85,6 +91,15 @@ def sequences(texts: list[str | None], n: int, min_words: int = MIN_WORDS) -> tu
     at = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
     grams = mix(key[at])
     edges = np.concatenate([[0], np.cumsum(counts)])
+    if width:
+        places, total = [], [0]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            _, first = np.unique(grams[a:b], return_index=True)
+            first.sort()
+            places.append(first + a)
+            total.append(total[-1] + len(first))
+        chosen = np.concatenate(places)
+        return np.asarray(kept), grams[chosen], np.asarray(total), at[chosen], h >> np.uint64(64 - width), begins
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         grams[a:b].sort()
     new = np.empty(len(grams), bool)

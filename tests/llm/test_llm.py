@@ -1,12 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from taleloom.llm import encode, mixing, near, overlap, packing, quality, residue
+from taleloom.llm import encode, mixing, near, overlap, packing, postings, quality, residue, suffixes
 from taleloom.llm.words import sequences, words
 
 SMALL = "/root/testdata/sf0.01"
@@ -53,8 +54,12 @@ def test_words_and_sequences():
     assert at.tolist() == [0, 3] and (starts[1:] - starts[:-1]).tolist() == [4, 1] and grams[-1] in grams[:4]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_overlap_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "buckets", "ranges"), [(1, 8, 16_384), (2, 3000, 16_384), (3, 400, 20)])
+def test_overlap_against_brute_force(spark, monkeypatch, seed, buckets, ranges):
+    """With few buckets of many suffixes, with many so that repeated passages are large runs, and with divided ranges."""
+    monkeypatch.setattr(postings, "bucket_count", lambda source, size=None: buckets)
+    monkeypatch.setattr(postings, "MOST_TASKS", 8)
+    monkeypatch.setattr(suffixes, "MOST_RANGES", ranges)
     rows = family(seed)
     side = {i: next((s for s in ("train", "val", "test") if (sp or "").strip().lower().startswith(s)), None) for i, _, sp, _ in rows}
     grams = {i: brute_grams(t, 8) for i, t, _, _ in rows}
@@ -68,6 +73,37 @@ def test_overlap_against_brute_force(spark, seed):
     assert overlap.record_pairs(docs(spark, [])).count() == 0
 
 
+def test_suffixes_are_sorted_words():
+    texts = [story(random.Random(i), 60) for i in range(4)] + ["a b c d e f g h " * 4, "too short", None]
+    at, size, key, place = suffixes.suffixes(texts, 8)
+    assert at.tolist() == [0, 1, 2, 3, 4] and size.tolist() == [53, 53, 53, 53, 8] and place[-8:].tolist() == list(range(8))
+    order = np.argsort(key)
+    prefix = suffixes.common_prefix(key[order][:-1], key[order][1:], 8)
+    classes = [tuple(int(k) >> 8 * (7 - i) & 255 for i in range(8)) for k in key[order]]
+    assert classes == sorted(classes)
+    assert prefix.tolist() == [next((i for i in range(8) if a[i] != b[i]), 8) for a, b in itertools.pairwise(classes)]
+    ranges = suffixes.cut_ranges(np.r_[np.arange(1000, dtype=np.uint64), np.full(600, 7, np.uint64)], 8, 16, 2)
+    assert ranges.large.tolist() == [7] and ranges.spread[0] >= 12 and ranges.buckets == ranges.plain + ranges.spread[0]
+    bucket = ranges.bucket_of(np.full(100, 7, np.uint64), np.arange(100, dtype=np.uint64))
+    assert len(set(bucket.tolist())) == ranges.spread[0] and all(ranges.run_of(b) == 0 for b in bucket.tolist()) and ranges.run_of(3) == -1
+    empty = suffixes.cut_ranges(np.zeros(0, np.uint64), 8, 16, 1)
+    assert empty.bucket_of(np.arange(3, dtype=np.uint64), np.arange(3, dtype=np.uint64)).tolist() == [0, 0, 0]
+
+
+def test_spans_and_coverage(spark):
+    places = [(1, 20, p) for p in (0, 1, 2, 7, 8)] + [(2, 9, 4)]
+    merged = overlap.spans(spark.createDataFrame(places, "e long, n int, place long"))
+    assert {(r["e"], r["first"], r["length"]) for r in merged.collect()} == {(1, 0, 10), (1, 7, 9), (2, 4, 8)}
+    assert {tuple(r) for r in overlap.coverage(merged).collect()} == {(1, 20, 5), (2, 9, 1)}
+
+
+def test_buckets_of_any_input(spark):
+    """An input that is no plain scan is measured by its texts, and buckets have an upper bound."""
+    frame = docs(spark, [(i, "x" * 1000, None, None) for i in range(50)])
+    assert postings.stored_bytes(frame) == 20_000 and postings.bucket_count(frame) == 8
+    assert postings.bucket_count(frame, 1 << 62) == postings.MOST_BUCKETS
+
+
 @pytest.mark.parametrize(("size", "threshold"), [(3, 0.7), (5, 0.8)])
 def test_near_against_brute_force(spark, size, threshold):
     rows = family(3)
