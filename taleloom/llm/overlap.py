@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.llm import copies, postings
@@ -31,6 +31,8 @@ from taleloom.llm.words import sequences
 from taleloom.session import cut
 
 THRESHOLD = 0.5
+#: Rows of covered suffixes that are judged together, whole records always.
+BLOCK_ROWS = 500_000
 _NO = np.zeros(0, np.uint64)
 
 
@@ -53,21 +55,62 @@ def _open_eval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "n", "bucket", "key", "place", "df"])
 
 
-def _probe_blocks(ranges: Ranges):
-    """Probes by bucket; those of a large run go to each of its buckets."""
+def spans(record: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in the order of records: the row at which each span begins, and its length in words.
+
+    A span is a run of shared sequences at consecutive places.
+    """
+    new = np.r_[True, (record[1:] != record[:-1]) | (place[1:] != place[:-1] + 1)]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.r_[first, len(place)]) + DEPTH - 1
+
+
+def probing(table: pa.Table, threshold: float) -> np.ndarray:
+    """Rows of whole records (sorted by record and place) that probe: the rarest of those of records covered to the threshold."""
+    record, place, n, df = (table[c].to_numpy() for c in ("e", "place", "n", "df"))
+    first, length = spans(record, place)
+    begins = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+    # A span of k words holds k - DEPTH + 1 sequences.
+    coverage = np.add.reduceat(length - (DEPTH - 1), np.searchsorted(first, begins))
+    spare = coverage - needed(n[begins], threshold) + 1
+    owner = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(record)]))
+    order = np.lexsort((table["key"].to_numpy(), table["bucket"].to_numpy(), df, owner))
+    rank = np.arange(len(order)) - begins[owner]
+    return order[rank < spare[owner]]
+
+
+def _probe_blocks(ranges: Ranges, threshold: float):
+    """Probes of the covered suffixes that stream by record; those of a large run go to each of its buckets."""
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = probing(table, threshold)
+        bucket, key, rep = (table[c].to_numpy()[rows] for c in ("bucket", "key", "e"))
+        order = np.lexsort((key.view(np.uint64), bucket))
+        bucket, key, rep = bucket[order], key[order].view(np.uint64), rep[order].view(np.uint64)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+        for a, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            payload = postings.squeeze(np.diff(key[a:z], prepend=np.uint64(0)), rep[a:z])
+            b = int(bucket[a])
+            of_run = ranges.run_of(b)
+            to = [b] if of_run < 0 else list(range(ranges.first[of_run], ranges.first[of_run] + ranges.spread[of_run]))
+            yield postings.batch_of(to, [EVAL] * len(to), [int(z - a)] * len(to), [payload] * len(to))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            bucket, key, rep = (batch[c].to_numpy() for c in ("bucket", "key", "e"))
-            for b in np.unique(bucket).tolist():
-                mine = bucket == b
-                order = np.argsort(key[mine].view(np.uint64))
-                step = np.diff(key[mine][order].view(np.uint64), prepend=np.uint64(0))
-                payload = postings.squeeze(step, rep[mine][order].view(np.uint64))
-                of_run = ranges.run_of(b)
-                to = [b] if of_run < 0 else range(ranges.first[of_run], ranges.first[of_run] + ranges.spread[of_run])
-                n = len(to)
-                yield postings.batch_of(list(to), [EVAL] * n, [int(mine.sum())] * n, [payload] * n)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < BLOCK_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            last = int(np.searchsorted(table["e"].to_numpy(), table["e"][-1].as_py()))
+            if last:  # the last record may go on
+                yield from packed(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                rows -= last
+        if rows:
+            yield from packed(pa.Table.from_batches(held))
 
     return run
 
@@ -115,19 +158,6 @@ def _sets(column: pa.Array, depth: int) -> list[np.ndarray]:
     return [by.get(i, _NO) for i in coded.indices.to_pylist()]
 
 
-def spans(covered: DataFrame) -> DataFrame:
-    """``(e, n, first, length)``: shared sequences at consecutive places merged into spans; the length is in words."""
-    island = F.col("place") - F.row_number().over(Window.partitionBy("e").orderBy("place"))
-    return covered.withColumn("island", island).groupBy("e", "n", "island").agg(
-        F.min("place").alias("first"), (F.count(F.lit(1)) + DEPTH - 1).alias("length")
-    ).drop("island")
-
-
-def coverage(merged: DataFrame) -> DataFrame:
-    """``(e, n, m)``: of each record the number of its sequences and of those within spans."""
-    return merged.groupBy("e", "n").agg(F.sum(F.col("length") - (DEPTH - 1)).alias("m"))
-
-
 def class_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(e, t)``: representatives of texts of which the first, in an evaluation split, is covered by the second in train.
 
@@ -142,15 +172,8 @@ def class_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     shared = cut(postings.by_bucket(array, ranges.buckets).mapInArrow(neighbours(ranges), postings.BLOCK_SCHEMA))
 
     covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, bucket int, key bigint, place bigint, df bigint")
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))
-    enough = coverage(spans(covered)).where(F.col("m") >= least).select("e", "m")
-    probes = (
-        covered.join(enough, "e")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("e").orderBy("df", "bucket", "key")))
-        .where(F.col("rank") <= F.col("m") - least + 1)
-        .select("e", "bucket", "key")
-    )
-    probe_blocks = probes.mapInArrow(_probe_blocks(ranges), postings.BLOCK_SCHEMA)
+    by_record = covered.repartition("e").sortWithinPartitions("e", "place")
+    probe_blocks = by_record.mapInArrow(_probe_blocks(ranges, threshold), postings.BLOCK_SCHEMA)
     meeting = postings.by_bucket(shared.where(F.col("kind") == TRAIN).unionByName(probe_blocks), ranges.buckets)
     candidates = cut(meeting.mapInArrow(_meet, "e bigint, t bigint").distinct())
 

@@ -172,11 +172,17 @@ QUERIES = {
     "p8_reasons": p8_reasons,
 }
 
+_OVERLAPS = f"""
+    WITH g AS ({_sequences(8)}), n AS (SELECT doc_id, count(*) AS n FROM g WHERE side = 'eval' GROUP BY doc_id),
+    m AS (SELECT e.doc_id AS e, t.doc_id AS t, count(*) AS c FROM g e JOIN g t ON e.g = t.g AND e.side = 'eval' AND t.side = 'train' GROUP BY 1, 2)
+"""
+
 SQL = {
-    "p2_found": f"""
-        WITH g AS ({_sequences(8)}), n AS (SELECT doc_id, count(*) AS n FROM g WHERE side = 'eval' GROUP BY doc_id),
-        m AS (SELECT e.doc_id AS e, t.doc_id AS t, count(*) AS c FROM g e JOIN g t ON e.g = t.g AND e.side = 'eval' AND t.side = 'train' GROUP BY 1, 2)
-        SELECT least(e, t) AS doc_id_a, greatest(e, t) AS doc_id_b FROM m JOIN n ON e = n.doc_id WHERE 2 * c >= n""",
+    "p2_found": f"{_OVERLAPS} SELECT least(e, t) AS doc_id_a, greatest(e, t) AS doc_id_b FROM m JOIN n ON e = n.doc_id WHERE 2 * c >= n",
+    "p2_report": f"""
+        {_OVERLAPS} SELECT regexp_extract(lower(trim(d.split)), '^(train|val|test)', 1) AS eval_split, d.source AS eval_source,
+            count(DISTINCT e) AS records, count(*) AS pairs
+        FROM m JOIN n ON e = n.doc_id JOIN documents d ON d.doc_id = e WHERE 2 * c >= n GROUP BY 1, 2""",
     "p4_found": f"""
         WITH g AS ({_sequences(3)}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)

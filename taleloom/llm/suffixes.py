@@ -2,13 +2,14 @@
 
 The alphabet is one of word classes: a word's class is the leading bits of its hash, and classes are
 ordered by these bits. A text is the string of its words' classes, and a suffix is known by its
-first eight of them, which fill one number whose order is the suffixes' order. Splitters drawn
+first eight of them, in order, followed by bits of the hash of the eight words themselves, which tell apart words of
+one class. Both make one number, whose order is the suffixes' order. Splitters drawn
 from a sample of suffixes cut the array into ranges of like size; a run of equal suffixes
 that is larger than such a range (a passage that a great part of the texts holds) is dealt over several
 buckets of its own, and every one of them is told the sizes of the whole run.
 
 Within a bucket all suffixes are sorted and each is compared with its neighbour: the common prefix is the
-number of leading classes in which the two agree.
+number of leading words in which the two agree.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from taleloom.llm import postings
 from taleloom.llm.words import MIN_WORDS, sequences
 
-#: Words of a suffix that are compared.
+#: Words of a suffix that are compared, and bits of a word's class.
 DEPTH = 8
+CLASS_BITS = 4
 #: Ranges that splitters make at most; beyond, each range is divided again by a hash of its suffixes' first half.
 MOST_RANGES = 16_384
 #: Stored bytes of the sample for each range, and at least; suffixes taken of a sampled text.
@@ -37,9 +39,12 @@ MARK_EVAL, MARK_TRAIN, EVAL, TRAIN = range(4)
 
 @dataclass(frozen=True)
 class Ranges:
-    """The cut of the array: splitters, the division of a range, and large runs with their first bucket and width."""
+    """The cut of the array: splitters, the division of a range, and large runs with their first bucket and width.
 
-    width: int
+    ``check`` is the number of bits that tell words of one class apart.
+    """
+
+    check: int
     splitters: np.ndarray
     division: int
     large: np.ndarray
@@ -62,7 +67,7 @@ class Ranges:
     def bucket_of(self, key: np.ndarray, record: np.ndarray) -> np.ndarray:
         out = np.searchsorted(self.splitters, key, "right").astype(np.int64) * self.division
         if self.division > 1:
-            head = key >> np.uint64(self.width * DEPTH // 2)
+            head = key >> np.uint64(self.check)
             out += ((head * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.division
         if len(self.large):
             at = np.minimum(np.searchsorted(self.large, key), len(self.large) - 1)
@@ -71,46 +76,47 @@ class Ranges:
         return out
 
 
-def class_width(buckets: int) -> int:
-    """Bits of a word's class: the longer the array, the more, so that suffixes are told apart as well at any size."""
-    return min(8, -(-(40 + int(buckets).bit_length()) // DEPTH))
+def check_bits(buckets: int) -> int:
+    """The longer the array, the more, so that sequences are told apart as well at any size."""
+    return min(64 - DEPTH * CLASS_BITS, 12 + int(buckets).bit_length())
 
 
-def suffixes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(texts: list[str | None], check: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(text, size, key, place)``: texts with enough words and their numbers of different suffixes; keys and word numbers of these.
 
-    Of suffixes that agree in all their first words the first one in a text counts.
+    Of suffixes that agree in all their words the first one in a text counts.
     """
-    at, grams, starts, places, classes, begins = sequences(texts, DEPTH, MIN_WORDS, width)
+    at, grams, starts, places, classes, begins = sequences(texts, DEPTH, MIN_WORDS, CLASS_BITS)
     if not len(at):
         return at, np.zeros(0, np.int64), grams, places
     key, span = classes, 1
     while span < DEPTH:
-        key = (key[: len(key) - span] << np.uint64(width * span)) | key[span:]
+        key = (key[: len(key) - span] << np.uint64(CLASS_BITS * span)) | key[span:]
         span *= 2
     size = np.diff(starts)
-    return at, size, key[places], places - np.repeat(begins, size)
+    return at, size, key[places] << np.uint64(check) | grams >> np.uint64(64 - check), places - np.repeat(begins, size)
 
 
-def common_prefix(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Number of leading classes in which keys agree."""
+def common_prefix(a: np.ndarray, b: np.ndarray, check: int) -> np.ndarray:
+    """Number of leading classes in which keys agree; DEPTH only if the words do, too."""
     apart = a ^ b
     out = np.full(len(apart), DEPTH)
-    for k in range(DEPTH):
-        out[(apart >> np.uint64(width * k)) > 0] = DEPTH - 1 - k
+    out[apart > 0] = DEPTH - 1
+    for k in range(1, DEPTH):
+        out[(apart >> np.uint64(check + CLASS_BITS * k)) > 0] = DEPTH - 1 - k
     return out
 
 
 def draw_ranges(texts: DataFrame, size: int, buckets: int) -> Ranges:
     """Splitters and large runs from a sample of texts whose size follows the number of ranges."""
-    width = class_width(buckets)
+    check = check_bits(buckets)
     ranges = min(buckets, MOST_RANGES)
     fraction = min(1.0, max(LEAST_SAMPLE, SAMPLE_BYTES * ranges) / max(1, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch["text"].to_pylist()
-            at, n, key, _ = suffixes(column, width)
+            at, n, key, _ = suffixes(column, check)
             ends = np.cumsum(n)
             picked = []
             for i, first, count in zip(at.tolist(), (ends - n).tolist(), n.tolist(), strict=True):
@@ -121,14 +127,14 @@ def draw_ranges(texts: DataFrame, size: int, buckets: int) -> Ranges:
 
     sample = texts.select("text").sample(fraction, seed=1) if fraction < 1 else texts.select("text")
     drawn = sample.mapInArrow(run, "key bigint").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    return cut_ranges(drawn, width, ranges, max(1, buckets // ranges))
+    return cut_ranges(drawn, check, ranges, max(1, buckets // ranges))
 
 
-def cut_ranges(drawn: np.ndarray, width: int, ranges: int, division: int) -> Ranges:
+def cut_ranges(drawn: np.ndarray, check: int, ranges: int, division: int) -> Ranges:
     keys, often = np.unique(drawn, return_counts=True)
     if not len(keys):
         none = np.zeros(0, np.int64)
-        return Ranges(width, keys, division, keys, none, none)
+        return Ranges(check, keys, division, keys, none, none)
     share = often * (ranges * division) / often.sum()
     large = share > 1
     spread = np.ceil(share[large]).astype(np.int64) + 1
@@ -136,7 +142,7 @@ def cut_ranges(drawn: np.ndarray, width: int, ranges: int, division: int) -> Ran
     wanted = np.arange(1, ranges) * (ends[-1] / ranges) if len(ends) else np.zeros(0)
     splitters = np.unique(keys[~large][np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)]) if len(ends) else keys[:0]
     first = (len(splitters) + 1) * division + np.cumsum(spread) - spread
-    return Ranges(width, splitters, division, keys[large], first, spread)
+    return Ranges(check, splitters, division, keys[large], first, spread)
 
 
 def suffix_blocks(ranges: Ranges):
@@ -144,7 +150,7 @@ def suffix_blocks(ranges: Ranges):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n, key, place = suffixes(batch["text"].to_pylist(), ranges.width)
+            at, n, key, place = suffixes(batch["text"].to_pylist(), ranges.check)
             if not len(at):
                 continue
             record = np.repeat(batch["rep"].to_numpy()[at].view(np.uint64), n)
@@ -194,7 +200,7 @@ def neighbours(ranges: Ranges):
             side = np.repeat([0, 1], [len(evals[0]), len(trains[0])])
             order = np.argsort(keys, kind="stable")
             keys, side = keys[order], side[order]
-            prefix = common_prefix(keys[:-1], keys[1:], ranges.width)
+            prefix = common_prefix(keys[:-1], keys[1:], ranges.check)
             number = np.cumsum(np.r_[0, prefix < DEPTH])
             if ranges.run_of(bucket) >= 0:
                 sizes = np.array([[told[MARK_EVAL], told[MARK_TRAIN]]])

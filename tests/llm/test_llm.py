@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import regex
@@ -75,13 +76,13 @@ def test_overlap_against_brute_force(spark, monkeypatch, seed, buckets, ranges):
 
 def test_suffixes_are_sorted_words():
     texts = [story(random.Random(i), 60) for i in range(4)] + ["a b c d e f g h " * 4, "too short", None]
-    at, size, key, place = suffixes.suffixes(texts, 8)
-    assert at.tolist() == [0, 1, 2, 3, 4] and size.tolist() == [53, 53, 53, 53, 8] and place[-8:].tolist() == list(range(8))
+    at, size, key, place = suffixes.suffixes(texts, 20)
+    assert at.tolist() == [0, 1, 2, 3, 4] and size.tolist() == [len(words(t)) - 7 for t in texts[:4]] + [8] and place[-8:].tolist() == list(range(8))
     order = np.argsort(key)
-    prefix = suffixes.common_prefix(key[order][:-1], key[order][1:], 8)
-    classes = [tuple(int(k) >> 8 * (7 - i) & 255 for i in range(8)) for k in key[order]]
+    prefix = suffixes.common_prefix(key[order][:-1], key[order][1:], 20)
+    classes = [tuple(int(k) >> 20 + 4 * (7 - i) & 15 for i in range(8)) for k in key[order]]
     assert classes == sorted(classes)
-    assert prefix.tolist() == [next((i for i in range(8) if a[i] != b[i]), 8) for a, b in itertools.pairwise(classes)]
+    assert prefix.tolist() == [next((i for i in range(8) if a[i] != b[i]), 7 if x != y else 8) for (a, b), (x, y) in zip(itertools.pairwise(classes), itertools.pairwise(key[order].tolist()))]
     ranges = suffixes.cut_ranges(np.r_[np.arange(1000, dtype=np.uint64), np.full(600, 7, np.uint64)], 8, 16, 2)
     assert ranges.large.tolist() == [7] and ranges.spread[0] >= 12 and ranges.buckets == ranges.plain + ranges.spread[0]
     bucket = ranges.bucket_of(np.full(100, 7, np.uint64), np.arange(100, dtype=np.uint64))
@@ -90,11 +91,13 @@ def test_suffixes_are_sorted_words():
     assert empty.bucket_of(np.arange(3, dtype=np.uint64), np.arange(3, dtype=np.uint64)).tolist() == [0, 0, 0]
 
 
-def test_spans_and_coverage(spark):
-    places = [(1, 20, p) for p in (0, 1, 2, 7, 8)] + [(2, 9, 4)]
-    merged = overlap.spans(spark.createDataFrame(places, "e long, n int, place long"))
-    assert {(r["e"], r["first"], r["length"]) for r in merged.collect()} == {(1, 0, 10), (1, 7, 9), (2, 4, 8)}
-    assert {tuple(r) for r in overlap.coverage(merged).collect()} == {(1, 20, 5), (2, 9, 1)}
+def test_spans_and_coverage():
+    """Record 1 has 5 of 9 sequences in two spans and probes with its rarest one; record 2 has too few."""
+    rows = {"e": [1] * 5 + [2], "place": [0, 1, 2, 7, 8, 4], "n": [9] * 6, "df": [5, 4, 1, 3, 9, 1], "bucket": [0] * 6, "key": [7] * 6}
+    first, length = overlap.spans(np.array(rows["e"]), np.array(rows["place"]))
+    assert first.tolist() == [0, 3, 5] and length.tolist() == [10, 9, 8]
+    table = pa.table(rows)
+    assert overlap.probing(table, 0.5).tolist() == [2] and sorted(overlap.probing(table, 0.3).tolist()) == [1, 2, 3]
 
 
 def test_buckets_of_any_input(spark):
