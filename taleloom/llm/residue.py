@@ -1,26 +1,29 @@
 """Template residue, filler text, error pages and notices that scripts are needed.
 
-Records are cut into segments, and segments of one template are aligned by their skeleton:
-function words stay, everything between them is a slot. A value such as ``undefined``, which prose
-can also use, is residue unless the aligned segments show it to be part of the text: nearly all
-different ones hold it while their other words vary. Copies and other numbers are no
-different segments, so neither a frequent record nor a template that is never filled in turns its
-unset value into text. An address without a name is residue; other blanks are not, as a
-dropped word leaves the same. Unmistakable placeholders and messages are residue by
-themselves, and so is a page of any length that tells of a failure and of what to do about it and
-little else. A page that only addresses the reader as an error page does, in most of its sentences, is residue if it
-stands, numbers apart, in several records.
+Slots of templates: records are cut into segments, and segments of one template are aligned by
+their skeleton, in which function words stay and everything between them is a slot. A slot is looked at
+where it holds a marked identifier (a name in brackets or other marks, by syntax), a default (``[object Object]``) or
+an unset value (``undefined``). It is residue where aligned segments fill the slot with something else,
+and where no segment is aligned. It is text where at least five different aligned
+segments hold that same value and make up four fifths of the aligned ones: always for words that
+prose uses too, and for marked identifiers if the template's constant words tell that they are written about. Copies and other
+numbers are no different segments, so a frequent record does not turn its value into text. An
+address whose name is unset or left blank is residue whatever is aligned with it.
+
+Error templates: segments whose words are nearly all those of an error message, a notice about scripts
+or a filler (``lexicon``) are messages; their templates are aligned in the same way, with numbers and other words as
+slots, and told apart by whether they recur. A whole page most of whose
+segments speak of a page's parts or to its reader is residue if it stands, numbers apart, in several records.
 
 Defined results: null and empty texts are no cases; literals of a tokenizer's special tokens,
-sets and JSON in braces, and prices are none; matching ignores case except for placeholders that are
-spelled in capitals; repeated rows are judged each; an empty table gives no rows.
+sets and JSON in braces, and prices are none; texts quoted as code are written about; repeated rows are judged each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from re import _parser
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,176 +31,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taleloom.llm.lexicon import CUES, KINDS, NEGATED, NEGATIONS, OWN_FAILURE, PLAIN, SCRIPTS, TELLING, Kind
 from taleloom.session import cut, spread
 
 #: Different segments that must share a template before its constant words are taken as text; records that make a page a template.
 SUPPORT = 5
 CONSTANT_SHARE = 0.8
-#: Share of a page's sentences that speak as an error page does.
+#: Share of a page's segments that speak as a page does.
 PAGE_SHARE = 0.5
-
-
-
-def _weight(strings: frozenset[str]) -> int:
-    """How rare strings are by their most frequent one; signs are rarer than letters."""
-    return min((sum(1 if c.isalpha() or c == " " else 4 for c in string) for string in strings), default=0)
-
-
-def _necessary(parsed: Iterable) -> frozenset[str]:
-    """Strings of which the folded text of every match of a parsed pattern holds at least one; none if there are none."""
-    found: list[frozenset[str]] = []
-    literal = ""
-
-    def close() -> None:
-        nonlocal literal
-        if literal:
-            found.append(frozenset([literal]))
-        literal = ""
-
-    for op, value in parsed:
-        if op is _parser.LITERAL:
-            literal += chr(value).lower()
-            continue
-        if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0]:
-            part = list(value[2])
-            if len(part) == 1 and part[0][0] is _parser.LITERAL:
-                literal += chr(part[0][1]).lower() * value[0]
-                close()
-            else:
-                close()
-                found.append(_necessary(part))
-            continue
-        close()
-        if op is _parser.SUBPATTERN:
-            found.append(_necessary(value[-1]))
-        elif op is _parser.BRANCH:
-            branches = [_necessary(branch) for branch in value[1]]
-            found.append(frozenset().union(*branches) if all(branches) else frozenset())
-    close()
-    return max(found, key=_weight, default=frozenset())
-
-
-def _gated(pattern: str, flags: int = 0) -> tuple[tuple[str, ...], re.Pattern[str]]:
-    """A pattern with the strings derived from it of which a folded text must hold one; most texts hold none."""
-    return tuple(sorted(_necessary(_parser.parse(pattern, flags)))), re.compile(pattern, flags)
-
-
-def _alternatives(patterns: list[str], flags: int = 0) -> list[tuple[tuple[str, ...], re.Pattern[str]]]:
-    return [_gated(p, flags) for p in patterns]
-
-
-def _in_any(gated: tuple[tuple[str, ...], re.Pattern[str]], low: str, text: str) -> bool:
-    cues, pattern = gated
-    return any(c in low for c in cues) and pattern.search(text) is not None
-
-
-def fold(text: str) -> str:
-    """Lower case as patterns that ignore case see it."""
-    low = text.lower()
-    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i").replace("ſ", "s")
-
-
-_NAME = r"[A-Za-zÄÖÜäöüéèñ_][\w.\- ]{0,40}"
-#: Placeholders by their syntax.
-PLACEHOLDERS = _alternatives(
-    [
-        r"\{\{[^{}\n]{0,60}\}\}",  # {{name}}
-        r"\{%[^{}\n]{0,60}%\}",  # {% block name %}
-        r"<%[^<>\n]{0,60}%>",  # <%= name %>
-        r"(?<!\$)\{(?:\d{1,2}|[A-Za-z_][\w.]{0,30})\}",  # {0} {name}
-        r"\$\{[A-Za-z_][\w.]{0,40}\}",  # ${name}
-        r"\#\{[A-Za-z_][\w.]{0,40}\}",  # #{name}
-        r"%\([A-Za-z_]\w{0,40}\)[sdifr]?",  # %(name)s
-        r"(?<![%\w])%[A-Z][A-Z_]{1,30}%(?!%)",  # %NAME%
-        r"(?<![$\w])\$[A-Z][A-Z_]{1,30}\$",  # $NAME$
-        r"(?<![@\w])@@[A-Za-z_]{2,40}@@(?!@)",  # @@name@@
-        r"(?<![_\w])__[A-Za-z][A-Za-z_]{0,30}?__(?![_\w])",  # __NAME__
-        r"\[\[" + _NAME + r"\]\]",  # [[name]]
-        r"&lt;" + _NAME + r"&gt;",  # &lt;name&gt;
-        r"\[object Object\]",
-        r"\bX{4,}\b",
-    ]
-)
-#: Placeholders by their words, in several languages.
-PROMPTS = _alternatives(
-    [
-        r"[\[<({]\s*(?:please )?(?:insert|enter|add|type|fill in|choose)\b[^\]>)}\n]{0,40}[\]>)}]",
-        r"[\[<({][^\[\]<>(){}\n]{0,40}\b(?:goes here|here|to be added|to come|to follow)\s*[\]>)}]",
-        r"\[\s*(?:your|votre|ihre?|dein|su|tu|ton|il tuo)\b[^\]\n]{0,40}\]",
-        r"\[[^\]\n]{0,40}\b(?:einfügen|eintragen|ici|hier|aquí|insérer|insertar|inserir|invullen)\s*\]",
-        r"[\[<({]\s*(?:tbd|tba|todo|fixme|placeholder)\b[^\]>)}\n]{0,40}[\]>)}]",
-        r"\[\s*[\w ]{1,30} (?:missing|pending|unset|not set|fehlt|manquante?|pendiente)\s*\]",
-    ],
-    re.I,
+#: Words that a template must have for an alignment.
+ANCHORS = 2
+
+#: Marked identifiers, by syntax alone; what is in brackets is judged by ``names_a_slot``.
+_MARKED = re.compile(
+    r"""\{\{[^{}\n]*\}\} | \{%[^{}\n]*%\} | <%[^<>\n]*%> | \[\[[^\[\]\n]*\]\]
+    | (?<!\$)\{(?:\d{1,2}|[^\W\d][\w .\-]*)\} | [$\#]\{[^\W\d][\w.]*\} | %\([^\W\d]\w*\)[sdifr]?
+    | (?<![%\w])%[A-Z][A-Z_]+%(?!%) | (?<![$\w])\$[A-Z][A-Z_]+\$ | (?<![@\w])@@\w+@@(?!@) | (?<![_\w])__[A-Za-z]\w*?__(?![_\w])
+    | &lt;[^\W\d][\w.\- ]*&gt; | \[object\ Object\] | \bX{4,}\b | (?<![\w_])_{3,}(?![\w_]) | (?<![\w:]):[a-z]+(?:_[a-z]+)+\b
+    | (?P<open>[\[<({])\s*(?P<inner>[^\[\]<>(){}|\n]+?)\s*[\]>)}]""",
+    re.X,
 )
-#: Filler that stands in for text.
-FILLER = _alternatives(
-    [
-        r"lorem ipsum dolor",
-        r"\b(text|texte?|texto|blah|test|word|lorem)(?: \1){3,}\b",
-        r"\b(?:sample|dummy|example|placeholder) (?:text|copy|content|paragraph)\b(?: goes here|,? replace| for the \w+ section|\.| to be replaced)",
-        r"\bthis is (?:a )?(?:dummy|sample|placeholder)\b",
-        r"\b(?:texte? factice|texto de relleno|texto de ejemplo)\b(?: à remplacer|, pendiente|\.|,)",
-        r"\bhier steht (?:ein|der) (?:blind|beispiel|platzhalter)text\b",
-        r"\binsert (?:body|your|some|the) (?:copy|text|content)\b",
-        r"\badd your [\w ]{1,20}(?:text|copy|content|here)\b",
-        r"(?:^|\n|[.!?…]\s+)(?:please )?write a (?:short |brief )?(?:description|summary|text) (?:of|about) this\b",
-        r"\b(?:your|some) (?:text|content|copy) here\b",
-        r"(?:^|\n|[.!?…]\s+)(?:please )?(?:type|write|enter|put|add|say) (?:something|anything|a few words|some text|your)\b[^.\n]{0,40}\bhere\b",
-    ],
-    re.I,
+_MARKS = re.compile(r"[\[{<(%$@_:]|&lt;|XXXX")
+#: Names of a template's fields, and words that ask to fill one in.
+_FIELDS = frozenset(
+    """name names firstname lastname surname title date time place value number id email e-mail phone address city country company customer client user username author
+    recipient sender subject body header footer caption text content link url price amount product item order child animal hero seed step run loss key field
+    nom prénom titre lieu valeur adresse ville vorname nachname datum ort wert titel adresse stadt firma kunde nombre apellido título fecha lugar valor ciudad empresa cliente
+    nome cognome titolo data luogo valore indirizzo""".split()
 )
-_SCRIPTS = r"(?:java ?script|js|scripts?|scripting)"
-#: Notices that scripts are needed.
-NOTICES = _alternatives(
-    [
-        r"<noscript\b",
-        r"\b(?:please |must |need to |have to )(?:enable|activate|turn on|switch on|allow) " + _SCRIPTS + r"\b",
-        r"\bif nothing happens, (?:allow|enable|activate) " + _SCRIPTS + r"\b",
-        r"(?:^|\n|[.!?…]\s+)(?:enable|activate|allow|turn on) " + _SCRIPTS + r"\b[^.\n]{0,40}\b(?:to|for)\b",
-        r"\b(?:this|the) (?:page|site|reader|app|application|website|document) (?:needs|requires) " + _SCRIPTS + r"\b",
-        r"(?:^|\n|[.!?…\"”]\s+)" + _SCRIPTS + r" (?:is|are|seems to be) (?:disabled|required|turned off|switched off)\b",
-        r"\byour browser (?:does not|doesn't|cannot|can not) (?:run|support|execute) " + _SCRIPTS + r"\b",
-        r"\b(?:bitte )?aktivieren sie " + _SCRIPTS + r"\b",
-        r"\bveuillez activer " + _SCRIPTS + r"\b",
-        r"\b(?:activa|activar|active|habilita|habilite) " + _SCRIPTS + r" (?:en|para)\b",
-    ],
-    re.I,
+_ASKING = frozenset(
+    """insert enter add type choose select fill placeholder tbd tba todo fixme xxx your here goes missing pending unset votre ihr ihre ihren dein deine tu tus su sus ton ta vos
+    einfügen eintragen eingeben hier fehlt ici insérer saisir manquant manquante aquí insertar introducir pendiente falta qui inserisci tuo tua inserir invullen""".split()
 )
-_STATUS = (
-    r"(?:not found|internal server error|forbidden|bad gateway|service unavailable|gateway time-?out|bad request|unauthorized"
-    r"|method not allowed|request time-?out|too many requests|gone)"
+_TO_DO = frozenset("tbd tba todo fixme insert placeholder".split())
+_FOLLOWING = re.compile(r"\b(?:to be (?:added|inserted|defined|determined|confirmed|announced|filled)|to (?:come|follow)|goes here|not set|coming soon)\b", re.I)
+_LEVELS = frozenset("info warn warning error debug trace fatal critical notice ok".split())
+#: Words by which a text speaks of a literal.
+_ABOUT = frozenset(
+    """write writes written type types put puts use uses pattern placeholder placeholders template templates literal literally named called spelled token tokens marker markers means stands
+    replace replaced replaces syntax variable variables schreibt schreiben écrire écrit escribir escribe""".split()
 )
-#: Messages of error pages.
-ERRORS = _alternatives(
-    [
-        r"\b(?:error|http(?:/[\d.]+)?|erreur|fehler|status)\s*:?\s*[45]\d\d\b",
-        r"(?:^|\n|[.!?…\"”]\s+)[45]\d\d:?\s+(?:error\b|" + _STATUS + ")",
-        r"\bcould(?: not|n't) find the \w+ you (?:were|are) looking for\b",
-        r"\bthe (?:resource|page|file|url|document)\b[^.\n]{0,40}\b(?:does not exist|was not found|could not be found|cannot be found) on this server\b",
-        r"\bthis (?:page|file|document|run|resource|\w+) has been (?:moved or deleted|removed or deleted|deleted or moved)\b",
-        r"\byou do(?: not|n't) have permission to (?:view|access|open)\b",
-        r"(?:^|\n|[.!?…\"”]\s+)(?:\w+ )?access (?:is |was )?denied\s*[.!]",
-        r"\byour session has (?:expired|timed out)\b",
-        r"\brequest timed out after\b",
-        r"\bthis connection was reset\b|\bconnection was reset\s*\.\s*reload\b",
-        r"\bdatabase connection failed\b|\berror establishing a database connection\b",
-        r"\bthe server is (?:down|unavailable|temporarily)\b",
-        r"\bsomething went wrong while (?:loading|opening|processing) this\b",
-        r"\boops!\s+something went wrong\b",
-        r"\bseite (?:wurde )?nicht gefunden\b|\bdie angeforderte seite\b[^.\n]{0,60}\bexistiert nicht\b",
-        r"\bpage (?:demandée )?(?:est )?introuvable\b|\bla page demandée\b[^.\n]{0,20}\bintrouvable\b",
-        r"\bpágina no encontrada\b|\bla página solicitada no existe\b",
-    ],
-    re.I,
-)
-KINDS = (PLACEHOLDERS, PROMPTS, FILLER, NOTICES, ERRORS)
 
 #: Code quoted in a text is written about, not left over.
-_QUOTED = re.compile(r"`[^`\n]{1,120}`")
+_QUOTED = re.compile(r"`[^`\n]*`")
 
 #: Unset values printed in their place; also words of a language, so the aligned segments decide.
-UNSET = re.compile(r"(?<![\w\"'=:<|/\-])(?<!\": )(?:undefined|null|NULL|NaN|None|nil)(?![\w\"'=:>|/\-])")
+UNSET = re.compile(r"(?<![\w\"'=:<|/\-])(?<!\": )(?:undefined|UNDEFINED|null|NULL|NaN|None|nil)(?![\w\"'=:>|/\-])")
 _MENTION = re.compile(
     r"\b(?:is|are|was|were|be|been|being|stay|stays|stayed|remains?|remained|left|as|an?|the|called|became|becomes)\s+"
     r"(?:undefined|null|nil|nan|none)\b(?=\s*[.,;:!?]|\s+(?:in|for|because|when|at|if|and|or|on|until|since|by)\b|\s*$)",
@@ -209,7 +88,7 @@ _SALUTATION = re.compile(
     r"(?:undefined|null|NULL|NaN|None|nil)\b(?=\s*[,.!:\n]|\s*$)"
 )
 _NAMELESS = re.compile(r"(?:^|\n|[.!?]\s+)(?:Dear|Lieber?|Ch[eè]re?|Querid[oa]|Estimad[oa])\s+,(?=\s)")
-_ENGLISH_NONE = re.compile(r"(?:^|[.!?\"“]\s*)None\b|\bNone of\b")
+_ENGLISH_NONE = re.compile(r"\b[Nn]ull and void\b|(?:^|[.!?\"“]\s*)None\b|\bNone of\b")
 
 #: Words of the usual filler Latin.
 LATIN = frozenset(
@@ -219,128 +98,245 @@ LATIN = frozenset(
     pellentesque proident qui quis reprehenderit sed senectus sint sit sunt tempor tristique turpis ullamco ut velit veniam
     vestibulum voluptate""".split()
 )
+_STUTTER = frozenset("text texte texto testo blah bla test word lorem foo bar asdf sample tekst wort mot palabra".split())
 _SEGMENTS = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|\n+")
-_PAGE_CUES = _gated(
-    r"\b(?:page|server|site|seite|página|browser|script|session|connection|request|url|reload|try again|contact|enable|disabled|"
-    r"error|erreur|fehler|maintenance|unavailable|permission|login|log in)\b",
-    re.I,
-)
-_ADDRESS = _gated(r"\b(?:please|you|your|reload|try again|contact|log ?in|go back|refresh|return to|veuillez|bitte|vuelve|inténtalo)\b", re.I)
-_FAILURE = _gated(
-    r"\b(?:sorry|unable|cannot|can't|could(?: not|n't)|fail(?:ed|ure|s)|(?:un|not |no longer )available|out of service|overloaded|maintenance|error|"
-    r"problem|went wrong|expired|denied|refused|timed out|interrupted|désolés?|impossible|indisponible|erreur|leider|fehler|fehlgeschlagen|"
-    r"nicht (?:verfügbar|erreichbar)|sentimos|no disponible|no se (?:pudo|puede))\b",
-    re.I,
-)
-_MACHINE = _gated(
-    r"\b(?:page|server|web ?site|site|request|session|connection|service|browser|url|link|seite|anfrage|verbindung|sitzung|dienst|requête|serveur|"
-    r"connexion|página|servidor|solicitud|conexión|sesión|sitio)\b",
-    re.I,
-)
-_REMEDY = _gated(
-    r"\b(?:(?:try|check|come) (?:again|back)|try (?:again|later|reloading|refreshing)|(?:reload|refresh) (?:the|this|your) |go back|return to|contact (?:us|the|your|support)|"
-    r"(?:log|sign) in again|check (?:the|your) (?:url|address|link|connection)|réessaye[rz]|erneut|später (?:noch einmal|wieder)|laden sie|"
-    r"inténtelo|inténtalo|vuelva a|vuelve a)",
-    re.I,
+_SIGNS = ".,;:!?\"'“”„«»()[]…¿¡*#|"
+_SPLIT = str.maketrans({c: " " for c in "<>/()[]{}\"“”„«»|"} | {"’": "'"})
+_PARTS = frozenset(
+    "page server site seite página website browser script session connection request url link error fehler erreur permission login maintenance unavailable disabled enable".split()
 )
+_SPEECH = frozenset("please you your reload refresh contact veuillez votre bitte ihre vuelve inténtalo".split())
 _NUMBERS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|/\S+")
-_PAIRS = "array<struct<skeleton bigint, words bigint>>"
-SCHEMA = f"doc_id bigint, certain boolean, aligned {_PAIRS}, doubtful {_PAIRS}, page bigint"
+#: A line of a log begins with its time.
+_LOGGED = re.compile(r"\s*[\[(]?\d{2,4}[-/:.]\d{2}[-/:.]\d{2}")
+_JAVA = re.compile(r"\bjava script\b", re.I)
+#: A number that may be a status code.
+_CODE = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _NUMERIC = "0123456789abcdef.,:%-"
 
+_SLOTS = "array<struct<skeleton bigint, bare bigint, value bigint, words bigint, anchored boolean, prose boolean>>"
+_PAIRS = "array<struct<skeleton bigint, words bigint>>"
+_MESSAGES = "array<struct<kind int, template bigint, words bigint>>"
+SCHEMA = f"doc_id bigint, certain boolean, aligned {_PAIRS}, slots {_SLOTS}, messages {_MESSAGES}, page bigint"
+
 
 def _hash(text: str) -> int:
     value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
     return value - (1 << 64) if value >> 63 else value
 
 
-def skeleton(segment: str, frame: frozenset[str]) -> tuple[int, int]:
-    """Function words with everything between them as one slot; and all words, with numbers as one."""
-    out, every, slot = [], [], False
+def names_a_slot(bracket: str, inner: str) -> bool:
+    """Whether a phrase in brackets names a field or asks to fill one in."""
+    if _FOLLOWING.search(inner):
+        return len(inner.split()) <= 2 + len(_FOLLOWING.search(inner).group().split())
+    words = [w.strip(_SIGNS).lower() for w in inner.split()]
+    words = [w for w in words if w]
+    if words and words[0] in _TO_DO:
+        return True
+    if not words or not any(c.isalpha() for c in inner):
+        return False
+    asking, fields = sum(w in _ASKING for w in words), sum(w in _FIELDS for w in words)
+    if bracket == "(":
+        return words[0] in _ASKING and asking + fields >= 0.6 * len(words)
+    if bracket == "{":
+        return asking > 0 and asking + fields >= 0.6 * len(words)
+    if asking and asking + fields >= 0.5 * len(words):
+        return True
+    plain = inner.replace("_", " ")
+    if plain.isupper() and plain.replace(" ", "").replace("-", "").isalpha() and words[0] not in _LEVELS:
+        return len(words) > 1 or "_" in inner or fields > 0
+    if bracket == "<":
+        return fields > 0 and fields == len(words) and (len(words) > 1 or words[0] not in ("link", "body", "header", "footer", "title", "time", "data", "address"))
+    return "_" in inner and inner.replace("_", "").isalpha()
+
+
+def marked_slots(segment: str) -> list[tuple[int, int]]:
+    """Where a segment holds marked identifiers."""
+    if _MARKS.search(segment) is None:
+        return []
+    found = []
+    for m in _MARKED.finditer(segment):
+        if m["open"] is not None and not names_a_slot(m["open"], m["inner"]):
+            continue
+        if m.group() in ("{{}}", "[[]]", "{%%}", "<%%>"):
+            continue
+        found.append(m.span())
+    return found
+
+
+def unset_slots(segment: str) -> list[tuple[int, int]]:
+    """Where a segment holds an unset value that is not spoken of."""
+    spoken = [m.span() for p in (_ENGLISH_NONE, _MENTION) for m in p.finditer(segment)]
+    return [m.span() for m in UNSET.finditer(segment) if not any(a <= m.start() and m.end() <= b for a, b in spoken)]
+
+
+def skeleton(segment: str, frame: frozenset[str]) -> tuple[str, str, int]:
+    """Function words with everything between them as one slot; all words, with numbers as one; the number of function words."""
+    out, every, slot, anchors = [], [], False, 0
     for token in segment.split():
         word = token.strip(".,;:!?\"'“”„«»()[]…¿¡").lower()
         every.append(word if word.isalpha() or word.strip(_NUMERIC) else "0")
         if word in frame:
             out.append(word)
             slot = False
+            anchors += 1
         elif not slot:
             out.append("_")
             slot = True
-    return _hash(" ".join(out)), _hash(" ".join(every))
+    return " ".join(out), " ".join(every), anchors
 
 
-def latin_filler(segment: str) -> bool:
-    words = [w.strip(".,;:!?") for w in segment.lower().split()]
+def latin_filler(words: list[str]) -> bool:
     return len(words) >= 3 and sum(map(LATIN.__contains__, words)) >= 0.8 * len(words) and sum(len(w) > 3 for w in words) >= 2
 
 
-def certain_residue(text: str, low: str, segments: list[str]) -> bool:
-    """Residue that shows by itself."""
-    if "`" in text:
-        text = _QUOTED.sub("", text)
-    for kind in KINDS:
-        if any(_in_any(gated, low, text) for gated in kind):
+def stutter(words: list[str]) -> bool:
+    """One filler word at least four times in a row."""
+    run = 1
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 1
+        if run >= 4 and b in _STUTTER:
             return True
-    return any(map(latin_filler, segments))
-
-
-def _in_each(gated: tuple[tuple[str, ...], re.Pattern[str]], segments: list[str]) -> list[bool]:
-    return [gated[1].search(s) is not None for s in segments]
-
-
-def failure_page(text: str, low: str, segments: list[str]) -> bool:
-    """Whether a whole text tells of a failed page, server or the like and of what to do, and little else."""
-    if not all(_in_any(gated, low, text) for gated in (_REMEDY, _MACHINE, _FAILURE)):
-        return False
-    failed, advised = _in_each(_FAILURE, segments), _in_each(_REMEDY, segments)
-    if not any(f and m for f, m in zip(failed, _in_each(_MACHINE, segments), strict=True)):
+    return False
+
+
+def message_words(segment: str) -> list[str]:
+    """Lower-cased words; what has a digit is a number."""
+    words = []
+    for token in segment.translate(_SPLIT).lower().replace("java script", "javascript").split():
+        word = token.strip(".,;:!?'…¿¡*#-–—=")
+        if word[1:2] == "'" and len(word) > 2:  # an elided article or pronoun
+            word = word[2:]
+        if word:
+            words.append("0" if any(map(str.isdigit, word)) else word)
+    if not NEGATIONS.isdisjoint(words):
+        words = ["not-" + w if w in NEGATED else w for w in words]
+    return words
+
+
+def message_kind(words: list[str], numbers: list[str]) -> int:
+    """The kind of message that nearly all words belong to, or -1."""
+    if not TELLING.isdisjoint(words) or (words[:1] == ["we"] and OWN_FAILURE.isdisjoint(words)):
+        return -1
+    for k, kind in enumerate(KINDS):
+        if _belongs(kind, words, numbers):
+            return k
+    return -1
+
+
+def _belongs(kind: Kind, words: list[str], numbers: list[str]) -> bool:
+    coded = any(n.isdigit() and len(n) == 3 and n[0] in "45" for n in numbers)
+    met = [not core.isdisjoint(words) if kind.words == 1 else len(core.intersection(words)) >= kind.words for core in kind.cores]
+    if kind.name == "error page" and coded and len(met) > 1:
+        met = [True, any(met)]
+    if not all(met):
         return False
-    return sum(f or a for f, a in zip(failed, advised, strict=True)) > PAGE_SHARE * len(segments)
+    topical = [w for w in words if w != "0" and (w in kind.company or w not in PLAIN)]
+    known = sum(map(kind.company.__contains__, topical))
+    # Two different words at least, so that a word of two concepts is no message by itself.
+    return known >= kind.least * len(topical) and (len(set(topical)) > 1 or coded)
 
 
-def page_like(text: str, low: str, segments: list[str]) -> bool:
-    """Whether most sentences of a whole text name a page's parts or address its reader."""
-    if not (_in_any(_PAGE_CUES, low, text) and _in_any(_ADDRESS, low, text)):
-        return False
-    cues, addresses = _in_each(_PAGE_CUES, segments), _in_each(_ADDRESS, segments)
-    return sum(c or a for c, a in zip(cues, addresses, strict=True)) > PAGE_SHARE * len(segments)
-
-
-def examine(text: str | None, frame: frozenset[str]) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]], int | None]:
-    """Whether it is certain residue; its segments; those with an unset value; its hash as a page."""
+def leading_message(segment: str) -> tuple[int, list[str]]:
+    """The kind and words of a message with a status code or about scripts that another sentence follows without a stop."""
+    tokens = _JAVA.sub("JavaScript", segment).split()
+    for k, kind in enumerate(KINDS):
+        if kind.words > 1 or kind.name == "filler":
+            continue
+        at = last = 0
+        for i, token in enumerate(tokens):
+            if i and not token[:1].islower():
+                last = i
+            at = i
+            if any(w != "0" and w not in kind.company and w not in PLAIN for w in message_words(token)):
+                break
+        words = message_words(" ".join(tokens[:last]))
+        if last <= at and words and (kind.name != "error page" or "0" in words):
+            numbers = [t.strip(_SIGNS) for t in tokens[:last]]
+            coded = any(n.isdigit() and len(n) == 3 and n[0] in "45" for n in numbers)
+            if (coded or kind.name != "error page") and TELLING.isdisjoint(words) and _belongs(kind, words, numbers):
+                return k, words
+    return -1, []
+
+
+def _template(kind: int, words: list[str]) -> tuple[int, int]:
+    """A message's template, in which words that are not of its kind and numbers are slots; and all its words."""
+    company, out = KINDS[kind].company, [str(kind)]
+    for w in words:
+        part = w if w in company or w in PLAIN else "_"
+        if out[-1] != part or part != "_":
+            out.append(part)
+    return _hash(" ".join(out)), _hash(" ".join(words))
+
+
+Slot = tuple[int, int, int, int, bool, bool]
+
+
+def examine(
+    text: str | None, frame: frozenset[str]
+) -> tuple[bool, list[tuple[int, int]], list[Slot], list[tuple[int, int, int]], int | None]:
+    """Whether an address lacks its name; skeletons of segments; slots looked at; messages; its hash as a page."""
     if not text or text.isspace():
-        return False, [], [], None
-    low = fold(text)
-    segments = [s for s in _SEGMENTS.split(text) if s and not s.isspace()]
-    certain = certain_residue(text, low, segments) or _NAMELESS.search(text) is not None
-    skeletons = {skeleton(s, frame) for s in segments}
-    doubtful = set()
+        return False, [], [], [], None
+    body = _QUOTED.sub("", text) if "`" in text else text
+    low = body.lower()
+    segments = [s for s in _SEGMENTS.split(body) if s and not s.isspace()]
     unset = "undefined" in low or "null" in low or "nan" in low or "none" in low or "nil" in low
-    certain = certain or (unset and _SALUTATION.search(text) is not None)
-    if unset and not certain:
-        for s in segments:
-            plain = _ENGLISH_NONE.sub("", _MENTION.sub("", s))
-            if UNSET.search(plain) or "UNDEFINED" in plain:
-                doubtful.add(skeleton(s, frame))
-    certain = certain or failure_page(text, low, segments)
+    certain = _NAMELESS.search(body) is not None or (unset and _SALUTATION.search(body) is not None)
+    coded = _CODE.search(body) is not None
+    aligned, slots, messages, spoken = set(), set(), set(), 0
+    for s in segments:
+        form, every, anchors = skeleton(s, frame)
+        own = _hash(form), _hash(every)
+        if anchors >= ANCHORS:
+            aligned.add(own)
+        marked = marked_slots(s)
+        doubtful = unset_slots(s) if unset else []
+        said = every.split()
+        for spans, prose in ((marked, False), (doubtful, True)):
+            for a, b in spans:
+                bare, _, _ = skeleton(s[:a] + " " + s[b:], frame)
+                told = prose or not _ABOUT.isdisjoint(said)
+                slots.add((own[0], _hash(bare), _hash(s[a:b].lower()), own[1], anchors >= ANCHORS, told))
+        spoken += not (_PARTS.isdisjoint(said) and _SPEECH.isdisjoint(said))
+        if CUES.isdisjoint(said) and LATIN.isdisjoint(said) and "<" not in s and not coded and len(set(said)) > 0.5 * len(said):
+            continue
+        words = message_words(s)
+        if latin_filler(words) or stutter(words):
+            messages.add((len(KINDS), *_template(len(KINDS) - 1, words)))
+        elif _LOGGED.match(s) is None:
+            kind = message_kind(words, [t.strip(_SIGNS) for t in s.split()] if coded else [])
+            if kind < 0 and (coded or not SCRIPTS.isdisjoint(words)):
+                kind, words = leading_message(s)
+            if kind >= 0:
+                messages.add((kind, *_template(kind, words)))
     page = None
-    if not certain and page_like(text, low, segments):
-        page = _hash(" ".join(_NUMBERS.sub("0", low).split()))
-    return certain, sorted(skeletons), sorted(doubtful), page
+    if not messages and spoken > PAGE_SHARE * len(segments):
+        every = set(message_words(body))
+        if not _PARTS.isdisjoint(every) and not _SPEECH.isdisjoint(every):
+            page = _hash(" ".join(_NUMBERS.sub("0", low).split()))
+    return certain, sorted(aligned), sorted(slots), sorted(messages), page
 
 
-def _pairs(lists: list[list[tuple[int, int]]]) -> pa.Array:
-    """Lists of pairs as lists of structs, without a Python object for each struct."""
+def _structs(lists: list[list[tuple]], names: list[str], flags: int = 0, first: pa.DataType | None = None) -> pa.Array:
+    """Lists of tuples as lists of structs, without a Python object for each struct; the last ``flags`` fields are booleans."""
     ends = np.cumsum([0, *map(len, lists)])
-    flat = np.array([pair for pairs in lists for pair in pairs], np.int64).reshape(-1, 2)
-    columns = [pa.array(flat[:, i]) for i in range(2)]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["skeleton", "words"]))
+    flat = np.array([t for rows in lists for t in rows], np.int64).reshape(-1, len(names))
+    columns = [pa.array(flat[:, i]) for i in range(len(names) - flags)]
+    columns += [pa.array(flat[:, i].astype(bool)) for i in range(len(names) - flags, len(names))]
+    if first is not None:
+        columns[0] = columns[0].cast(first)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
-def residue(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id`` and ``reason`` of every record with residue."""
-    rows = common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().limit(100_000).collect()
-    frame = frozenset(r[0] for r in rows)
+def frame_words(common_words: DataFrame) -> frozenset[str]:
+    """The function words of all languages: a table of settings."""
+    return frozenset(r[0] for r in common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().collect())
+
+
+def examined(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """One row of SCHEMA per document."""
+    frame = frame_words(common_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,24 +344,53 @@ def residue(documents: DataFrame, common_words: DataFrame) -> DataFrame:
             arrays = [
                 batch["doc_id"],
                 pa.array([f[0] for f in found], pa.bool_()),
-                _pairs([f[1] for f in found]),
-                _pairs([f[2] for f in found]),
-                pa.array([f[3] for f in found], pa.int64()),
+                _structs([f[1] for f in found], ["skeleton", "words"]),
+                _structs([f[2] for f in found], ["skeleton", "bare", "value", "words", "anchored", "prose"], 2),
+                _structs([f[3] for f in found], ["kind", "template", "words"], 0, pa.int32()),
+                pa.array([f[4] for f in found], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "certain", "aligned", "doubtful", "page"])
-
-    examined = cut(spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, SCHEMA))
-    certain = examined.where("certain").select("doc_id", F.lit("placeholder, filler or message").alias("reason"))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "certain", "aligned", "slots", "messages", "page"])
+
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, SCHEMA)
+
+
+def slot_residue(found: DataFrame) -> DataFrame:
+    """``doc_id, reason`` of slots that keep a marked identifier, a default or an unset value."""
+    slots = found.select("doc_id", F.inline("slots"))
+    # Pre-aggregated before it is exchanged, so a template of a third of all rows is a few rows a task.
+    held = slots.groupBy("skeleton", "value").agg(F.countDistinct("words").alias("same"))
+    keys = slots.where("anchored").select(F.explode(F.array("skeleton", "bare")).alias("skeleton")).distinct()
+    segments = found.select(F.inline("aligned")).distinct().join(keys.hint("merge"), "skeleton", "left_semi")
+    different = segments.groupBy("skeleton").agg(F.count(F.lit(1)).alias("all"))
+    judged = (
+        slots.join(held.hint("merge"), ["skeleton", "value"])
+        .join(different.hint("merge"), "skeleton", "left")
+        .join(different.select(F.col("skeleton").alias("bare"), F.col("all").alias("without")).hint("merge"), "bare", "left")
+    )
+    others = F.coalesce(F.col("all"), F.lit(0)) - F.col("same")
+    constant = F.col("prose") & F.col("anchored") & (F.col("same") >= SUPPORT) & (F.col("same") >= CONSTANT_SHARE * F.col("all"))
+    filled = F.col("anchored") & ((others > 0) | ((F.col("bare") != F.col("skeleton")) & F.col("without").isNotNull()))
+    reason = F.when(filled, "slot that aligned records fill").otherwise("marked or unset value without aligned records")
+    return judged.where(~F.coalesce(constant, F.lit(False))).select("doc_id", reason.alias("reason"))
+
+
+def message_residue(found: DataFrame) -> DataFrame:
+    """``doc_id, reason`` of messages; those whose template stands in several records are told apart."""
+    rows = found.select("doc_id", F.inline("messages"))
+    templates = rows.groupBy("template").agg((F.min("doc_id") != F.max("doc_id")).alias("recurs"))
+    names = F.array(*[F.lit(k.name) for k in KINDS], F.lit("filler"))
+    reason = F.concat(F.element_at(names, F.col("kind") + 1), F.when(F.col("recurs"), " of a repeated template").otherwise(""))
+    return rows.join(templates.hint("merge"), "template").select("doc_id", reason.alias("reason"))
+
+
+def repeated_pages(found: DataFrame) -> DataFrame:
+    pages = found.where(F.col("page").isNotNull()).select("doc_id", "page")
+    repeated = pages.groupBy("page").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= SUPPORT)
+    return pages.join(repeated.hint("merge"), "page", "left_semi").select("doc_id", F.lit("repeated page").alias("reason"))
 
-    waiting = examined.where(~F.col("certain") & (F.size("doubtful") > 0)).select("doc_id", F.inline("doubtful"))
-    # Different segments with the value; few templates have enough of them, and only theirs are counted.
-    with_value = waiting.groupBy("skeleton").agg(F.countDistinct("words").alias("same")).where(F.col("same") >= SUPPORT)
-    aligned = examined.select(F.inline("aligned")).join(with_value.select("skeleton"), "skeleton", "left_semi")
-    different = aligned.groupBy("skeleton").agg(F.countDistinct("words").alias("all"))
-    constant = with_value.join(different, "skeleton").where(F.col("same") >= CONSTANT_SHARE * F.col("all"))
-    unset = waiting.join(constant, "skeleton", "left_anti").select("doc_id", F.lit("unset value in a slot").alias("reason"))
 
-    pages = examined.where(~F.col("certain") & F.col("page").isNotNull()).select("doc_id", "page")
-    repeated = pages.groupBy("page").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= SUPPORT)
-    errors = pages.join(repeated, "page", "left_semi").select("doc_id", F.lit("repeated page").alias("reason"))
-    return certain.unionByName(unset).unionByName(errors)
+def residue(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """``doc_id`` and ``reason`` of every record with residue, a row for each reason."""
+    found = cut(examined(documents, common_words))
+    nameless = found.where("certain").select("doc_id", F.lit("address without a name").alias("reason"))
+    return nameless.unionByName(slot_residue(found)).unionByName(message_residue(found)).unionByName(repeated_pages(found)).distinct()
