@@ -41,6 +41,8 @@ CONSTANT_SHARE = 0.8
 PAGE_SHARE = 0.5
 #: Words that a template must have for an alignment.
 ANCHORS = 2
+#: Different tokens that a worker remembers.
+TOKEN_CACHE = 500_000
 
 #: Marked identifiers, by syntax alone; what is in brackets is judged by ``names_a_slot``.
 _MARKED = re.compile(
@@ -98,6 +100,7 @@ LATIN = frozenset(
     pellentesque proident qui quis reprehenderit sed senectus sint sit sunt tempor tristique turpis ullamco ut velit veniam
     vestibulum voluptate""".split()
 )
+_LONG_LATIN = frozenset(w for w in LATIN if len(w) > 3)
 _STUTTER = frozenset("text texte texto testo blah bla test word lorem foo bar asdf sample tekst wort mot palabra".split())
 _SEGMENTS = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|\n+")
 _SIGNS = ".,;:!?\"'“”„«»()[]…¿¡*#|"
@@ -109,6 +112,8 @@ _SPEECH = frozenset("please you your reload refresh contact veuillez votre bitte
 _NUMBERS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|/\S+")
 #: A line of a log begins with its time.
 _LOGGED = re.compile(r"\s*[\[(]?\d{2,4}[-/:.]\d{2}[-/:.]\d{2}")
+#: Words of which a segment that is filler without a message's words holds one.
+_HINTS = CUES | _LONG_LATIN | _STUTTER
 _JAVA = re.compile(r"\bjava script\b", re.I)
 #: A number that may be a status code.
 _CODE = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
@@ -170,24 +175,37 @@ def unset_slots(segment: str) -> list[tuple[int, int]]:
     return [m.span() for m in UNSET.finditer(segment) if not any(a <= m.start() and m.end() <= b for a, b in spoken)]
 
 
-def skeleton(segment: str, frame: frozenset[str]) -> tuple[str, str, int]:
-    """Function words with everything between them as one slot; all words, with numbers as one; the number of function words."""
-    out, every, slot, anchors = [], [], False, 0
-    for token in segment.split():
+class _Tokens(dict):
+    """What skeletons have in place of a token: its word, with numbers as one, and the word if it is a function word, else a slot."""
+
+    def __init__(self, frame: frozenset[str]) -> None:
+        self.frame = frame
+
+    def __missing__(self, token: str) -> tuple[str, str]:
         word = token.strip(".,;:!?\"'“”„«»()[]…¿¡").lower()
-        every.append(word if word.isalpha() or word.strip(_NUMERIC) else "0")
-        if word in frame:
-            out.append(word)
-            slot = False
-            anchors += 1
-        elif not slot:
-            out.append("_")
-            slot = True
-    return " ".join(out), " ".join(every), anchors
+        found = word if word.isalpha() or word.strip(_NUMERIC) else "0", word if word in self.frame else "_"
+        if len(self) >= TOKEN_CACHE:
+            self.clear()
+        self[token] = found
+        return found
+
+
+_CACHED: dict[frozenset[str], _Tokens] = {}
+_SLOT_RUN = re.compile(r"_(?: _)+")
+
+
+def skeleton(segment: str, frame: frozenset[str]) -> tuple[str, list[str], int]:
+    """Function words with everything between them as one slot; all words, with numbers as one; the number of function words."""
+    known = _CACHED.get(frame)
+    if known is None:
+        known = _CACHED[frame] = _Tokens(frame)
+    tokens = [known[t] for t in segment.split()]
+    forms = [t[1] for t in tokens]
+    return _SLOT_RUN.sub("_", " ".join(forms)), [t[0] for t in tokens], len(forms) - forms.count("_")
 
 
 def latin_filler(words: list[str]) -> bool:
-    return len(words) >= 3 and sum(map(LATIN.__contains__, words)) >= 0.8 * len(words) and sum(len(w) > 3 for w in words) >= 2
+    return len(words) >= 3 and sum(map(LATIN.__contains__, words)) >= 0.8 * len(words) and sum(map(_LONG_LATIN.__contains__, words)) >= 2
 
 
 def stutter(words: list[str]) -> bool:
@@ -281,32 +299,33 @@ def examine(
     body = _QUOTED.sub("", text) if "`" in text else text
     low = body.lower()
     segments = [s for s in _SEGMENTS.split(body) if s and not s.isspace()]
-    unset = "undefined" in low or "null" in low or "nan" in low or "none" in low or "nil" in low
+    marks = _MARKS.search(body) is not None
+    unset = ("undefined" in low or "null" in low or "nan" in low or "none" in low or "nil" in low) and UNSET.search(body) is not None
     certain = _NAMELESS.search(body) is not None or (unset and _SALUTATION.search(body) is not None)
     coded = _CODE.search(body) is not None
     aligned, slots, messages, spoken = set(), set(), set(), 0
     for s in segments:
-        form, every, anchors = skeleton(s, frame)
-        own = _hash(form), _hash(every)
+        form, said, anchors = skeleton(s, frame)
+        own = _hash(form), _hash(" ".join(said))
         if anchors >= ANCHORS:
             aligned.add(own)
-        marked = marked_slots(s)
+        marked = marked_slots(s) if marks else []
         doubtful = unset_slots(s) if unset else []
-        said = every.split()
         for spans, prose in ((marked, False), (doubtful, True)):
             for a, b in spans:
                 bare, _, _ = skeleton(s[:a] + " " + s[b:], frame)
                 told = prose or not _ABOUT.isdisjoint(said)
                 slots.add((own[0], _hash(bare), _hash(s[a:b].lower()), own[1], anchors >= ANCHORS, told))
         spoken += not (_PARTS.isdisjoint(said) and _SPEECH.isdisjoint(said))
-        if CUES.isdisjoint(said) and LATIN.isdisjoint(said) and "<" not in s and not coded and len(set(said)) > 0.5 * len(said):
+        if _HINTS.isdisjoint(said) and "<" not in s:
             continue
         words = message_words(s)
         if latin_filler(words) or stutter(words):
             messages.add((len(KINDS), *_template(len(KINDS) - 1, words)))
         elif _LOGGED.match(s) is None:
-            kind = message_kind(words, [t.strip(_SIGNS) for t in s.split()] if coded else [])
-            if kind < 0 and (coded or not SCRIPTS.isdisjoint(words)):
+            numbered = coded and _CODE.search(s) is not None
+            kind = message_kind(words, [t.strip(_SIGNS) for t in s.split()] if numbered else [])
+            if kind < 0 and (numbered or not SCRIPTS.isdisjoint(words)):
                 kind, words = leading_message(s)
             if kind >= 0:
                 messages.add((kind, *_template(kind, words)))

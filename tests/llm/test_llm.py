@@ -328,7 +328,7 @@ def test_no_gate_hides_a_message(monkeypatch):
     segments += [s for t in pq.read_table(f"{SMALL}/documents.parquet")["text"].to_pylist() if t for s in residue._SEGMENTS.split(t)]
     frame = frozenset(COMMON)
     before = [residue.examine(s, frame)[3] for s in segments]
-    monkeypatch.setattr(residue, "CUES", frozenset(w for s in segments for w in residue.skeleton(s, frame)[1].split()))
+    monkeypatch.setattr(residue, "_HINTS", frozenset(w for s in segments for w in residue.skeleton(s, frame)[1]))
     assert [residue.examine(s, frame)[3] for s in segments] == before
 
 
