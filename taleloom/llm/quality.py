@@ -1,16 +1,16 @@
 """Text statistics of each document and documents that are not running text.
 
-Statistics are computed per document, ranked exactly within each language by a
-range-partitioned sort with partition offsets, and the empirical tail probabilities of all
-statistics are combined into an outlier score (the sum of negative logarithms), by which
-documents can be ordered. Whether a document is running text is decided by itself and not by
-the rest of the corpus: running text must make up the greater part of its characters, and no
-phrase may loop through most of it.
-
-Defined results: a null or empty text has 0 words and null ratios; a blank text likewise; ratios
-are rounded to three decimals, so that a statistic has a bounded number of different
-values whatever the corpus; documents of an unknown language are ranked among all documents; repeated rows are
-judged each; an empty table gives no rows.
+Statistics are computed per document. Every value is ranked exactly within its language among the
+documents that clearly are running text, by a range-partitioned sort with partition offsets; the empirical tail
+probabilities of all statistics are combined into an outlier score, the sum of negative logarithms. Documents
+whose score exceeds that of nearly all clear running text are outliers, and of these a
+check of the document itself keeps those of which running text is not the greater part, or of which one
+phrase looping is. Junk is no part of the ranks' reference, so a kind of junk scores the same however common it is.
+
+Defined results: a null or empty text has 0 words and null ratios; a blank text likewise; a tail is
+(1 + documents as extreme) / (1 + documents of the reference), so none is 0; documents of an unknown language, and of one without clear running
+text, are ranked among the clear running text of all languages; in a table without any every score is 0 and the check alone decides; a
+null statistic adds nothing; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,14 +34,19 @@ STATISTICS = [
     ("common_words", -1),
     ("distinct_triples", -1),
     ("running_share", -1),
+    ("looping", 1),
 ]
 #: The group of all documents; those of an unknown language are ranked in it.
 EVERY = "every"
-SCHEMA = "doc_id bigint, language string, words int, " + ", ".join(f"{name} double" for name, _ in STATISTICS) + ", looping double"
-
-#: With less running text than this, or more of one phrase looping, a document is no running text for the most part.
-LEAST_RUNNING = 0.45
-MOST_LOOPING = 0.53
+LANGUAGES = ("en", "de", "fr", "es", EVERY)
+SCHEMA = "doc_id bigint, language string, words int, " + ", ".join(f"{name} double" for name, _ in STATISTICS)
+
+#: A document of which less is running text, or more is one phrase looping, is no running text for the most part.
+HALF = 0.5
+#: A document with so much running text, and no more of the rest looping, is clear running text, and this share of such documents scores above the cut-off.
+CLEAR = 0.9
+REFERENCE_WORDS = 20
+OUTLYING = 0.05
 #: In a looping phrase most triples of words recur; sentences of one pattern with other words in it are running text.
 SUSPECT_DISTINCT = 0.7
 #: Words up to this frequency, or the root of the length, meet by pairs of places; the others by a transform each.
@@ -119,11 +124,11 @@ def looping_share(low: list[str]) -> float:
 
 
 def statistics(text: str | None, common: frozenset[str]) -> tuple[int, list[float | None]]:
-    """Word count, the values of STATISTICS and the share of a looping phrase."""
+    """Word count and the values of STATISTICS."""
     tokens = (text or "").split()
     n = len(tokens)
     if not n:
-        return 0, [None] * (len(STATISTICS) + 1)
+        return 0, [None] * len(STATISTICS)
     low = [t.lower().strip(_EDGE) for t in tokens]
     chars = sum(map(len, tokens))
     letters = sum(map(str.isalpha, text))
@@ -136,7 +141,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple[int, list[floa
             if is_sentence(parts, common, piece):
                 running += sum(map(len, parts))
     values = [
-        min(1000.0, chars / n),
+        chars / n,
         1 - letters / chars,
         sum(line[-1] in _LINE_ENDS for line in lines) / len(lines),
         sum(w in common for w in low) / n,
@@ -144,17 +149,17 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple[int, list[floa
         min(1.0, running / chars),
     ]
     values.append(looping_share(low) if values[4] < SUSPECT_DISTINCT else 0.0)
-    return n, [round(v, 3) for v in values]
+    return n, values
 
 
 def language(column: str = "lang") -> F.Column:
     code = F.lower(F.substring(F.trim(F.col(column)), 1, 2))
-    return F.when(code.isin("en", "de", "fr", "es"), code).otherwise(EVERY)
+    return F.when(code.isin(*LANGUAGES[:-1]), code).otherwise(EVERY)
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """One row of SCHEMA per document. The word list is a setting of a few hundred words."""
-    rows = common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().limit(100_000).collect()
+    """One row of SCHEMA per document. The word list is a table of settings."""
+    rows = common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().collect()
     common = frozenset(r[0] for r in rows)
     source = spread(documents.select("doc_id", "text", language().alias("language")), "doc_id")
 
@@ -162,101 +167,103 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         for batch in batches:
             found = [statistics(t, common) for t in batch["text"].to_pylist()]
             arrays = [batch["doc_id"], batch["language"], pa.array([n for n, _ in found], pa.int32())]
-            arrays += [pa.array([v[i] for _, v in found], pa.float64()) for i in range(len(STATISTICS) + 1)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "language", "words", *(n for n, _ in STATISTICS), "looping"])
+            arrays += [pa.array([v[i] for _, v in found], pa.float64()) for i in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "language", "words", *(n for n, _ in STATISTICS)])
 
     return source.mapInArrow(run, SCHEMA)
 
 
-def exact_ranks(stats: DataFrame) -> DataFrame:
-    """``(language, at, value, below, upto, total)``: exact ranks of every value of every statistic.
+def exact_ranks(values: DataFrame) -> DataFrame:
+    """``(part, value, below, upto, total)`` of ``(part, value, counts)``: exact ranks of every value among the rows of its part that count.
 
     Equal values are counted first; the distinct ones are range-partitioned and sorted, each
-    partition numbers its own, and the totals of the partitions before it are its offset.
+    task numbers its own, and the totals of the tasks before it are its offset.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(n).alias("value")) for i, (n, _) in enumerate(STATISTICS)])
-    counted = (
-        stats.select(F.explode(F.array_distinct(F.array("language", F.lit(EVERY)))).alias("language"), cells.alias("cells"))
-        .select("language", F.explode("cells").alias("c"))
-        .select("language", "c.at", "c.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("language", "at", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = values.groupBy("part", "value").agg(F.sum(F.col("counts").cast("bigint")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last, before = TaskContext.get().partitionId(), None, 0
+        task, last, before = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            keys = list(zip(batch["language"].to_pylist(), batch["at"].to_pylist(), strict=True))
             upto = []
-            for key, n in zip(keys, batch["n"].to_pylist(), strict=True):
-                before = n if key != last else before + n
-                last = key
+            for part, n in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                before = n if part != last else before + n
+                last = part
                 upto.append(before)
-            arrays = [pa.array([part] * len(keys), pa.int32()), *(batch[c] for c in ("language", "at", "value", "n")), pa.array(upto, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "language", "at", "value", "n", "upto"])
-
-    ordered = counted.repartitionByRange("language", "at", "value").sortWithinPartitions("language", "at", "value")
-    local = cut(ordered.mapInArrow(run, "part int, language string, at int, value double, n bigint, upto bigint"))
-    group = Window.partitionBy("language", "at")
-    # One row for each partition and group in it: partitions are ranges, so there are few.
-    totals = local.groupBy("part", "language", "at").agg(F.max("upto").alias("size"))
-    offsets = totals.select(
-        "part", "language", "at",
-        (F.sum("size").over(group.orderBy("part")) - F.col("size")).alias("offset"),
+            arrays = [pa.array([task] * len(upto), pa.int32()), *(batch[c] for c in ("part", "value", "n")), pa.array(upto, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["task", "part", "value", "n", "upto"])
+
+    ordered = counted.repartitionByRange("part", "value").sortWithinPartitions("part", "value")
+    local = cut(ordered.mapInArrow(run, "task int, part int, value double, n bigint, upto bigint"))
+    group = Window.partitionBy("part")
+    # One row for each task and part in it: tasks are ranges, so there are few.
+    offsets = local.groupBy("task", "part").agg(F.max("upto").alias("size")).select(
+        "task", "part",
+        (F.sum("size").over(group.orderBy("task")) - F.col("size")).alias("offset"),
         F.sum("size").over(group).alias("total"),
     )
-    return local.join(offsets, ["part", "language", "at"]).select(
-        "language", "at", "value",
+    return local.join(offsets, ["task", "part"]).select(
+        "part", "value",
         (F.col("offset") + F.col("upto") - F.col("n")).alias("below"),
         (F.col("offset") + F.col("upto")).alias("upto"),
         "total",
     )
 
 
+def is_clear() -> F.Column:
+    """Whether a row of statistics is clear running text."""
+    return F.coalesce((F.col("words") >= REFERENCE_WORDS) & (F.col("running_share") >= CLEAR) & (F.col("looping") <= 1 - CLEAR), F.lit(False))
+
+
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``score``: the sum of -ln(tail probability) over all statistics.
+    """``stats`` with ``clear`` and ``score``: the sum of -ln(tail probability) over all statistics.
 
-    The rank table has at most a thousand values for each ratio and a million for the mean word
-    length, per language group, by rounding; it travels to the executors as arrays.
+    Ranks are joined by part and value; a value that many documents share is one row of the
+    rank table, and its documents are spread over tasks by adaptive execution. ``stats`` is read twice: give a checkpoint.
     """
-    table: dict[tuple[str, int], list[tuple[float, float, float]]] = {}
-    for r in exact_ranks(stats).toLocalIterator():
-        low, high = r["upto"] / r["total"], (r["total"] - r["below"]) / r["total"]
-        table.setdefault((r["language"], r["at"]), []).append((r["value"], low, high))
-    ranks = {k: np.array(sorted(v)).T for k, v in table.items()}
-    shared = stats.sparkSession.sparkContext.broadcast(ranks)
+    marked = stats.withColumn("clear", is_clear())
+    # At most as many rows as there are languages.
+    have = [r[0] for r in marked.where("clear").select("language").distinct().collect()]
+    pool = F.when(F.col("language").isin(have), F.col("language")).otherwise(EVERY) if have else F.lit(EVERY)
+    number = F.create_map(*[F.lit(x) for i, name in enumerate(LANGUAGES) for x in (name, i)])
+    width = len(STATISTICS)
+
+    def rows(language: F.Column) -> F.Column:
+        return F.array(*[F.struct((number[language] * width + i).alias("part"), F.col(n).alias("value")) for i, (n, _) in enumerate(STATISTICS)])
+
+    mine = marked.select("doc_id", "clear", F.monotonically_increasing_id().alias("row"), pool.alias("pool"), *[n for n, _ in STATISTICS])
+    own = mine.select("row", "clear", F.inline(rows(F.col("pool")))).where("value is not null")
+    # Clear running text of a known language also counts in the pool of all languages.
+    everyone = mine.where(F.col("clear") & (F.col("pool") != EVERY)).select("clear", F.inline(rows(F.lit(EVERY)))).where("value is not null")
+    ranks = exact_ranks(own.select("part", "value", F.col("clear").alias("counts")).unionByName(everyone.select("part", "value", F.col("clear").alias("counts"))))
+    side = F.element_at(F.array(*[F.lit(s) for _, s in STATISTICS]), F.col("part") % width + 1)
+    low, high = (1 + F.col("upto")) / (1 + F.col("total")), (1 + F.col("total") - F.col("below")) / (1 + F.col("total"))
+    tail = F.when(side < 0, low).when(side > 0, high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
+    scores = (
+        own.join(ranks.select("part", "value", tail.alias("tail")).hint("merge"), ["part", "value"])
+        .groupBy("row").agg((-F.sum(F.round(F.ln("tail"), 9).cast("decimal(20,9)"))).cast("double").alias("score"))
+    )
+    numbered = marked.withColumn("row", F.monotonically_increasing_id())
+    return numbered.join(scores.hint("merge"), "row", "left").drop("row").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.zeros(batch.num_rows)
-            languages = np.array(batch["language"].to_pylist(), object)
-            for i, (name, side) in enumerate(STATISTICS):
-                column = batch[name].to_numpy(zero_copy_only=False)
-                for lang in set(languages.tolist()):
-                    mine = (languages == lang) & ~np.isnan(column)
-                    if (lang, i) not in shared.value or not mine.any():
-                        continue
-                    values, low, high = shared.value[lang, i]
-                    at = np.searchsorted(values, column[mine])
-                    tail = low[at] if side < 0 else high[at] if side > 0 else np.minimum(1, 2 * np.minimum(low[at], high[at]))
-                    score[mine] -= np.log(tail)
-            yield batch.append_column("score", pa.array(score))
 
-    return stats.mapInArrow(run, SCHEMA + ", score double")
+def cut_off(scored: DataFrame) -> float:
+    """The score that a share OUTLYING of clear running text exceeds; 0 where there is none."""
+    values = scored.where("clear").select(F.lit(0).alias("part"), F.col("score").alias("value"), F.lit(1).alias("counts"))
+    least = exact_ranks(values).where(F.col("upto") >= F.ceil(F.col("total") * (1 - OUTLYING))).agg(F.min("value")).first()[0]
+    return 0.0 if least is None else least
 
 
-def not_running(stats: DataFrame, min_words: int) -> DataFrame:
-    """Documents that are for the most part no running text, however common their kind is."""
-    fails = (F.col("running_share") < LEAST_RUNNING) | (F.col("looping") > MOST_LOOPING)
-    return stats.where((F.col("words") >= min_words) & fails)
+def not_running(scored: DataFrame, min_words: int) -> DataFrame:
+    """Outliers of which running text is not the greater part; ``scored`` is read twice: give a checkpoint."""
+    outlying = scored.where((F.col("words") >= min_words) & (F.col("score") >= cut_off(scored)))
+    return outlying.where((F.col("running_share") < HALF) | (F.col("looping") > HALF))
 
 
 def against_filters(stats: DataFrame, filters: DataFrame) -> DataFrame:
-    """Every document against every named setting (a table of a few rows)."""
-    rows = filters.select("filter_name", "min_words", "max_non_alpha_ratio").orderBy("filter_name").limit(1_000).collect()
+    """Every document against every named setting: a table of settings."""
+    rows = filters.select("filter_name", "min_words", "max_non_alpha_ratio").collect()
     settings = F.array(*[F.struct(F.lit(r[0]).alias("filter_name"), F.lit(r[1]).alias("m"), F.lit(r[2]).alias("r")) for r in rows])
     return stats.select("*", F.explode(settings).alias("s")).select(
         *stats.columns, "s.filter_name",

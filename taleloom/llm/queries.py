@@ -67,21 +67,31 @@ def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(quality.outlier_scores(cut(_statistics(spark, sf_dir))))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for the most part no running text."""
     strict = read_table(spark, sf_dir, "quality_filters").where("filter_name = 'strict'").select("min_words").first()
-    return quality.not_running(_statistics(spark, sf_dir), strict[0] if strict else 20).select("doc_id").distinct()
+    return quality.not_running(_scored(spark, sf_dir), strict[0] if strict else 20).select("doc_id").distinct()
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of every document against every named setting."""
-    return quality.against_filters(_statistics(spark, sf_dir), read_table(spark, sf_dir, "quality_filters"))
+    """The plain statistics of every document against every named setting."""
+    compared = quality.against_filters(_statistics(spark, sf_dir), read_table(spark, sf_dir, "quality_filters"))
+    plain = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
+    return compared.select("doc_id", "words", *[F.round(c, 6).alias(c) for c in plain], "filter_name", "too_few_words", "mostly_non_alphabetic")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of running text, of different triples of words and of a looping phrase."""
+    return _statistics(spark, sf_dir).select("doc_id", "language", *[F.round(c, 6).alias(c) for c in ("running_share", "distinct_triples", "looping")])
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outlier score of every document."""
-    scored = quality.outlier_scores(cut(_statistics(spark, sf_dir)))
-    return scored.select("doc_id", "language", "words", F.round("score", 6).alias("score"))
+    return _scored(spark, sf_dir).select("doc_id", "language", "words", F.round("score", 6).alias("score"))
 
 
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +115,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _containers(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     """The named capacities; a setting of a few rows."""
-    rows = read_table(spark, sf_dir, "containers").orderBy("container_name").limit(1_000).collect()
+    rows = read_table(spark, sf_dir, "containers").orderBy("container_name").collect()
     return [(r["container_name"], r["capacity"]) for r in rows]
 
 
@@ -164,6 +174,7 @@ QUERIES = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
+    "p5_shares": p5_shares,
     "p5_scores": p5_scores,
     "p6_ids": p6_ids,
     "p7_assignments": p7_assignments,
@@ -172,6 +183,16 @@ QUERIES = {
     "p8_reasons": p8_reasons,
 }
 
+_BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STATISTICS = rf"""
+    SELECT doc_id, len(w) AS words, round(chars / nullif(len(w), 0)::DOUBLE, 6) AS mean_word_length, round(1 - letters / nullif(chars, 0)::DOUBLE, 6) AS symbol_ratio, 1 - letters / nullif(chars, 0)::DOUBLE AS ratio,
+        round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;,。！？"''”»)][{_BLANK}]*$')))::DOUBLE / nullif(len(lines), 0), 6) AS punctuated_lines,
+        round(len(list_filter(w, lambda x: list_contains(common, lower(trim(x, '.,;:!?"''“”„«»()[]…—–-¿¡*_#|<>‘’')))))::DOUBLE / nullif(len(w), 0), 6) AS common_words
+    FROM (SELECT doc_id, w, lines, length(array_to_string(w, '')) AS chars, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters,
+            (SELECT list(DISTINCT lower(word)) FROM common_words WHERE word IS NOT NULL) AS common
+        FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS lines FROM documents))
+"""
 _OVERLAPS = f"""
     WITH g AS ({_sequences(8)}), n AS (SELECT doc_id, count(*) AS n FROM g WHERE side = 'eval' GROUP BY doc_id),
     m AS (SELECT e.doc_id AS e, t.doc_id AS t, count(*) AS c FROM g e JOIN g t ON e.g = t.g AND e.side = 'eval' AND t.side = 'train' GROUP BY 1, 2)
@@ -183,6 +204,9 @@ SQL = {
         {_OVERLAPS} SELECT regexp_extract(lower(trim(d.split)), '^(train|val|test)', 1) AS eval_split, d.source AS eval_source,
             count(DISTINCT e) AS records, count(*) AS pairs
         FROM m JOIN n ON e = n.doc_id JOIN documents d ON d.doc_id = e WHERE 2 * c >= n GROUP BY 1, 2""",
+    "p5_statistics": f"""
+        SELECT doc_id, CAST(words AS INTEGER) AS words, mean_word_length, symbol_ratio, punctuated_lines, common_words, filter_name,
+            words < min_words AS too_few_words, ratio > max_non_alpha_ratio AS mostly_non_alphabetic FROM ({_STATISTICS}), quality_filters""",
     "p4_found": f"""
         WITH g AS ({_sequences(3)}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
