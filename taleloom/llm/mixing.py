@@ -1,8 +1,10 @@
 """Mixing sources to target weights.
 
 Tokens are aggregated per corpus, source and kind (synthetic or not), a repetition rate
-is derived for each, and every shard is emitted floor(rate) times plus one copy drawn by
-a seeded hash with the fraction as probability.
+is derived for each, and every shard is emitted floor(rate) times plus one copy drawn with the
+fraction as probability. The draw is systematic: shards of a source and kind stand in the order of
+their sizes, and from a start that a seeded hash of mix, source and kind gives every (1 / fraction)-th one is drawn. So
+each shard is drawn with that probability, and the tokens of a source and kind are off by at most its largest shard.
 
 Defined results: a path counts once, null tokens count 0, ``synthetic`` null counts as
 not synthetic, a source without shards has 0 tokens. Only shards whose split is ``train``
@@ -16,6 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleloom.session import cut
+
+#: Positions that one row lists at a time.
+CHUNK = 4_096
+DIGITS = 9
 
 def train_shards(shards: DataFrame) -> DataFrame:
     """One row per path of the train split: ``corpus, source, path, tokens, synthetic``."""
@@ -36,9 +43,32 @@ def source_tokens(shards: DataFrame) -> DataFrame:
     return train_shards(shards).groupBy("corpus", "source").agg(
         F.sum(F.when(F.col("synthetic"), 0).otherwise(F.col("tokens"))).alias("real_tokens"),
         F.sum(F.when(F.col("synthetic"), F.col("tokens")).otherwise(0)).alias("synthetic_tokens"),
+        F.count_if(~F.col("synthetic")).alias("real_shards"),
+        F.count_if("synthetic").alias("synthetic_shards"),
     )
 
 
+def placed_shards(shards: DataFrame) -> DataFrame:
+    """``train_shards`` with each shard's place among those of its corpus, source and kind, from the largest, from 1.
+
+    Ranges of the order are numbered by themselves and the sizes of those before are added, so a source with most shards is no
+    single task.
+    """
+    group = ["corpus", "source", "synthetic"]
+    order = [*group, F.desc("tokens"), "path"]
+    ordered = train_shards(shards).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Sorted, so the ids of a group within a partition follow each other.
+    numbered = cut(ordered.withColumn("partition", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()))
+    runs = numbered.groupBy("partition", *group).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy(*group).orderBy("partition")) - F.col("size")
+    offsets = runs.select("partition", *[F.col(c).alias(f"of_{c}") for c in group], "first", before.alias("offset"))
+    same = numbered["partition"] == offsets["partition"]
+    for c in group:
+        same = same & numbered[c].eqNullSafe(offsets[f"of_{c}"])
+    place = (F.col("id") - F.col("first") + F.col("offset") + 1).alias("place")
+    return numbered.join(offsets, same).select(*group, "path", "tokens", place)
+
+
 def mix_rates(targets: DataFrame, shards: DataFrame, loops: DataFrame | None = None) -> DataFrame:
     """The plan of every mix row: wanted tokens, reachable tokens and a rate for each kind of shard.
 
@@ -54,7 +84,7 @@ def mix_rates(targets: DataFrame, shards: DataFrame, loops: DataFrame | None = N
     )
     have = (
         want.join(source_tokens(shards), ["corpus", "source"], "left")
-        .fillna(0, ["real_tokens", "synthetic_tokens"])
+        .fillna(0, ["real_tokens", "synthetic_tokens", "real_shards", "synthetic_shards"])
         .withColumn("available", F.col("real_tokens") + F.col("synthetic_tokens"))
         .withColumn("short", F.col("max_repeats") * F.col("available") < F.col("wanted"))
         .withColumn("taken", F.least("wanted", (F.col("max_repeats") * F.col("available")).cast("double")))
@@ -82,11 +112,13 @@ def mix_rates(targets: DataFrame, shards: DataFrame, loops: DataFrame | None = N
     planned = bounded.withColumn("synthetic_taken", synthetic)
 
     def rate(taken: Column, tokens: str) -> Column:
-        return F.when(F.col(tokens) > 0, F.least(taken / F.col(tokens), F.col("max_repeats").cast("double"))).otherwise(0.0)
+        wanted = F.when(F.col(tokens) > 0, F.least(taken / F.col(tokens), F.col("max_repeats").cast("double"))).otherwise(0.0)
+        # Rounded, so that the order in which tokens were added up does not matter.
+        return F.round(wanted, DIGITS)
 
     return planned.select(
         "mix_id", "corpus", "source", "weight", "max_repeats", "total_tokens", "wanted", "available",
-        "real_tokens", "synthetic_tokens", "short", "taken", "synthetic_fraction", "synthetic_taken",
+        "real_tokens", "synthetic_tokens", "real_shards", "synthetic_shards", "short", "taken", "synthetic_fraction", "synthetic_taken",
         rate(F.col("taken") - F.col("synthetic_taken"), "real_tokens").alias("real_rate"),
         rate(F.col("synthetic_taken"), "synthetic_tokens").alias("synthetic_rate"),
     )
@@ -95,19 +127,23 @@ def mix_rates(targets: DataFrame, shards: DataFrame, loops: DataFrame | None = N
 def emit(rates: DataFrame, shards: DataFrame, seed: int = 0) -> DataFrame:
     """``(mix_id, source, path, tokens, synthetic, copies)`` of every shard used at least once.
 
-    The draw depends on seed, mix and path alone, so a repeated task repeats it.
+    The draw depends on seed, mix, source, kind and the shards alone, so a repeated task repeats it. Places are
+    drawn before shards are joined, so only shards that are used are moved.
     """
-    rate = F.when(F.col("synthetic"), F.col("synthetic_rate")).otherwise(F.col("real_rate"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "path"), F.lit(1 << 30)) / float(1 << 30)
-    used = rates.where("real_rate > 0 or synthetic_rate > 0").select(
-        "mix_id", "corpus", "source", "real_rate", "synthetic_rate"
-    )
-    return (
-        used.join(train_shards(shards), ["corpus", "source"])
-        .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-        .where("copies > 0")
-        .select("mix_id", "source", "path", "tokens", "synthetic", "copies")
+    kinds = F.array(*[
+        F.struct(F.lit(kind == "synthetic").alias("synthetic"), F.col(f"{kind}_rate").alias("rate"), F.col(f"{kind}_shards").alias("n"))
+        for kind in ("real", "synthetic")
+    ])
+    rows = rates.select("mix_id", "corpus", "source", F.inline(kinds)).where("rate > 0 and n > 0")
+    name = F.concat_ws(":", F.lit(str(seed)), "mix_id", "source", F.col("synthetic").cast("string"))
+    start = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    whole = rows.withColumn("start", start).withColumn("whole", F.floor("rate")).withColumn("rest", F.col("rate") - F.floor("rate"))
+    chunks = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))))
+    places = chunks.withColumn("place", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK))))
+    drawn = F.floor(F.col("start") + F.col("rest") * F.col("place")) - F.floor(F.col("start") + F.col("rest") * (F.col("place") - 1))
+    used = places.withColumn("copies", (F.col("whole") + drawn).cast("int")).where("copies > 0")
+    return used.join(placed_shards(shards), ["corpus", "source", "synthetic", "place"]).select(
+        "mix_id", "source", "path", "tokens", "synthetic", "copies"
     )
 
 

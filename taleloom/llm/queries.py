@@ -60,7 +60,9 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached shares."""
     rates, shards = _rates(spark, sf_dir)
-    return mixing.shares(rates, mixing.emit(rates, shards))
+    found = mixing.shares(rates, mixing.emit(rates, shards))
+    rounded = ("wanted", "target_share", "actual_share", "actual_synthetic_share")
+    return found.withColumns({c: F.round(c, 6) for c in rounded})
 
 
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +141,42 @@ _TRAIN = """
 """
 _SOURCES = f"""
     SELECT corpus, source, CAST(sum(CASE WHEN synthetic THEN 0 ELSE tokens END) AS BIGINT) AS real_tokens,
-           CAST(sum(CASE WHEN synthetic THEN tokens ELSE 0 END) AS BIGINT) AS synthetic_tokens
+           CAST(sum(CASE WHEN synthetic THEN tokens ELSE 0 END) AS BIGINT) AS synthetic_tokens,
+           count(*) FILTER (NOT synthetic) AS real_shards, count(*) FILTER (synthetic) AS synthetic_shards
     FROM ({_TRAIN}) GROUP BY corpus, source
 """
+_HAVE = f"""
+    SELECT t.*, coalesce(real_tokens, 0) AS real_tokens, coalesce(synthetic_tokens, 0) AS synthetic_tokens, coalesce(real_shards, 0) AS real_shards,
+           coalesce(synthetic_shards, 0) AS synthetic_shards, coalesce(real_tokens, 0) + coalesce(synthetic_tokens, 0) AS available,
+           CASE WHEN weights <> 0 THEN weight / weights * total_tokens ELSE 0 END AS wanted, f
+    FROM mix_targets t JOIN (SELECT mix_id, sum(weight) AS weights FROM mix_targets GROUP BY mix_id) USING (mix_id)
+    LEFT JOIN ({_SOURCES}) s ON t.corpus = s.corpus AND t.source = s.source
+    LEFT JOIN (SELECT mix_id, max_by(proposal.synthetic_fraction, (finished_at, coalesce(proposal.synthetic_fraction, -1))) AS f FROM
+        (SELECT * FROM loop_iterations WHERE finished_at IS NOT NULL) GROUP BY mix_id) l ON t.mix_id = l.mix_id
+"""
+_BOUNDED = f"""
+    SELECT *, greatest(0.0::DOUBLE, taken - max_repeats * real_tokens) AS least, greatest(greatest(0.0::DOUBLE, taken - max_repeats * real_tokens),
+        least(taken, (max_repeats * synthetic_tokens)::DOUBLE)) AS most FROM (SELECT *, least(wanted, (max_repeats * available)::DOUBLE) AS taken FROM ({_HAVE}))
+"""
+_SYNTHETIC = f"""
+    SELECT *, CASE WHEN f IS NULL THEN greatest(least, least(most, CASE WHEN available > 0 THEN taken * synthetic_tokens / available ELSE 0.0::DOUBLE END))
+        ELSE least + (CASE WHEN room > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (f * taken_all - least_all) / room)) ELSE 0.0::DOUBLE END) * (most - least) END AS made
+    FROM (SELECT *, sum(most - least) OVER (PARTITION BY mix_id) AS room, sum(taken) OVER (PARTITION BY mix_id) AS taken_all,
+            sum(least) OVER (PARTITION BY mix_id) AS least_all FROM ({_BOUNDED}))
+"""
+_RATED = f"""
+    SELECT mix_id, corpus, source, FALSE AS synthetic, real_shards AS n,
+        round(CASE WHEN real_tokens > 0 THEN least((taken - made) / real_tokens, max_repeats::DOUBLE) ELSE 0.0::DOUBLE END, 9) AS rate FROM ({_SYNTHETIC})
+    UNION ALL SELECT mix_id, corpus, source, TRUE, synthetic_shards,
+        round(CASE WHEN synthetic_tokens > 0 THEN least(made / synthetic_tokens, max_repeats::DOUBLE) ELSE 0.0::DOUBLE END, 9) FROM ({_SYNTHETIC})
+"""
+_EMITTED = f"""
+    SELECT mix_id, source, path, tokens, synthetic, CAST(floor(rate) + floor(start + (rate - floor(rate)) * place) - floor(start + (rate - floor(rate)) * (place - 1)) AS INTEGER) AS copies
+    FROM (SELECT r.mix_id, r.source, s.path, s.tokens, r.synthetic, r.rate, s.place,
+            ('0x' || substr(md5(concat_ws(':', '0', r.mix_id, r.source, r.synthetic::VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
+        FROM ({_RATED}) r JOIN (SELECT *, row_number() OVER (PARTITION BY corpus, source, synthetic ORDER BY tokens DESC, path) AS place FROM ({_TRAIN})) s
+            ON r.corpus = s.corpus AND r.source = s.source AND r.synthetic = s.synthetic WHERE r.rate > 0)
+"""
 _PLAN = f"""
     SELECT t.mix_id, t.source, coalesce(real_tokens, 0) + coalesce(synthetic_tokens, 0) AS available,
            coalesce(real_tokens, 0) AS real_tokens, coalesce(synthetic_tokens, 0) AS synthetic_tokens,
@@ -199,6 +234,14 @@ _OVERLAPS = f"""
 """
 
 SQL = {
+    "p3_copies": f"SELECT mix_id, source, path, tokens, synthetic, CAST(unnest(range(copies)) AS INTEGER) AS copy FROM ({_EMITTED}) WHERE copies > 0",
+    "p3_shares": f"""
+        SELECT h.mix_id, h.source, round(wanted, 6) AS wanted, max_repeats * available < wanted AS short, CAST(coalesce(e, 0) AS BIGINT) AS emitted_tokens,
+            round(CASE WHEN total_tokens > 0 THEN wanted / total_tokens END, 6) AS target_share,
+            round(CASE WHEN sum(coalesce(e, 0)) OVER w > 0 THEN coalesce(e, 0) / (sum(coalesce(e, 0)) OVER w)::DOUBLE END, 6) AS actual_share, f AS synthetic_fraction,
+            round(CASE WHEN sum(coalesce(e, 0)) OVER w > 0 THEN (sum(coalesce(m, 0)) OVER w)::DOUBLE / (sum(coalesce(e, 0)) OVER w)::DOUBLE END, 6) AS actual_synthetic_share
+        FROM ({_HAVE}) h LEFT JOIN (SELECT mix_id, source, sum(copies * tokens) AS e, sum(CASE WHEN synthetic THEN copies * tokens ELSE 0 END) AS m
+            FROM ({_EMITTED}) WHERE copies > 0 GROUP BY 1, 2) g ON h.mix_id = g.mix_id AND h.source = g.source WINDOW w AS (PARTITION BY h.mix_id)""",
     "p2_found": f"{_OVERLAPS} SELECT least(e, t) AS doc_id_a, greatest(e, t) AS doc_id_b FROM m JOIN n ON e = n.doc_id WHERE 2 * c >= n",
     "p2_report": f"""
         {_OVERLAPS} SELECT regexp_extract(lower(trim(d.split)), '^(train|val|test)', 1) AS eval_split, d.source AS eval_source,
