@@ -1,9 +1,10 @@
 """Attribute-value rows into wide tables.
 
 Rows ``(entity keys, attribute, value)`` become one row per entity with typed columns. The
-attribute's spelling is reduced to letters and digits and encoded as a column index; cells
-are pre-aggregated where they lie, then rows are partitioned and sorted by entity and
-streamed into columnar builders: typed buffers with a validity mask each.
+attribute's spelling is reduced to letters and digits and encoded as a column index; every task
+combines the rows of a cell that it holds, so an entity or a cell with a great part of all rows is a few rows a task; then
+cells are exchanged once, by entity, sorted, and streamed into columnar builders, which find what differs and
+keep buffers only for the columns that a batch has: typed values with a validity mask each.
 
 Defined results, per cell: rows that agree are one value; of rows that differ the one logged
 last holds, of equally late ones the larger value. A finite value goes before NaN and the
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Wide tables beyond this many columns are refused; the attribute list is read by the driver.
-MAX_COLUMNS = 5_000
-BUILDER_ROWS = 8_192
+#: Rows that are combined together before the exchange, and cells that are built together.
+COMBINED_ROWS = 200_000
+BUILDER_ROWS = 65_536
 
 ARROW = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
@@ -37,10 +38,8 @@ def spelled(column) -> F.Column:
 
 
 def attribute_columns(attributes: DataFrame, name: str = "column_name", kind: str = "value_type") -> list[tuple[str, str]]:
-    """The wide table's columns in name order; repeated rows are one, clashing spellings an error."""
-    rows = attributes.where(F.col(name).isNotNull()).select(name, kind).distinct().orderBy(name, kind).limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} attributes")
+    """The wide table's columns in name order, from a table of settings; repeated rows are one, clashing spellings an error."""
+    rows = attributes.where(F.col(name).isNotNull()).select(name, kind).distinct().orderBy(name, kind).collect()
     columns = [(r[0], r[1]) for r in rows]
     keys = {"".join(c for c in n.lower() if c.isalnum()) for n, _ in columns}
     if len(keys) < len(columns):
@@ -58,26 +57,84 @@ def cells(
     value: str,
     order: str,
 ) -> DataFrame:
-    """One row per entity and known attribute (index -1: none known), aggregated before the shuffle."""
+    """``(e0, e1, at, v, o, low, high)``: what each task holds of a cell, in one row (attribute index -1: none known).
+
+    ``v`` is the value that holds, ``o`` its place in order, ``low`` and ``high`` the least and greatest finite values.
+    """
     at = F.lit(-1)
     if columns:
         pairs = [("".join(c for c in n.lower() if c.isalnum()), i) for i, (n, _) in enumerate(columns)]
         index = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
         at = F.coalesce(index[spelled(F.col(attribute))], at)
+    types = dict(rows.dtypes)
+    # Micro-seconds since 1970 are exact in a double.
+    place = {"timestamp": F.unix_micros(F.col(order)), "date": F.unix_date(F.col(order))}.get(types[order], F.col(order)).cast("double")
     keyed = rows.select(
         F.col(entity[0]).alias("e0"),
         F.col(entity[1]).alias("e1"),
         at.alias("at"),
         F.col(value).cast("double").alias("v"),
-        F.col(order).alias("o"),
-    )
-    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
-    rank = F.when(F.col("v").isNotNull(), F.struct(finite.alias("f"), "o", "v"))
-    return keyed.groupBy("e0", "e1", "at").agg(
-        F.max(rank)["v"].alias("v"),
-        (F.min(F.when(finite, F.col("v"))) != F.max(F.when(finite, F.col("v")))).alias("differs"),
+        place.alias("o"),
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= COMBINED_ROWS:
+                yield from _combined(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from _combined(pa.Table.from_batches(held))
+
+    schema = f"e0 {types[entity[0]]}, e1 {types[entity[1]]}, at int, v double, o double, low double, high double"
+    return keyed.mapInArrow(run, schema)
+
+
+def _combined(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Raw rows of a task as one row per cell."""
+    v, o = (table[c].to_numpy(zero_copy_only=False) for c in ("v", "o"))
+    known = ~table["v"].is_null().to_numpy(zero_copy_only=False)
+    finite = known & np.isfinite(v)
+    table = table.append_column("low", pa.array(v, mask=~finite)).append_column("high", pa.array(v, mask=~finite))
+    codes = [_codes(table[c]) for c in ("e0", "e1")]
+    order = np.lexsort((table["at"].to_numpy(), *codes[::-1]))
+    first, best, low, high = resolved(order, [c[order] for c in codes], table)
+    out = table.take(pa.array(best))
+    none = ~np.isfinite(low)
+    for name, column in (("low", low), ("high", high)):
+        out = out.set_column(out.schema.get_field_index(name), name, pa.array(column, mask=none))
+    yield from out.combine_chunks().to_batches()
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values; nulls equal nulls."""
+    return _one(column.dictionary_encode(null_encoding="encode")).indices.to_numpy(zero_copy_only=False)
+
+
+def resolved(order: np.ndarray, keys: list[np.ndarray], table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of rows in the order of their cells: where cells begin, the row that holds, the least and greatest finite value (or infinities).
+
+    A finite value goes before NaN and the infinities, then the later row, then the larger value; null never holds unless alone.
+    """
+    at = table["at"].to_numpy()[order]
+    new = np.r_[True, at[1:] != at[:-1]]
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    cell = np.cumsum(new) - 1
+    v = table["v"].to_numpy(zero_copy_only=False)[order]
+    known = ~table["v"].is_null().to_numpy(zero_copy_only=False)[order]
+    rank = known.astype(np.int8) + (known & np.isfinite(np.where(known, v, np.nan)))
+    late = table["o"].fill_null(-np.inf).to_numpy()[order]
+    # NaN is the largest of the values that are not finite.
+    by = np.lexsort((np.where(known, v, 0), late, rank, cell))
+    best = order[by[np.r_[first[1:], len(order)] - 1]]
+    low = np.minimum.reduceat(table["low"].fill_null(np.inf).to_numpy()[order], first)
+    high = np.maximum.reduceat(table["high"].fill_null(-np.inf).to_numpy()[order], first)
+    return first, best, low, high
+
 
 def _typed(kind: str, values: np.ndarray, valid: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The column and a mask of the values it rejects."""
@@ -93,23 +150,30 @@ def _typed(kind: str, values: np.ndarray, valid: np.ndarray) -> tuple[pa.Array,
 
 
 def _build(kinds: list[str], e0: pa.Array, e1: pa.Array, row: np.ndarray, at: np.ndarray, v: np.ndarray, ok: np.ndarray, differs: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    n, width = len(e0), len(kinds)
-    values, valid = np.zeros((width, n)), np.zeros((width, n), bool)
-    clash, rejected = np.zeros((n, width), bool), np.zeros((n, width), bool)
+    """Cells in the order of row and column into columns; those that no cell has are nulls without a buffer of values."""
+    n = len(e0)
     known = at >= 0
-    values[at[known], row[known]] = v[known]
-    valid[at[known], row[known]] = ok[known]
-    clash[row[known], at[known]] = differs[known]
+    row, at, v, ok, differs = row[known], at[known], v[known], ok[known], differs[known]
+    by = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[by], np.arange(len(kinds) + 1))
+    rejected = np.zeros(len(at), bool)
     arrays = []
     for i, kind in enumerate(kinds):
-        column, rejected[:, i] = _typed(kind, values[i], valid[i])
+        mine = by[edges[i] : edges[i + 1]]
+        if not ok[mine].any():
+            arrays.append(pa.nulls(n, ARROW[kind]))
+            continue
+        values, valid = np.zeros(n), np.zeros(n, bool)
+        values[row[mine]], valid[row[mine]] = v[mine], ok[mine]
+        column, refused = _typed(kind, values, valid)
+        rejected[mine] = refused[row[mine]]
         arrays.append(column)
 
     def listed(mask: np.ndarray) -> pa.ListArray:
-        ends = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(mask)[1].astype(np.int32)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(at[mask].astype(np.int32)))
 
-    return pa.RecordBatch.from_arrays([e0, e1, *arrays, listed(clash), listed(rejected)], names)
+    return pa.RecordBatch.from_arrays([e0, e1, *arrays, listed(differs), listed(rejected)], names)
 
 
 def widen(
@@ -151,14 +215,12 @@ def widen(
 
     def whole(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         table = table.combine_chunks()
-        row = np.searchsorted(starts, np.arange(table.num_rows), side="right") - 1
-        first = table.select(["e0", "e1"]).take(pa.array(starts)).combine_chunks()
-        v = table["v"].to_numpy()
-        ok = ~table["v"].is_null().to_numpy()
-        return _build(
-            kinds, _one(first["e0"]), _one(first["e1"]), row, table["at"].to_numpy(), np.where(ok, v, 0),
-            ok, table["differs"].fill_null(False).to_numpy(), names,
-        )
+        owner = np.searchsorted(starts, np.arange(table.num_rows), side="right") - 1
+        cell, best, low, high = resolved(np.arange(table.num_rows), [owner], table)
+        entities = table.select(["e0", "e1"]).take(pa.array(starts)).combine_chunks()
+        ok = ~table["v"].is_null().to_numpy()[best]
+        v = np.where(ok, table["v"].to_numpy()[best], 0)
+        return _build(kinds, _one(entities["e0"]), _one(entities["e1"]), owner[cell], table["at"].to_numpy()[cell], v, ok, low < high, names)
 
     wide = tidy.mapInArrow(stream, schema)
     out = [F.col("e0").alias(entity[0]), F.col("e1").alias(entity[1])]
@@ -171,11 +233,11 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _starts(table: pa.Table) -> np.ndarray:
-    """Row numbers at which a new entity begins; nulls equal nulls."""
+    """Row numbers at which a new entity begins."""
     new = np.zeros(table.num_rows, bool)
     new[0] = True
     for name in ("e0", "e1"):
-        codes = _one(table[name].dictionary_encode(null_encoding="encode")).indices.to_numpy(zero_copy_only=False)
+        codes = _codes(table[name])
         new[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(new)
 
