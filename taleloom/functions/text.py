@@ -50,11 +50,20 @@ def longest_run(sorted_values: Column) -> Column:
 
 
 def general(number: Column) -> Column:
-    """A double in %g style for the values that name sampling regimes: ``1.0`` gives ``1``."""
-    short = F.regexp_replace(F.format_string("%.6f", number), r"0+$", "")
-    return F.regexp_replace(short, r"\.$", "")
+    """A double as %g writes it: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on."""
+    scientific = F.format_string("%.5e", number)
+    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_extract(scientific, r"^(-?[\d.]+)e", 1), r"\.?0+$", "")
+    short = F.concat(digits, F.lit("e"), F.regexp_extract(scientific, r"e([+-]\d+)$", 1))
+    # Five decimals are left at exponent 0, one more for each below it and one less for each above.
+    plain = F.lit(None).cast("string")
+    for e in range(-4, 6):
+        plain = F.when(exponent == e, F.format_string(f"%.{5 - e}f", number)).otherwise(plain)
+    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    special = F.when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    return F.coalesce(special, F.when(number == 0, F.lit("0")), plain, short)
 
 
 def visible(text: Column) -> Column:
-    """Blank, tab, line feed and carriage return as glyphs."""
-    return F.translate(text, " \t\n\r", "·→⏎␍")
+    """Blank, tab and line feed as glyphs; a carriage return stays."""
+    return F.translate(text, " \t\n", "·→⏎")

@@ -150,8 +150,8 @@ def repeated_blocks(trials: int, block: int, pool: list[int], seed: int = 0) ->
 def induction(bits: DataFrame, block: int, pool_size: int, position: str = "position", value: str = "bits") -> DataFrame:
     """In-context copying from stored surprisals of repeated blocks.
 
-    Position i predicts token i + 1; the first token of either copy is left out, as predicting the seam
-    needs no copying.
+    ``position`` counts predictions. The block's last prediction in the first copy and the one before the second copy's second
+    token tell nothing about copying and are in neither mean.
     """
     per = bits.groupBy(F.col(position).alias("p")).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.count(value).alias("n"))
     first, second = F.col("p") < block - 1, F.col("p") >= block

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import PurePath
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,73 +15,114 @@ RUN_SCHEMA = (
     "params_non_embedding BIGINT, tokenizer STRING, best_step BIGINT, best_bpb DOUBLE, best_loss DOUBLE, final_train_loss DOUBLE, "
     "tokens_per_sec DOUBLE, wall_clock DOUBLE"
 )
-_CONFIG = (
-    "model STRUCT<d_model: BIGINT, n_layer: BIGINT, n_head: BIGINT, vocab_size: BIGINT, seq_len: BIGINT>, "
-    "training STRUCT<name: STRING, seed: BIGINT, steps: BIGINT, rung: STRING, lr: DOUBLE, batch_size: BIGINT>"
-)
-_MANIFEST = (
-    "git STRUCT<sha: STRING, dirty: BOOLEAN>, started_at STRING, tokenizer_fingerprint STRING, "
-    "parameters STRUCT<total: BIGINT, non_embedding: BIGINT>"
-)
-_BEST = "step BIGINT, val_bpb DOUBLE, val_loss DOUBLE"
+def _documents(spark: SparkSession, runs_dir: str, file: str) -> DataFrame:
+    """``(run_id, text)`` of one file of every run directory that holds it."""
+    folder, _, name = file.rpartition("/")
+    inner = re.escape(folder) + "/" if folder else ""
+    place = rf"/{re.escape(PurePath(runs_dir).name)}/([^/]+)/{inner}{re.escape(name)}$"
+    files = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).option("wholetext", True).text(runs_dir)
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), place, 1).alias("run_id"), F.col("value").alias("text")).where("run_id <> ''")
 
 
-def _json(spark: SparkSession, runs_dir: str, file: str, schema: str, deep: bool = False) -> DataFrame:
-    """One row per run directory that holds the file; a corrupt file gives nulls."""
-    frame = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", file)
-    depth = r"/([^/]+)/" + (r"[^/]+/" if deep else "") + r"[^/]+$"
-    loaded = frame.option("recursiveFileLookup", True).load(runs_dir, format="json")
-    return loaded.select(F.regexp_extract(F.col("_metadata.file_path"), depth, 1).alias("run_id"), *loaded.columns)
+def metric_lines(spark: SparkSession, runs_dir: str) -> DataFrame:
+    """``(run_id, line, text)`` of every line of every run's metrics; lines are ordered by their place in the file, also in one that is split."""
+    place = rf"/{re.escape(PurePath(runs_dir).name)}/([^/]+)/metrics\.jsonl$"
+    lines = spark.read.option("pathGlobFilter", "metrics.jsonl").option("recursiveFileLookup", True).text(runs_dir)
+    return lines.select(
+        F.regexp_extract(F.col("_metadata.file_path"), place, 1).alias("run_id"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"),
+        F.col("value").alias("text"),
+    ).where("run_id <> ''")
 
 
-def metric_lines(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """``(run_id, line, value)`` of every line of every metrics.jsonl, as a map of its numbers."""
-    lines = (
-        spark.read.option("pathGlobFilter", "metrics.jsonl").option("recursiveFileLookup", True).text(runs_dir)
-        .select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("run_id"), F.monotonically_increasing_id().alias("line"), "value")
-    )
-    return lines.where(F.trim("value") != "").select("run_id", "line", F.from_json("value", "map<string,string>").alias("m"))
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """``(run_id, line, m)``: the keys of every line with their typed values; blank and corrupt lines are dropped."""
+    return lines.where(F.trim("text") != "").select("run_id", "line", F.from_json("text", "map<string,variant>").alias("m")).where("m is not null")
+
+
+def _number(value: Column) -> Column:
+    """The number a JSON value is; true and false count as 1 and 0, a string is none."""
+    kind = F.schema_of_variant(value)
+    numeric = kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(numeric, F.try_variant_get(value, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
 
 
-def metrics_table(lines: DataFrame) -> DataFrame:
+def metrics_table(parsed: DataFrame) -> DataFrame:
     """Attribute-value rows of all numeric keys but the step; booleans count as 1 and 0."""
-    rows = lines.select("run_id", "line", F.element_at("m", "step").cast("bigint").alias("step"), F.explode("m").alias("key", "text"))
-    value = F.when(F.col("text") == "true", 1.0).when(F.col("text") == "false", 0.0).otherwise(F.col("text").try_cast("double"))
-    return rows.where("key <> 'step'").select("run_id", "step", "key", value.alias("value")).where(F.col("value").isNotNull())
+    step = F.try_variant_get(F.element_at("m", "step"), "$", "bigint")
+    rows = parsed.select("run_id", step.alias("step"), F.explode("m").alias("key", "v")).where("key <> 'step'")
+    return rows.select("run_id", "step", "key", _number(F.col("v")).alias("value")).where("value is not null")
 
 
-def build_index(spark: SparkSession, runs_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The run table and the metric rows of a folder of run directories.
+def assemble(config: DataFrame, manifest: DataFrame, best: DataFrame, parsed: DataFrame, runs_dir: str) -> DataFrame:
+    """The run table from ``(run_id, text)`` of the three files and the parsed lines.
 
-    A directory without config and manifest is no run; absent and corrupt files give nulls.
+    A run without a config and a manifest that hold anything is no run; absent and corrupt files give nulls.
+    What is empty or 0 falls back: the name to that of the directory, the rung to that of the best checkpoint, the sequence length
+    to that of the training. Loss is that of the last line with a loss; speed and time are those of the last such lines that have them.
     """
-    config = _json(spark, runs_dir, "config.yaml", _CONFIG)
-    manifest = _json(spark, runs_dir, "manifest.json", _MANIFEST)
-    best = _json(spark, runs_dir, "best.json", _BEST, deep=True)
-    lines = metric_lines(spark, runs_dir)
+    files = [
+        f.groupBy("run_id").agg(F.max("text").alias("text")).select("run_id", F.try_parse_json("text").alias(name))
+        for f, name in ((config, "config"), (manifest, "manifest"), (best, "best"))
+    ]
+    with_loss = parsed.where(F.map_contains_key("m", "loss"))
 
     def last(key: str) -> Column:
-        value = F.element_at("m", key).try_cast("double")
-        return F.max_by(value, F.when(value.isNotNull(), F.col("line")))
+        return F.max_by(_number(F.element_at("m", key)), F.when(F.map_contains_key("m", key), F.col("line")))
+
+    ends = with_loss.groupBy("run_id").agg(last("loss").alias("final_train_loss"), last("tokens_per_sec").alias("tokens_per_sec"), last("elapsed").alias("wall_clock"))
+    joined = files[0].join(files[1], "run_id", "full").join(files[2], "run_id", "left").join(ends, "run_id", "left")
+    holds = lambda c: F.coalesce(~F.to_json(c).isin("{}", "null"), F.lit(False))
 
-    ends = lines.groupBy("run_id").agg(last("loss").alias("final_train_loss"), last("tokens_per_sec").alias("tokens_per_sec"), last("elapsed").alias("wall_clock"))
-    joined = config.join(manifest, "run_id", "full").join(best, "run_id", "left").join(ends, "run_id", "left")
-    runs = joined.where(F.col("model").isNotNull() | F.col("training").isNotNull() | F.col("git").isNotNull() | F.col("started_at").isNotNull()).select(
+    def value(file: str, path: str, kind: str) -> Column:
+        return F.try_variant_get(F.col(file), f"$.{path}", kind)
+
+    whole = lambda file, path: F.nullif(value(file, path, "bigint"), F.lit(0))
+    text = lambda file, path: F.nullif(value(file, path, "string"), F.lit(""))
+    return joined.where(holds(F.col("config")) | holds(F.col("manifest"))).select(
         "run_id",
-        F.coalesce("training.name", F.regexp_replace("run_id", "^[^-]*-[^-]*-", "")).alias("name"),
+        F.coalesce(text("config", "training.name"), F.regexp_replace("run_id", "^(?:[^-]*-){1,2}", "")).alias("name"),
         F.concat(F.lit(runs_dir.rstrip("/") + "/"), F.col("run_id")).alias("path"),
-        "started_at",
-        F.col("git.sha").alias("git_sha"),
-        F.coalesce(F.col("git.dirty").cast("int"), F.lit(0)).alias("git_dirty"),
-        "training.rung", "training.seed", "training.steps", "training.batch_size",
-        "model.seq_len", "model.d_model", "model.n_layer", "model.n_head", "model.vocab_size", "training.lr",
-        F.col("parameters.total").alias("params_total"),
-        F.col("parameters.non_embedding").alias("params_non_embedding"),
-        F.col("tokenizer_fingerprint").alias("tokenizer"),
-        F.col("step").alias("best_step"), F.col("val_bpb").alias("best_bpb"), F.col("val_loss").alias("best_loss"),
+        value("manifest", "started_at", "string").alias("started_at"),
+        value("manifest", "git.sha", "string").alias("git_sha"),
+        F.coalesce(value("manifest", "git.dirty", "boolean").cast("int"), F.lit(0)).alias("git_dirty"),
+        F.coalesce(text("config", "training.rung"), value("best", "rung", "string")).alias("rung"),
+        *[value("config", f"training.{c}", "bigint").alias(c) for c in ("seed", "steps", "batch_size")],
+        F.coalesce(whole("config", "model.seq_len"), value("config", "training.seq_len", "bigint")).alias("seq_len"),
+        *[value("config", f"model.{c}", "bigint").alias(c) for c in ("d_model", "n_layer", "n_head", "vocab_size")],
+        value("config", "training.lr", "double").alias("lr"),
+        value("manifest", "parameters.total", "bigint").alias("params_total"),
+        value("manifest", "parameters.non_embedding", "bigint").alias("params_non_embedding"),
+        value("manifest", "tokenizer_fingerprint", "string").alias("tokenizer"),
+        value("best", "step", "bigint").alias("best_step"),
+        value("best", "val_bpb", "double").alias("best_bpb"),
+        value("best", "val_loss", "double").alias("best_loss"),
         "final_train_loss", "tokens_per_sec", "wall_clock",
     )
-    return runs, metrics_table(lines)
+
+
+def build_index(spark: SparkSession, runs_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The run table and the metric rows of a folder of run directories."""
+    parsed = parsed_lines(metric_lines(spark, runs_dir))
+    files = [_documents(spark, runs_dir, f) for f in ("config.yaml", "manifest.json", "checkpoints/best.json")]
+    return assemble(*files, parsed, runs_dir), metrics_table(parsed)
+
+
+def register(frame_by_name: dict[str, DataFrame]) -> None:
+    """Make tables known by name to ad-hoc SQL of their session."""
+    for name, frame in frame_by_name.items():
+        frame.createOrReplaceTempView(name)
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The run whose id is last in order; ids begin with their time."""
+    return runs.orderBy(F.desc("run_id")).limit(1)
+
+
+def comparison_table(groups: DataFrame) -> DataFrame:
+    """Seed groups from the best mean, with their place and whether a single seed stands for them."""
+    ranked = groups.select("label", "mean", "std", "spread", "n", "values", (F.col("n") == 1).alias("single_seed"))
+    return ranked.orderBy("mean", "label")
 
 
 def label(name: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; set one only where none is set, as in tests."""
+    """Use the folder of ``spark.checkpoint.dir``; one of its own only on a single machine, as in tests."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="taleloom-checkpoints-"))
+    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master))
+
+
+def checkpoint_folder(shared: str | None, master: str) -> str:
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="taleloom-checkpoints-")
 
 
 def cut(df: DataFrame) -> DataFrame:

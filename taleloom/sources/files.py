@@ -80,16 +80,27 @@ def sha256_file(path: str) -> str:
 def fetch(source: dict, dest_dir: str, force: bool = False) -> Path:
     """Download to a partial file, check size and digest, rename, note it in the manifest.
 
-    A file whose digest is in the manifest is not fetched again.
+    A file that is there is not fetched again: it is noted if it has the registered digest, or that of the manifest, or if
+    none is known; with another digest it is an error, as results that were computed from it need another look.
     """
     folder = Path(dest_dir)
     folder.mkdir(parents=True, exist_ok=True)
     manifest_path = folder / "MANIFEST.json"
     manifest = json.loads(manifest_path.read_text()) if manifest_path.exists() else {"version": 1, "sources": {}}
     target = folder / (source["name"] + Path(source["url"]).suffix)
-    known = manifest["sources"].get(source["name"], {}).get("sha256")
-    if target.exists() and not force and known and sha256_file(str(target)) == known:
+    stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+    def note(digest: str) -> Path:
+        manifest["sources"][source["name"]] = {**source, "sha256": digest, "actual_bytes": target.stat().st_size, "local_path": str(target), "retrieved_at": stamp}
+        manifest_path.write_text(json.dumps(manifest, indent=2))
         return target
+
+    known = source.get("sha256") or digest_for(manifest, source["name"])
+    if target.exists() and not force:
+        digest = sha256_file(str(target))
+        if known and digest != known:
+            raise ValueError(f"{target} has the digest {digest}, known is {known}; remove it to fetch it again")
+        return note(digest)
     partial = target.with_name(target.name + ".partial")
     try:
         with urlopen(source["url"]) as reply, open(partial, "wb") as out:
@@ -102,10 +113,12 @@ def fetch(source: dict, dest_dir: str, force: bool = False) -> Path:
         partial.rename(target)
     finally:
         partial.unlink(missing_ok=True)
-    stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-    manifest["sources"][source["name"]] = {**source, "sha256": digest, "actual_bytes": size, "local_path": str(target), "retrieved_at": stamp}
-    manifest_path.write_text(json.dumps(manifest, indent=2))
-    return target
+    return note(digest)
+
+
+def digest_for(manifest: dict, name: str) -> str | None:
+    """The recorded digest of a source."""
+    return manifest["sources"].get(name, {}).get("sha256")
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
@@ -117,6 +130,53 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def disk_usage(spark: SparkSession, path: str) -> DataFrame:
+    """``(folder, files, bytes)`` of everything under a path, per folder and in all (a null folder); contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.rollup(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    )
+
+
+def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, step)`` of the checkpoints ``step-N`` of a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_extract("path", r"/(step-\d+)(?:\.[^/]*|/.*)?$", 1)
+    return files.select(name.alias("name")).where("name <> ''").distinct().withColumn("step", F.regexp_extract("name", r"(\d+)$", 1).cast("bigint"))
+
+
+def latest_checkpoint(found: DataFrame) -> DataFrame:
+    """The checkpoint of the largest step, by number."""
+    return found.orderBy(F.desc("step"), "name").limit(1)
+
+
+def save_checkpoint(state: DataFrame, folder: str, step: int, keep: int | None = None) -> None:
+    """Named arrays of a step as Parquet in ``step-N``; a step that is there is an error. Older ones beyond ``keep`` are removed."""
+    state.write.mode("error").parquet(f"{folder.rstrip('/')}/step-{step}")
+    if keep is None:
+        return
+    spark = state.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for row in rotate(checkpoints(spark, folder), keep).collect():  # names of a folder's checkpoints
+        old = hadoop(f"{folder.rstrip('/')}/{row['name']}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def load_checkpoint(spark: SparkSession, folder: str, step: int | None = None) -> DataFrame:
+    """The state of a step, or of the latest one."""
+    if step is None:
+        row = latest_checkpoint(checkpoints(spark, folder)).first()
+        if row is None:
+            raise ValueError(f"no checkpoint in {folder}")
+        step = row["step"]
+    return spark.read.parquet(f"{folder.rstrip('/')}/step-{step}")
+
+
+def write_evaluation(evaluation: DataFrame, path: str) -> None:
+    """An evaluation of one row as one JSON object per line."""
+    evaluation.coalesce(1).write.mode("overwrite").json(path)
+
+
 def rotate(checkpoints: DataFrame, keep: int, name: str = "name") -> DataFrame:
     """Checkpoints ``step-N`` beyond the newest ``keep``, by number."""
     step = F.regexp_extract(F.col(name), r"^step-(\d+)$", 1)

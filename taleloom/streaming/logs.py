@@ -18,11 +18,24 @@ class Budget:
     batches: int | None = None
     seconds: float | None = None
     halt_file: str | None = None
+    disk_bytes: int | None = None
+    disk_path: str | None = None
+
+    def disk_used(self) -> int:
+        """Bytes of all files under ``disk_path``, a folder of the driver's machine."""
+        return sum(f.stat().st_size for f in Path(self.disk_path).rglob("*") if f.is_file()) if self.disk_path else 0
+
+    def remaining(self, batches: int, began: float) -> dict[str, float | None]:
+        """What is left of each limit, never below 0; None is no limit."""
+        left = {"batches": (self.batches, batches), "seconds": (self.seconds, time.monotonic() - began), "disk_bytes": (self.disk_bytes, self.disk_used())}
+        return {name: None if most is None else max(0, most - used) for name, (most, used) in left.items()}
 
     def spent(self, batches: int, began: float) -> str | None:
-        """Why to stop, or None."""
+        """Why to stop, or None; a halt file's text is its reason."""
         if self.halt_file and Path(self.halt_file).exists():
-            return "halted"
+            return Path(self.halt_file).read_text().strip() or "halted"
+        if self.disk_bytes is not None and self.disk_used() >= self.disk_bytes:
+            return "disk exhausted"
         if self.batches is not None and batches >= self.batches:
             return "batches exhausted"
         if self.seconds is not None and time.monotonic() - began >= self.seconds:

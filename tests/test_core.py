@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from taleloom import session
 from taleloom.functions import text as T
 from taleloom.operators import arms, bpe, curate, eav, expstats, gates, lineage, logits, minhash, runs, shards, tasks
 from taleloom.operators.components import components
@@ -61,13 +63,19 @@ def test_minhash_groups(spark):
     signed = minhash.signatures(frame(spark, rows, "doc_id long, text string"))
     got = {r["doc_id"]: r["component"] for r in minhash.duplicate_groups(signed, 64, 0.7).collect()}
     assert got == {0: 0, 1: 0, 3: 0}
-    with pytest.raises(ValueError, match="divide evenly"):
+    with pytest.raises(ValueError, match="equal size"):
         minhash.candidates(minhash.classes(signed), 64, 7)
     assert components(frame(spark, [], "a long, b long")).count() == 0
     chain = frame(spark, [(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def joined(ids, pair, new):
+    text = ",".join(map(str, ids))
+    done = regex.sub(rf"(?<![^,]){pair[0]},{pair[1]}(?![^,])", str(new), text)
+    return [int(i) for i in done.split(",")]
+
+
 def naive_merges(words, count):
     words, out = [(list(w.encode()), n) for w, n in words], {}
     while len(out) < count:
@@ -79,7 +87,7 @@ def naive_merges(words, count):
             break
         best = min(pairs, key=lambda p: (-pairs[p], p))
         out[best] = 256 + len(out)
-        words = [(bpe.merge_ids(ids, best, out[best]), n) for ids, n in words]
+        words = [(joined(ids, best, out[best]), n) for ids, n in words]
     return out
 
 
@@ -134,10 +142,30 @@ def test_run_index(spark, tmp_path):
         (run / "checkpoints" / "best.json").write_text(json.dumps({"step": 2, "val_bpb": bpb, "val_loss": 1.0}))
         (run / "metrics.jsonl").write_text('{"step": 1, "loss": 2.0, "ok": true}\n\n{"step": 2, "loss": 1.5, "elapsed": 3.5}\n')
     (tmp_path / "empty").mkdir()
+    odd = tmp_path / "20260102-000000-odd-one"
+    (odd / "checkpoints").mkdir(parents=True)
+    (odd / "config.yaml").write_text("{not json")
+    (odd / "manifest.json").write_text(json.dumps({"other": 1, "parameters": {"total": 12}}))
+    (odd / "checkpoints" / "best.json").write_text(json.dumps({"step": 2, "rung": "v6"}))
+    lines = [{"step": 1, "loss": 3, "tokens_per_sec": 7.0, "elapsed": 1}, {"step": 2, "loss": 2.5, "note": "5", "flag": False}, {"step": 3, "val": 1.5, "elapsed": 99, "tokens_per_sec": 1}]
+    (odd / "metrics.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nbroken\n")
+    third = tmp_path / "20260103-000000-x"
+    third.mkdir()
+    (third / "config.yaml").write_text(json.dumps({"model": {"seq_len": 0}, "training": {"name": "", "seq_len": 64, "rung": "v5"}}))
     found, metrics = runs.build_index(spark, str(tmp_path))
-    assert found.count() == 4 and metrics.count() == 16
+    assert found.count() == 6 and metrics.where("run_id like '%nf%' or run_id like '%other%'").count() == 16
     first = found.where("name = 'nf-s0'").first()
     assert (first["final_train_loss"], first["wall_clock"], first["git_dirty"], first["best_step"]) == (1.5, 3.5, 1, 2)
+    row = found.where("name = 'odd-one'").first()
+    assert (row["final_train_loss"], row["tokens_per_sec"], row["wall_clock"], row["rung"], row["params_total"], row["git_dirty"]) == (2.5, 7.0, 1.0, "v6", 12, 0)
+    keys = {(r["step"], r["key"], r["value"]) for r in metrics.where("run_id like '%odd%'").collect()}
+    assert keys == {(1, "loss", 3), (1, "tokens_per_sec", 7), (1, "elapsed", 1), (2, "loss", 2.5), (2, "flag", 0), (3, "val", 1.5), (3, "elapsed", 99), (3, "tokens_per_sec", 1)}
+    row = found.where("name = 'x'").first()
+    assert row["seq_len"] == 64 and row["rung"] == "v5" and runs.latest_run(found).first()["name"] == "x"
+    runs.register({"runs": found})
+    assert spark.sql("select count(*) n from runs").first()["n"] == 6
+    assert [r["label"] for r in runs.comparison_table(runs.seed_groups(found)).collect()] == ["other", "nf"]
+    found = found.where("best_bpb is not null")
     groups = {r["label"]: r for r in runs.seed_groups(found).collect()}
     assert groups["nf"]["n"] == 3 and abs(groups["nf"]["std"] - 0.02) < 1e-12 and groups["other"]["std"] == 0
     assert abs(runs.noise_floor(runs.seed_groups(found, name_like="NF%")).first()["floor"] - 0.02) < 1e-12
@@ -177,12 +205,19 @@ def test_sweep_has_all_sizes(spark, tmp_path):
     assert tokens[0] == found[0]["bytes"] and tokens == sorted(tokens, reverse=True) and tokens[2] > tokens[3] > tokens[4]
 
 
-def test_permutation_native_equals_python(spark):
+def test_permutation_against_all_splits(spark):
     rng = random.Random(3)
-    cases = [([rng.random() for _ in range(n)], [rng.random() + 0.3 for _ in range(m)]) for n, m in ((3, 3), (5, 5), (1, 6), (0, 3), (2, 2))]
-    got = frame(spark, cases, "a array<double>, b array<double>").select(expstats.permutation_native(F.col("a"), F.col("b"))).collect()
-    assert all(abs(g[0] - expstats.permutation_p(a, b)) < 1e-12 for g, (a, b) in zip(got, cases, strict=True))
+    cases = [([rng.random() for _ in range(n)], [rng.random() + 0.3 for _ in range(m)]) for n, m in ((3, 3), (5, 5), (1, 6), (0, 3), (2, 2))] + [(None, [1.0])]
+    got = frame(spark, cases, "a array<double>, b array<double>").select(expstats.permutation_test("a", "b")).collect()
+    for (p,), (a, b) in zip(got, cases, strict=True):
+        if not a:
+            assert p == 1
+            continue
+        pooled, k = a + b, len(a)
+        gaps = [abs(sum(c) / k - (sum(pooled) - sum(c)) / (len(pooled) - k)) for c in itertools.combinations(pooled, k)]
+        assert abs(p - sum(g >= gaps[0] - 1e-12 for g in gaps) / len(gaps)) < 1e-12
     assert expstats.permutation_p([1, 2, 3, 4, 5], [11, 12, 13, 14, 15]) == 2 / 252
+    assert expstats.permutation_p([0.0] * 12, [1.0] * 12, 100) == 0
 
 
 def test_lineage_and_gates(spark):
@@ -202,6 +237,33 @@ def test_lineage_and_gates(spark):
         gates.gate({})
 
 
+def test_parameter_counts(spark):
+    """The totals that a built model of each rung has, worked out by hand for one width."""
+    d, layers, v, length = 6, 2, 10, 5
+    models = frame(spark, [(r, d, layers, v, length) for r in tasks.RUNGS], "rung string, d_model long, n_layer long, vocab_size long, seq_len long")
+    got = {r["rung"]: r for r in tasks.parameter_counts(tasks.with_rungs(models)).collect()}
+    gelu = 4 * d * d + 4 * d + 2 * d * 24 + 24 + d
+    assert got["v2_gpt2"]["total"] == (v + length) * d + layers * (4 * d + gelu) + 2 * d + v * d
+    assert got["v4_rope"]["total"] == v * d + layers * (2 * d + gelu) + d + v * d
+    assert got["v6_modern"]["total"] == v * d + layers * (2 * d + 4 * d * d + 3 * d * 16) + d and got["v6_modern"]["embedding"] == v * d
+    assert got["v5_swiglu"]["per_layer"] == 2 * d + 4 * d * d + 4 * d + 3 * d * 16 + 2 * 16 + d
+    costs = tasks.embedding_costs(frame(spark, [(256,), (512,), (2048,)], "vocab_size long"), 8).orderBy("vocab_size").collect()
+    assert [r["added"] for r in costs] == [2048, 2048, 12288]
+
+
+def test_general_numbers(spark):
+    values = [0.0, 1.0, 0.7, 1e-7, 123456.0, 1234567.0, 0.0001, 0.00001, -2.5, 999999.5, 1e300, 0.1 + 0.2, 100000.0, float("inf"), float("nan"), 12345.6]
+    got = frame(spark, [(v,) for v in values], "v double").select(T.general(F.col("v"))).collect()
+    assert [r[0] for r in got] == ["%g" % v for v in values]
+
+
+def test_checkpoint_folder():
+    assert session.checkpoint_folder("/shared", "spark://x") == "/shared" and session.checkpoint_folder(None, "local[4]")
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.checkpoint_folder(None, master)
+
+
 def test_logit_metrics(spark):
     rows = frame(spark, [(0, [1.0, 2.0, 3.0, 3.0], 2), (1, [1000.0, 0.0, 0.0, 0.0], 1)], "i int, l array<double>, t int")
     got = logits.predictions(rows, "l", "t", 2).orderBy("i").collect()
@@ -219,9 +281,28 @@ def test_arms_and_tasks(spark):
     assert arms.anchor(docs, [docs], 0.3).count() == 100
     with pytest.raises(ValueError):
         arms.anchor(docs, [docs], 1.5)
-    assert tasks.search_grid(spark).count() == 18
+    assert tasks.search_grid(spark).count() == 18 == tasks.grid_size()
+    with pytest.raises(ValueError, match="leave less"):
+        tasks.search_grid(spark, tasks.GRID | {"synthetic_fraction": [0.0, 0.9]})
+    drawn = tasks.sample_proposals(spark, 500)
+    assert drawn.join(tasks.valid_proposals(drawn, tasks.search_grid(spark)), "proposal_id", "left_semi").count() == 500
+    assert drawn.select("temperature").distinct().count() == 3
     for name in tasks.TASKS:
         assert tasks.examples(spark, name, 20).collect() == tasks.examples(spark, name, 20).collect()
+    made = {name: tasks.examples(spark, name, 50).collect() for name in tasks.TASKS}
+    for r in made["copy"]:
+        assert r["prompt"] == r["answer"].strip() + " | " and len(r["answer"].split()) == 8
+    for r in made["sort"]:
+        assert sorted(map(int, r["prompt"].removesuffix(" -> ").split())) == list(map(int, r["answer"].split()))
+    for r in made["modular_arithmetic"] + tasks.examples(spark, "modular_arithmetic", 50, operation="*").collect():
+        a, operation, b, _, m, _ = r["prompt"].split()
+        assert r["answer"] == f"{(int(a) + int(b) if operation == '+' else int(a) * int(b)) % int(m)}\n"
+    for r in made["dyck"]:
+        text, depth = r["prompt"].strip() + r["answer"].strip(), 0
+        assert r["prompt"].endswith(" ") and len(r["prompt"]) == 13
+        while (shorter := text.replace("()", "").replace("[]", "").replace("{}", "")) != text:
+            text = shorter
+        assert text == ""
     got = frame(spark, [("abcd", "abxd"), ("ab", "ab"), ("", "")], "answer string, output string")
     assert [(r["exact"], r["prefix_agreement"]) for r in tasks.score(got).collect()] == [(False, 0.5), (True, 1.0), (True, 1.0)]
 
@@ -266,6 +347,20 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="digest"):
         files.fetch({**source, "name": "b", "sha256": "0" * 64}, str(tmp_path / "raw"))
     assert not list((tmp_path / "raw").glob("*.partial"))
+    assert files.fetch(source, str(tmp_path / "raw")) == target
+    target.write_bytes(b"other")
+    with pytest.raises(ValueError, match="known is"):
+        files.fetch(source, str(tmp_path / "raw"))
+    usage = {r["folder"] and r["folder"].rsplit("/", 1)[-1]: (r["files"], r["bytes"]) for r in files.disk_usage(spark, str(tmp_path)).collect()}
+    assert usage["raw"] == (2, 5 + (tmp_path / "raw" / "MANIFEST.json").stat().st_size) and usage[None][0] == 4
+    for step in (2, 10, 9):
+        files.save_checkpoint(frame(spark, [("w", [1.0 * step])], "name string, values array<double>"), str(tmp_path / "ck"), step, keep=2)
+    assert {r["step"] for r in files.checkpoints(spark, str(tmp_path / "ck")).collect()} == {9, 10}
+    assert files.load_checkpoint(spark, str(tmp_path / "ck")).first()["values"] == [10.0] and files.load_checkpoint(spark, str(tmp_path / "ck"), 9).first()["values"] == [9.0]
+    with pytest.raises(Exception, match="exists"):
+        files.save_checkpoint(frame(spark, [("w", [1.0])], "name string, values array<double>"), str(tmp_path / "ck"), 9)
+    files.write_evaluation(frame(spark, [(1.5,)], "loss double"), str(tmp_path / "eval.json"))
+    assert files.read_json_lines(spark, str(tmp_path / "eval.json"), "loss double").first()["loss"] == 1.5
     steps = frame(spark, [("step-9",), ("step-10",), ("step-2",), ("best",)], "name string")
     assert {r["name"] for r in files.rotate(steps, 1).collect()} == {"step-9", "step-2"}
 
