@@ -14,9 +14,14 @@ def no_regression(candidate: Column, incumbent: Column, tolerance: float = 0.01)
 
 
 def writes_confined(paths: Column, roots: list[str]) -> Column:
-    """Every path under one of the roots, without stepping up."""
+    """Every path under one of the roots when ``.``, ``..`` and doubled slashes are resolved; a relative path or one above the root is under none."""
+    def canonical(path: Column) -> Column:
+        parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+        step = lambda s, x: F.when(x != "..", F.concat(s, F.array(x))).when(F.size(s) > 0, F.slice(s, 1, F.size(s) - 1)).otherwise(F.array(F.lit("..")))
+        return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")))
+
     under = lambda p: reduce(lambda x, y: x | y, [p.startswith(r.rstrip("/") + "/") | (p == r.rstrip("/")) for r in roots])
-    return F.coalesce(F.forall(paths, lambda p: F.coalesce(under(p) & ~p.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))), F.lit(False))
+    return F.coalesce(F.forall(paths, lambda p: F.coalesce(under(canonical(p)), F.lit(False))), F.lit(False))
 
 
 def quarantined(shards: DataFrame, key: str) -> DataFrame:

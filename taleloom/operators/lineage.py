@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,26 @@ def append(entries: list[dict], payload: dict) -> dict:
 
 
 def link(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
-    """Chains built from rows: one fold over the ordered payloads of each chain."""
-    ordered = rows.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(payload).alias("payload")))).alias("rows"))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<index:bigint,prev:string,digest:string,payload:string>>").alias("out"))
+    """Chains built from rows: a task streams its chains in order and holds one digest; a null payload is empty."""
+    kind = dict(rows.dtypes)[chain]
+    ordered = rows.select(F.col(chain).alias("chain"), F.col(order).alias("at"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
 
-    def step(state, row):
-        index = F.size(state["out"]).cast("bigint")
-        digest = F.sha2(F.concat_ws("|", index.cast("string"), state["last"], row["payload"]), 256)
-        entry = F.struct(index.alias("index"), state["last"].alias("prev"), digest.alias("digest"), row["payload"].alias("payload"))
-        return F.struct(digest.alias("last"), F.concat(state["out"], F.array(entry)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, index, last = object(), 0, GENESIS
+        for batch in batches:
+            out = []
+            for name, text in zip(batch["chain"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+                if name != current:
+                    current, index, last = name, 0, GENESIS
+                digest = hashlib.sha256(f"{index}|{last}|{text}".encode()).hexdigest()
+                out.append((index, last, digest))
+                index, last = index + 1, digest
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            arrays = [batch["chain"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), batch["payload"]]
+            yield pa.RecordBatch.from_arrays(arrays, ["chain", "index", "prev", "digest", "payload"])
 
-    return ordered.select(chain, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("e")).select(chain, "e.*")
+    linked = ordered.repartition("chain").sortWithinPartitions("chain", "at", "payload").mapInArrow(run, f"chain {kind}, index bigint, prev string, digest string, payload string")
+    return linked.withColumnRenamed("chain", chain)
 
 
 def verify(entries: DataFrame, chain: str) -> DataFrame:

@@ -26,6 +26,21 @@ def log_softmax(logits: Column) -> Column:
     return F.zip_with(shifted, F.array_repeat(norm, F.size(logits)), lambda x, n: x - n)
 
 
+def softmax(logits: Column) -> Column:
+    return F.transform(log_softmax(logits), F.exp)
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    """Of one prediction, in nats."""
+    return -F.element_at(log_softmax(logits), target + 1)
+
+
+def mean_squared_error(a: Column, b: Column) -> Column:
+    """Of two arrays of one length; an empty pair has none."""
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.try_divide(F.aggregate(squares, F.lit(0.0), _add), F.size(a))
+
+
 def surprisal_bits(log_probs: Column, target: Column) -> Column:
     return -F.element_at(log_probs, target + 1) / LOG2
 
@@ -47,10 +62,13 @@ def top_k(log_probs: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["token"].alias("token"), F.exp(-p["minus"]).alias("probability")))
 
 
-def top_k_mask(logits: Column, k: int) -> Column:
-    """Logits below the k-th largest become null; ties with it stay."""
-    kth = F.array_repeat(F.element_at(F.reverse(F.array_sort(logits)), k), F.size(logits))
-    return F.zip_with(logits, kth, lambda x, t: F.when(x >= t, x))
+def top_k_mask(logits: Column, k: int, temperature: float = 1.0) -> Column:
+    """Logits over the temperature; those below the k-th largest become null, ties with it stay."""
+    if temperature <= 0:
+        raise ValueError("the temperature must be positive")
+    scaled = F.transform(logits, lambda x: x / temperature)
+    kth = F.array_repeat(F.element_at(F.reverse(F.array_sort(scaled)), F.least(F.lit(k), F.size(scaled))), F.size(scaled))
+    return F.zip_with(scaled, kth, lambda x, t: F.when(x >= t, x))
 
 
 def confident_and_wrong(entropy: Column, surprisal: Column) -> Column:
@@ -90,6 +108,11 @@ def evaluation(predicted: DataFrame, batch: Column) -> DataFrame:
     return total.select("tokens", bits.alias("bits_per_token"), (bits * LOG2).alias("loss"), perplexity(bits * LOG2).alias("perplexity"), "accuracy", "accuracy_5")
 
 
+def bits_per_byte_of(predicted: DataFrame, octets: Column) -> DataFrame:
+    """``(bits, bytes, bits_per_byte)`` of all predictions together; no bytes is an error."""
+    return predicted.agg(F.sum("surprisal").alias("bits"), F.sum(octets).alias("bytes")).withColumn("bits_per_byte", bits_per_byte(F.col("bits"), F.col("bytes")))
+
+
 def diversity(tokens: DataFrame, group: str, position: str, token: str, vocab_size: int) -> DataFrame:
     """Share of different n-grams among all (n = 1..3) and vocabulary used, per ordered sequence."""
     order = Window.partitionBy(group).orderBy(position)

@@ -8,11 +8,13 @@ task; the tokens follow by a join on the document.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,31 +89,51 @@ def windows(tokens: DataFrame, seq_len: int, group: str = "shard", position: str
 
 
 def sample_offsets(lengths: list[int], seq_len: int, batch_size: int, steps: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """``(step, row, shard, offset)`` of seeded batches: shards by their number of windows, offsets uniform."""
-    usable = [(i, n) for i, n in enumerate(lengths) if n >= seq_len + 1]
-    if not usable:
+    """``(step, row, shard, start)`` of seeded batches: shards by their tokens, starts evenly; shards without a window are left out."""
+    usable = np.array([i for i, n in enumerate(lengths) if n > seq_len])
+    if not len(usable):
         raise ValueError("no shard holds seq_len + 1 tokens")
-    starts = np.array([n - seq_len for _, n in usable])
-    rng = np.random.default_rng(seed)
+    sizes = np.array(lengths)[usable]
+    share = sizes.astype(float) / sizes.sum()
+    lot = np.random.default_rng(seed)
     out = []
     for step in range(steps):
-        picks = rng.choice(len(usable), size=batch_size, p=starts / starts.sum())
-        for row, k in enumerate(picks.tolist()):
-            out.append((step, row, usable[k][0], int(rng.integers(0, starts[k]))))
+        # All shards of a batch are drawn before its starts.
+        shards = lot.choice(len(usable), size=batch_size, p=share)
+        starts = [int(lot.integers(0, sizes[k] - seq_len)) for k in shards]
+        out += [(step, row, int(usable[k]), start) for row, (k, start) in enumerate(zip(shards, starts, strict=True))]
     return out
 
 
+def shard_name(split: str, number: int) -> str:
+    """Fixed format: the name of a shard file."""
+    return f"{split}_{number:03d}.bin"
+
+
+def shard_files(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """``(path, content)`` of a split's shard files, the path as in the index."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{split}_*.bin").load(root)
+    named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "content")
+    return named.where(F.col("path").rlike(rf"^{re.escape(split)}_\d+\.bin$"))
+
+
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder."""
+    return fs.FileSystem.from_uri(root if "://" in root else Path(root).absolute().as_uri())
+
+
 def write_shards(encoded: DataFrame, root: str, split: str, vocab_size: int, fingerprint: str, shard_tokens: int = 50_000_000, separator: int | None = None, synthetic: bool = False, quarantine_tag: str | None = None, mode: str = "error") -> None:
-    """Flat little-endian token files and ``meta.json``; one file is written by one task.
+    """Flat little-endian token files and ``meta.json``, in a folder that all executors share (a path or an address Arrow knows); one file is written by one task.
 
     ``encoded`` has ``doc_id, ids`` and optionally ``utf8_bytes``. An existing split is an error unless
     ``mode`` is ``append``; vocabulary size and fingerprint must match those already there.
     """
     if synthetic and not quarantine_tag:
         raise ValueError("synthetic shards need a quarantine_tag")
-    meta_path = Path(root, "meta.json")
+    system, base = file_system(root)
+    meta_path = f"{base}/meta.json"
     dtype = choose_dtype(vocab_size)
-    meta = json.loads(meta_path.read_text()) if meta_path.exists() else {"vocab_size": vocab_size, "dtype": dtype, "tokenizer_fingerprint": fingerprint, "splits": {}}
+    meta = json.loads(system.open_input_stream(meta_path).read()) if system.get_file_info(meta_path).type == fs.FileType.File else {"vocab_size": vocab_size, "dtype": dtype, "tokenizer_fingerprint": fingerprint, "splits": {}}
     if (meta["vocab_size"], meta["tokenizer_fingerprint"]) != (vocab_size, fingerprint):
         raise ValueError("the corpus was made with another tokenizer")
     if split in meta["splits"] and mode != "append":
@@ -120,17 +142,20 @@ def write_shards(encoded: DataFrame, root: str, split: str, vocab_size: int, fin
     with_end = rows.withColumn("ids", F.concat("ids", F.array(F.lit(separator)))) if separator is not None else rows
     sized = with_end.select("doc_id", "utf8_bytes", "ids", F.size("ids").alias("n_tokens"))
     placed = assign_shards(sized.select(F.lit(split).alias("split"), "doc_id", "n_tokens"), shard_tokens).select("doc_id", "shard")
-    folder = Path(root, split)
     first = len(meta["splits"].get(split, {}).get("shards", []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder.mkdir(parents=True, exist_ok=True)
+        system, base = file_system(root)
+        system.create_dir(base, recursive=True)
         current, handle, totals, out = None, None, [0, 0, 0], []
 
+        def place(shard: int) -> str:
+            return f"{base}/{shard_name(split, first + shard)}"
+
         def close() -> None:
             if handle is not None:
                 handle.close()
-                Path(f"{handle.name}").rename(handle.name.removesuffix(".partial"))
+                system.move(f"{place(current)}.partial", place(current))
                 out.append((current, *totals))
 
         for batch in batches:
@@ -138,7 +163,7 @@ def write_shards(encoded: DataFrame, root: str, split: str, vocab_size: int, fin
                 if shard != current:
                     close()
                     current, totals = shard, [0, 0, 0]
-                    handle = open(folder / f"shard-{first + shard:05d}.bin.partial", "wb")  # noqa: SIM115
+                    handle = system.open_output_stream(f"{place(shard)}.partial")
                 data = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], dtype)
                 handle.write(data.tobytes())
                 totals = [totals[0] + len(data), totals[1] + 1, totals[2] + octets]
@@ -150,12 +175,13 @@ def write_shards(encoded: DataFrame, root: str, split: str, vocab_size: int, fin
     written = ready.select("shard", "ids", "utf8_bytes").mapInArrow(run, "shard bigint, tokens bigint, documents bigint, utf8_bytes bigint")
     # One row per file.
     entries = [
-        {"path": f"{split}/shard-{first + r['shard']:05d}.bin", "tokens": r["tokens"], "documents": r["documents"], "utf8_bytes": r["utf8_bytes"], "synthetic": synthetic, "quarantine_tag": quarantine_tag}
+        {"path": shard_name(split, first + r["shard"]), "tokens": r["tokens"], "documents": r["documents"], "utf8_bytes": r["utf8_bytes"], "synthetic": synthetic, "quarantine_tag": quarantine_tag}
         for r in sorted(written.collect(), key=lambda r: r["shard"])
     ]
     every = meta["splits"].get(split, {"shards": []})["shards"] + entries
     meta["splits"][split] = {k: sum(e[k] for e in every) for k in ("tokens", "documents", "utf8_bytes")} | {"shards": every}
-    meta_path.write_text(json.dumps(meta))
+    with system.open_output_stream(meta_path) as out:
+        out.write(json.dumps(meta).encode())
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
@@ -172,7 +198,7 @@ def read_tokens(spark: SparkSession, root: str, split: str) -> DataFrame:
     if row is None:
         return spark.createDataFrame([], "path string, pos bigint, token bigint")
     dtype = row[0]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(f"{root}/{split}")
+    files = shard_files(spark, root, split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +206,6 @@ def read_tokens(spark: SparkSession, root: str, split: str) -> DataFrame:
                 data = np.frombuffer(content, dtype).astype(np.int64)
                 for at in range(0, len(data), 100_000):
                     part = data[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["path", "pos", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["path", "pos", "token"])
 
     return files.select("path", "content").mapInArrow(run, "path string, pos bigint, token bigint")

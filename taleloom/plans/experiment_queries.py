@@ -73,7 +73,7 @@ def untagged_shards(spark, sf_dir):
 
 
 def windows_packed(spark, sf_dir):
-    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.crc32("event_type").alias("token"))
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("token"))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
@@ -430,6 +430,20 @@ SQL: dict[str, str] = {
                CAST(coalesce(sum(utf8_bytes), 0) AS BIGINT) AS utf8_bytes, CAST(coalesce(sum(tokens) FILTER (synthetic), 0) AS BIGINT) AS synthetic_tokens,
                round(coalesce(sum(utf8_bytes)::DOUBLE / nullif(sum(tokens), 0)::DOUBLE, 0), 6) AS bytes_per_token,
                round(coalesce(coalesce(sum(tokens) FILTER (synthetic), 0)::DOUBLE / nullif(sum(tokens), 0)::DOUBLE, 0), 6) AS synthetic_share FROM ({_SHARDS_ONCE}) GROUP BY split""",
+    "windows_packed": """
+        WITH e AS (SELECT user_id, event_type, row_number() OVER w - 1 AS pos, lead(event_type) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+        SELECT user_id, pos // 8 AS window, string_agg(event_type, ',' ORDER BY pos) AS x, string_agg(nxt, ',' ORDER BY pos) AS y
+        FROM e WHERE nxt IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 8""",
+    "shard_packing": """
+        WITH RECURSIVE d AS MATERIALIZED (SELECT substr(sha256(text), 1, 1) AS split, doc_id, length(text) AS n, row_number() OVER (PARTITION BY substr(sha256(text), 1, 1) ORDER BY doc_id) AS i
+            FROM documents WHERE text IS NOT NULL),
+        s(split, i, doc_id, shard, held) AS (
+            SELECT split, i, doc_id, 0, n FROM d WHERE i = 1
+            UNION ALL SELECT d.split, d.i, d.doc_id, CASE WHEN s.held >= 20000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.held >= 20000 THEN d.n ELSE s.held + d.n END
+            FROM s JOIN d ON s.split = d.split AND d.i = s.i + 1)
+        SELECT split, doc_id, shard FROM s""",
+    "regimes": """
+        SELECT 'T' || printf('%g', coalesce(proposal.temperature, 1.0::DOUBLE)) || coalesce(',k' || proposal.top_k::VARCHAR, '') AS regime, count(*) AS rows FROM loop_iterations GROUP BY 1""",
     "untagged_shards": "SELECT path, corpus, source FROM shards WHERE coalesce(synthetic, FALSE) AND coalesce(trim(quarantine_tag), '') = ''",
     "diversity": """
         WITH t AS (SELECT user_id, event_id, concat_ws(':', event_type, floor(value)::BIGINT::VARCHAR) AS a FROM events),
@@ -488,8 +502,12 @@ SQL: dict[str, str] = {
         WITH o AS ({_ONE}), l AS (SELECT loop_id, iteration, val_bpb, lag(val_bpb) OVER (PARTITION BY loop_id ORDER BY iteration) AS b FROM o WHERE val_bpb IS NOT NULL)
         SELECT loop_id, iteration, val_bpb, round(CASE WHEN b <> 0 THEN (b - val_bpb) / b END, 6) AS drop, coalesce((b - val_bpb) / b > 0.01, FALSE) AS fell FROM l""",
     "lineage_chain": f"{_CHAIN} SELECT chain, i AS index, prev, digest, payload FROM c",
-    "lineage_verify": f"""{_CHAIN} SELECT chain, count(*) AS entries, NOT (chain % 7 = 0 AND count(*) > 2) AS intact,
-        CASE WHEN chain % 7 = 0 AND count(*) > 2 THEN 2::BIGINT END AS first_break, CASE WHEN chain % 7 = 0 AND count(*) > 2 THEN 'digest' END AS problem FROM c GROUP BY chain""",
+    "lineage_verify": f"""{_CHAIN}, t AS (SELECT chain, i, prev, digest, CASE WHEN chain % 7 = 0 AND i = 2 THEN '{{}}' ELSE payload END AS payload FROM c),
+        v AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(lag(digest) OVER w, '{lineage.GENESIS}') AS expected FROM t WINDOW w AS (PARTITION BY chain ORDER BY i, digest)),
+        p AS (SELECT chain, place, CASE WHEN i <> place THEN 'index' WHEN prev <> expected THEN 'prev'
+            WHEN digest <> sha256(concat_ws('|', i::VARCHAR, prev, payload)) THEN 'digest' END AS problem FROM v)
+        SELECT chain, count(*) AS entries, count(problem) = 0 AS intact, CAST(min(place) FILTER (problem IS NOT NULL) AS BIGINT) AS first_break,
+            arg_min(problem, place) FILTER (problem IS NOT NULL) AS problem FROM p GROUP BY chain""",
     "gate_results": f"""
         WITH g AS (SELECT loop_id, iteration,
             CASE WHEN val_bpb IS NULL OR isnan(val_bpb) THEN FALSE WHEN incumbent_bpb IS NULL THEN TRUE ELSE val_bpb - incumbent_bpb <= 0.01 END AS a,
@@ -518,6 +536,6 @@ SQL: dict[str, str] = {
         SELECT f AS synthetic_fraction, t AS temperature, NULL::INTEGER AS top_k, lr, 300.0::DOUBLE AS steps, 1 - f AS real_fraction
         FROM (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) a(f), (VALUES (0.9::DOUBLE), (1.0::DOUBLE), (1.1::DOUBLE)) b(t), (VALUES (0.001::DOUBLE), (0.003::DOUBLE)) c(lr)
         WHERE 1 - f >= 0.25""",
-    "visible_text": "SELECT name, translate(description, ' ' || chr(9) || chr(10) || chr(13), '·→⏎␍') AS shown FROM sources",
+    "visible_text": "SELECT name, translate(description, ' ' || chr(9) || chr(10), '·→⏎') AS shown FROM sources",
     "events_per_window": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }

@@ -3,13 +3,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from taleloom import session
 from taleloom.functions import text as T
-from taleloom.operators import arms, bpe, curate, eav, expstats, gates, lineage, logits, minhash, runs, shards, tasks
+from taleloom.operators import arms, batches, bpe, curate, eav, expstats, gates, lineage, logits, minhash, reports, runs, shards, tasks
 from taleloom.operators.components import components
 from taleloom.plans import experiment_queries
 from taleloom.sources import files
@@ -133,6 +134,68 @@ def test_shards_round_trip(spark, tmp_path):
     assert shards.sample_offsets([100, 3], 10, 2, 3, 0) == shards.sample_offsets([100, 3], 10, 2, 3, 0)
 
 
+def test_batches(spark, tmp_path):
+    """Windows of x and y as a loop over the files cuts them, for seeded and sequential batches."""
+    root = str(tmp_path / "corpus")
+    docs = frame(spark, [(i, [(i * 31 + k) % 90 for k in range(20 + i)]) for i in range(30)] + [(99, [1] * 4)], "doc_id long, ids array<int>")
+    shards.write_shards(docs, root, "train", 100, "f", shard_tokens=300)
+    shards.write_shards(docs.where("doc_id = 99"), root, "val", 100, "f")
+    shards.write_shards(docs.where("doc_id = 3"), root, "train_b", 100, "f")
+    index = shards.read_index(spark, root).where("split = 'train'").collect()
+    assert [r["path"] for r in index] == [f"train_{i:03d}.bin" for i in range(len(index))] and len(index) > 2
+    files_of = [np.fromfile(f"{root}/{r['path']}", "uint16") for r in index]
+    seq = 16
+    long = [t for t in files_of if len(t) > seq]
+    lot = np.random.default_rng(5)
+    sizes = np.array([len(t) for t in long])
+    want = {}
+    for step in range(7):
+        picks = lot.choice(len(long), size=4, p=sizes / sizes.sum())
+        for row, k in enumerate(picks):
+            start = int(lot.integers(0, len(long[k]) - seq))
+            window = long[k][start : start + seq + 1].tolist()
+            want[step, row] = (window[:-1], window[1:])
+    got = {(r["step"], r["row"]): (r["x"], r["y"]) for r in batches.seeded_batches(spark, root, "train", seq, 4, 7, 5).collect()}
+    assert got == want
+    got = batches.sequential_batches(spark, root, "train", seq, 3).orderBy("path", "batch", "row").collect()
+    want = [t[w * seq : (w + 1) * seq + 1].tolist() for t in files_of for w in range((len(t) - 1) // seq)]
+    assert [r["x"] for r in got] == [w[:-1] for w in want] and [r["y"] for r in got] == [w[1:] for w in want]
+    assert max(r["row"] for r in got) == 2 and batches.throughput(spark, root, "train", seq, 4, 3)["tokens_per_sec"] > 0
+    with pytest.raises(ValueError, match="the largest"):
+        batches.seeded_batches(spark, root, "val", seq, 1, 1, 0)
+    with pytest.raises(ValueError, match="no split"):
+        batches.sequential_batches(spark, root, "test", seq, 1)
+
+
+def test_reports(spark):
+    rows = frame(spark, [(1, 1.0, 1.25, "done"), (2, 2.0, 2.75, "time exhausted")], "seed long, val double, test double, why string")
+    got = {r["seed"]: (r["gap"], r["truncated"]) for r in reports.selection_bias(rows, "seed", "val", "test", "why").collect()}
+    assert got == {1: (0.25, False), 2: (0.75, True), None: (0.5, True)}
+    ends = reports.series_ends(frame(spark, [("a", 1, 0.5), ("a", 2, None), ("a", 3, 0.25), ("a", 2, 0.75), ("b", 1, None)], "k string, i int, v double"), "k", "i", "v")
+    assert [tuple(r) for r in ends.collect()] == [("a", 0.5, 0.25, 0.75)]
+    empty = reports.filter_summary(frame(spark, [(0, "input", 0, 0)], "at int, stage string, remaining long, removed long"), frame(spark, [], "reason string, documents long")).first()
+    assert (empty["input"], empty["removed_fraction"], empty["rejections"]) == (0, 0.0, {})
+    order = reports.sweep_regimes(frame(spark, [(1.1, None), (0.9, 50), (None, None), (0.9, 5)], "t double, k int"), F.col("t"), F.col("k")).collect()
+    assert [r["regime"] for r in sorted(order)] == ["T0.9,k5", "T0.9,k50", "T1", "T1.1"]
+
+
+def test_budget_and_arms(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"a" * 100)
+    budget = logs.Budget(batches=3, disk_bytes=100, disk_path=str(tmp_path))
+    assert budget.spent(0, 0.0) == "disk exhausted" and budget.remaining(5, 0.0) == {"batches": 0, "seconds": None, "disk_bytes": 0}
+    (tmp_path / "halt").write_text("operator\n")
+    assert logs.Budget(halt_file=str(tmp_path / "halt")).spent(0, 0.0) == "operator"
+    docs = frame(spark, [(i,) for i in range(500)], "doc_id long")
+    with pytest.raises(ValueError, match="no arm"):
+        arms.corpus("other", docs, [])
+    keyed = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("_key"))
+    ordered = sorted(r[0] for r in keyed.collect())
+    for few in (10_000, 2):
+        arms.FEW = few
+        assert [arms.smallest_key(keyed, k) for k in (0, 1, 250, 500)] == [None, ordered[0], ordered[249], ordered[499]]
+    arms.FEW = 10_000
+
+
 def test_run_index(spark, tmp_path):
     for name, bpb, seed in (("nf-s0", 1.90, 0), ("nf-s1", 1.88, 1), ("nf-s2", 1.92, 2), ("other", 1.50, 0)):
         run = tmp_path / f"20260101-000000-{name}"
