@@ -67,3 +67,14 @@ def general(number: Column) -> Column:
 def visible(text: Column) -> Column:
     """Blank, tab and line feed as glyphs; a carriage return stays."""
     return F.translate(text, " \t\n", "·→⏎")
+
+
+def instant(stamp: Column) -> Column:
+    """A time from its ISO form, with a blank or a T, with or without fractions and a zone; without one it is UTC. Anything else is null."""
+    plain = F.regexp_replace(F.trim(stamp), r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
+    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(plain))
+
+
+def stamp(time: Column) -> Column:
+    """Fixed format: how a time begins the name of a run."""
+    return F.date_format(time, "yyyyMMdd-HHmmss")

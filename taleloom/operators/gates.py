@@ -51,6 +51,42 @@ def gate(results: dict[str, Column]) -> Column:
     return F.struct((F.size(failed) == 0).alias("passed"), failed.alias("failed"))
 
 
+def report(checks: dict[str, tuple[Column, Column]]) -> Column:
+    """An array of ``name, passed, message`` of every check, in order; a null result is a failed one."""
+    if not checks:
+        raise ValueError("a gate needs at least one check")
+    return F.array(*[
+        F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("passed"), F.coalesce(m, F.lit("no result")).alias("message"))
+        for n, (c, m) in checks.items()
+    ])
+
+
+def default_suite(tolerance: float = 0.01, roots: tuple[str, ...] = ("/",), **columns: Column) -> dict[str, tuple[Column, Column]]:
+    """The five standard checks with what they say.
+
+    Columns are ``intact, candidate, incumbent, paths, untagged, coverage, distinct_3, previous, real_fraction, generated``;
+    those that are not given are null, and what is null fails, but for a corpus that was not generated.
+    """
+    kinds = {"intact": "boolean", "paths": "array<string>", "untagged": "bigint", "generated": "boolean"}
+    names = ("intact", "candidate", "incumbent", "paths", "untagged", "coverage", "distinct_3", "previous", "real_fraction", "generated")
+    c = {n: columns.get(n, F.lit(None).cast(kinds.get(n, "double"))) for n in names}
+    number = lambda x: F.coalesce(F.format_string("%.4f", x), F.lit("none"))
+    generated = F.coalesce(c["generated"], F.lit(False))
+    return {
+        "lineage_intact": (c["intact"], F.when(c["intact"], "every entry follows the one before").otherwise("the chain is broken")),
+        "no_regression": (
+            no_regression(c["candidate"], c["incumbent"], tolerance),
+            F.concat(F.lit("candidate "), number(c["candidate"]), F.lit(", incumbent "), number(c["incumbent"])),
+        ),
+        "writes_confined": (writes_confined(c["paths"], list(roots)), F.concat(F.lit("roots "), F.lit(", ".join(roots)))),
+        "quarantined": (c["untagged"] == 0, F.concat(F.coalesce(c["untagged"].cast("string"), F.lit("unknown")), F.lit(" synthetic shards without a tag"))),
+        "diversity": (
+            diversity_floor(c["coverage"], c["distinct_3"], c["previous"], c["real_fraction"], generated),
+            F.when(~generated, "no generated corpus").otherwise(F.concat(F.lit("vocabulary "), number(c["coverage"]), F.lit(", distinct_3 "), number(c["distinct_3"]))),
+        ),
+    }
+
+
 def resolve_conflict(rows: DataFrame, key: str, axiom: str, precedence: str) -> DataFrame:
     """The axiom that goes first per key; ties by name."""
     return rows.groupBy(key).agg(F.min(F.struct(precedence, axiom))[axiom].alias(axiom))

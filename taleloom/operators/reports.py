@@ -61,3 +61,9 @@ def filter_summary(stages: DataFrame, rejections: DataFrame) -> DataFrame:
     removed = F.col("input") - F.col("kept")
     share = F.coalesce(F.try_divide(removed, F.col("input")), F.lit(0.0))
     return ends.withColumn("removed", removed).withColumn("removed_fraction", share).crossJoin(reasons)
+
+
+def top_by_magnitude(rows: DataFrame, key: str, name: str, value: str, top: int) -> DataFrame:
+    """``(key, place, name, value)``: of each key the entries that are farthest from 0; ties go to the smaller name."""
+    order = Window.partitionBy(key).orderBy(F.desc(F.abs(value)), name)
+    return rows.where(F.col(value).isNotNull()).select(key, F.row_number().over(order).alias("place"), name, value).where(F.col("place") <= top)

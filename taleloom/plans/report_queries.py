@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taleloom.functions import arrays as A
+from taleloom.functions import render
+from taleloom.functions import text as T
 from taleloom.operators import curate, expstats, logits, reports, runs, tasks
 from taleloom.plans import corpus_queries as corpus
 from taleloom.session import cut, read_table
@@ -139,11 +142,51 @@ def confident_and_wrong(spark, sf_dir):
     return predicted.where("confident_and_wrong").select("vec_id")
 
 
+def array_math(spark, sf_dir):
+    """Functions of each entry, summed up, so that one row stands for a vector."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    positive = F.transform(e, lambda x: F.abs(x) + 1)
+    parts = {"exps": A.exp(e), "logs": A.log(positive), "roots": A.sqrt(positive), "tanhs": A.tanh(e), "relus": A.relu(e), "sigmoids": A.sigmoid(e),
+             "products": A.multiply(e, F.reverse(e)), "quotients": A.divide(e, positive), "sums": A.add(e, A.scale(F.reverse(e), 2.0))}
+    rows = _logits(spark, sf_dir).select("vec_id", *[A.total(c).alias(n) for n, c in parts.items()], A.variance(e).alias("var"), A.mean(e).alias("mean"))
+    return _rounded(rows, *[c for c in rows.columns if c != "vec_id"])
+
+
+def matrix_axes(spark, sf_dir):
+    """A vector as a matrix of eight columns: sums of columns, largest of rows, and its product with its first row."""
+    m = A.reshape(F.transform("embedding", lambda x: x.cast("double")), 8)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 4).cast("decimal(20,4)").cast("string")), ",")
+    return _logits(spark, sf_dir).select(
+        "vec_id", listed(A.along(m, 0, A.total)).alias("columns"), listed(A.along(m, 1, A.maximum)).alias("rows"),
+        listed(A.matrix_vector(m, F.element_at(m, 1))).alias("product"),
+    )
+
+
+def top_entries(spark, sf_dir):
+    rows = _logits(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("entry", "value"))
+    return _rounded(reports.top_by_magnitude(rows, "vec_id", "entry", "value", 3).withColumn("value", F.col("value").cast("double")), "value")
+
+
+def surprise_levels(spark, sf_dir):
+    predicted = logits.predictions(_logits(spark, sf_dir), "embedding", "target")
+    return predicted.groupBy(render.surprise_level(F.col("surprisal")).alias("level")).agg(F.count(F.lit(1)).alias("tokens"))
+
+
+def heat_rows(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", render.shades(F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x))).alias("row"))
+
+
+def run_dates(spark, sf_dir):
+    r = read_table(spark, sf_dir, "runs").select("run_id", T.instant(F.col("started_at")).alias("at"))
+    return r.select("run_id", T.stamp(F.col("at")).alias("stamp"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         run_index, run_metrics, latest_run, comparison_table, rung_parameters, embedding_costs, diversity_cells, sweep_regimes, selection_bias,
         paired_arms, series_ends, filter_summary, array_losses, top_k_masked, evaluated_bytes, confident_and_wrong,
+        array_math, matrix_axes, top_entries, surprise_levels, heat_rows, run_dates,
     )
 }
 
@@ -237,4 +280,33 @@ SQL = {
         SELECT round(sum(-p[target + 1] / ln(2)), 6) AS bits, CAST(sum(vec_id % 5 + 1) AS BIGINT) AS bytes, round(sum(-p[target + 1] / ln(2)) / sum(vec_id % 5 + 1), 6) AS bits_per_byte FROM ({_SOFT})""",
     "confident_and_wrong": f"""
         SELECT vec_id FROM ({_SOFT}) WHERE -list_sum(list_transform(p, lambda x: exp(x) * x)) / ln(2) < 2.0 AND -p[target + 1] / ln(2) > 4.0""",
+    "array_math": """
+        SELECT vec_id, round(list_sum(list_transform(e, lambda x: exp(x))), 6) AS exps, round(list_sum(list_transform(e, lambda x: ln(abs(x) + 1))), 6) AS logs,
+            round(list_sum(list_transform(e, lambda x: sqrt(abs(x) + 1))), 6) AS roots, round(list_sum(list_transform(e, lambda x: tanh(x))), 6) AS tanhs,
+            round(list_sum(list_transform(e, lambda x: greatest(x, 0.0::DOUBLE))), 6) AS relus, round(list_sum(list_transform(e, lambda x: 1 / (1 + exp(-x)))), 6) AS sigmoids,
+            round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * e[len(e) + 1 - i])), 6) AS products,
+            round(list_sum(list_transform(e, lambda x: x / (abs(x) + 1))), 6) AS quotients,
+            round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] + 2 * e[len(e) + 1 - i])), 6) AS sums,
+            round(list_var_pop(e), 6) AS var, round(list_avg(e), 6) AS mean
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)""",
+    "matrix_axes": """
+        WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        d AS (SELECT vec_id, e, list_transform(range(8), lambda j: list_sum(list_transform(range(0, len(e) // 8), lambda i: e[i * 8 + j + 1]))) AS c,
+            list_transform(range(0, len(e) // 8), lambda i: list_max(e[i * 8 + 1 : i * 8 + 8])) AS r,
+            list_transform(range(0, len(e) // 8), lambda i: list_sum(list_transform(range(1, 9), lambda j: e[i * 8 + j] * e[j]))) AS p FROM m)
+        SELECT vec_id, array_to_string(list_transform(c, lambda x: round(x, 4)::DECIMAL(20, 4)::VARCHAR), ',') AS columns,
+            array_to_string(list_transform(r, lambda x: round(x, 4)::DECIMAL(20, 4)::VARCHAR), ',') AS rows,
+            array_to_string(list_transform(p, lambda x: round(x, 4)::DECIMAL(20, 4)::VARCHAR), ',') AS product FROM d""",
+    "top_entries": """
+        SELECT vec_id, CAST(place AS INTEGER) AS place, CAST(entry AS INTEGER) AS entry, round(value::DOUBLE, 6) AS value FROM (
+            SELECT vec_id, entry, value, row_number() OVER (PARTITION BY vec_id ORDER BY abs(value) DESC, entry) AS place
+            FROM (SELECT vec_id, unnest(range(len(embedding))) AS entry, unnest(embedding) AS value FROM embeddings)) WHERE place <= 3""",
+    "surprise_levels": f"""
+        SELECT CAST((b >= 1.0)::INTEGER + (b >= 2.5)::INTEGER + (b >= 4.0)::INTEGER + (b >= 6.0)::INTEGER + (b >= 9.0)::INTEGER AS INTEGER) AS level, count(*) AS tokens
+        FROM (SELECT -p[target + 1] / ln(2) AS b FROM ({_SOFT})) GROUP BY 1""",
+    "heat_rows": """
+        SELECT vec_id, array_to_string(list_transform(embedding[1:16], lambda x: substr(' ░▒▓█', CAST(least(greatest(floor(abs(x) * 5), 0), 4) AS INTEGER) + 1, 1)), '') AS row FROM embeddings""",
+    "run_dates": """
+        SELECT run_id, strftime(t, '%Y%m%d-%H%M%S') AS stamp, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS iso
+        FROM (SELECT run_id, TRY_CAST(started_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS t FROM runs)""",
 }

@@ -2,6 +2,7 @@ import itertools
 import json
 import math
 import random
+import socket
 
 import numpy as np
 import pytest
@@ -9,8 +10,10 @@ import regex
 from pyspark.sql import functions as F
 
 from taleloom import session
+from taleloom.functions import arrays as A
+from taleloom.functions import render
 from taleloom.functions import text as T
-from taleloom.operators import arms, batches, bpe, curate, eav, expstats, gates, lineage, logits, minhash, reports, runs, shards, tasks
+from taleloom.operators import arms, batches, bpe, curate, eav, expstats, gates, guard, lineage, logits, minhash, reports, runs, shards, tasks
 from taleloom.operators.components import components
 from taleloom.plans import experiment_queries
 from taleloom.sources import files
@@ -179,6 +182,41 @@ def test_reports(spark):
     assert [r["regime"] for r in sorted(order)] == ["T0.9,k5", "T0.9,k50", "T1", "T1.1"]
 
 
+def test_arrays_and_rendering(spark):
+    one = frame(spark, [([1.0, -2.0, 3.0, 0.5], [2.0, 2.0, 2.0, 2.0], None, [1.0])], "a array<double>, b array<double>, n array<double>, s array<double>")
+    a, b = F.col("a"), F.col("b")
+    row = one.select(
+        A.transpose(A.reshape(a, 2)).alias("t"), A.add(a, b).alias("sum"), A.power(a, b).alias("pow"), A.negative(a).alias("neg"), A.subtract(a, F.col("n")).alias("none"),
+        A.along(A.reshape(a, 2), 0, A.mean).alias("means"), A.variance(F.array().cast("array<double>")).alias("empty"), render.shades(F.array(*map(F.lit, (0.0, 0.21, 0.99, 3.0)))).alias("heat"),
+        render.painted(F.lit("a b"), F.lit(5.0)).alias("paint"), render.painted(F.lit("a b"), F.lit(5.0), False).alias("plain"), render.cell(F.lit(7), 4).alias("cell"),
+        render.cell(F.lit(None).cast("string"), 3, False).alias("gap"),
+    ).first()
+    assert row["t"] == [[1.0, 3.0], [-2.0, 0.5]] and row["sum"] == [3.0, 0.0, 5.0, 2.5] and row["pow"] == [1.0, 4.0, 9.0, 0.25] and row["none"] is None
+    assert row["means"] == [2.0, -0.75] and row["empty"] is None and row["heat"] == " ░██" and row["neg"] == [-1.0, 2.0, -3.0, -0.5]
+    assert (row["paint"], row["plain"], row["cell"], row["gap"]) == ("\033[38;5;220ma·b\033[0m", "a·b", "   7", "-  ")
+    for bad in (A.add(a, F.col("s")), A.reshape(a, 3)):
+        with pytest.raises(Exception, match="different lengths|a rest"):
+            one.select(bad).collect()
+    times = ["2026-03-01T00:00:00+00:00", "2026-03-01 01:02:03", "2026-03-01T02:00:00Z", "2026-03-01T00:00:00.5+02:00", "no", None, "2026-03-01"]
+    got = [r[0] for r in frame(spark, [(t,) for t in times], "t string").select(T.stamp(T.instant(F.col("t")))).collect()]
+    assert got == ["20260301-000000", "20260301-010203", "20260301-020000", "20260228-220000", None, None, "20260301-000000"]
+
+
+def test_suite_and_guard(spark):
+    rows = frame(spark, [(True, 1.0, 1.0, ["/w/x"], 0), (None, 1.2, 1.0, ["/w/../etc"], 2)], "ok boolean, c double, i double, p array<string>, u long")
+    suite = gates.default_suite(0.01, ("/w",), intact=F.col("ok"), candidate=F.col("c"), incumbent=F.col("i"), paths=F.col("p"), untagged=F.col("u"))
+    good, bad = [r[0] for r in rows.select(gates.report(suite)).collect()]
+    assert all(r["passed"] for r in good) and [r["passed"] for r in bad] == [False, False, False, False, True]
+    assert bad[1]["message"] == "candidate 1.2000, incumbent 1.0000" and bad[3]["message"].startswith("2 synthetic")
+    paths = frame(spark, [(["/w/./a//b"],), (["/w/a/../../w/b"],), (["w/a"],), (["/../w/a"],), (["/wx"],), ([None],)], "p array<string>")
+    assert [r[0] for r in paths.select(gates.writes_confined(F.col("p"), ["/w"])).collect()] == [True, True, False, False, False, False]
+    with guard.deny_network():
+        with pytest.raises(guard.NetworkDenied):
+            socket.create_connection(("192.0.2.1", 9), 0.1)
+        assert spark.range(3).count() == 3
+    assert bpe.CharTokenizer(["a"]).fingerprint() != bpe.CharTokenizer(["b"]).fingerprint()
+
+
 def test_budget_and_arms(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"a" * 100)
     budget = logs.Budget(batches=3, disk_bytes=100, disk_path=str(tmp_path))
