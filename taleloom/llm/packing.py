@@ -2,12 +2,13 @@
 
 Round 0 packs every input partition locally (best fit, largest first) without a shuffle;
 nearly full bins are final, underfull ones become items of the next round. Each further
-round deals the underfull bins into groups of bounded size and packs each group again,
-until one group is left or a round no longer saves bins.
+round deals the underfull bins of a container into groups of bounded size and packs each group again,
+until one group is left, which is packed as a whole, or a round saves that container no more than LEAST_SAVED of its bins. Each container goes
+its own way.
 
 Defined results: an item larger than the capacity is divided into full pieces and one
 remainder, any other item stays whole; an item of size 0 or null is assigned with length
-0; repeated rows are items of their own; an empty table gives no rows. The input's extra
+0; an item without an id keeps a null id; repeated rows are items of their own; an empty table gives no rows. The input's extra
 columns are not read. Bin ids are unique within a container name.
 """
 
@@ -28,6 +29,10 @@ LOCAL_ITEMS = 200_000
 GROUP_BINS = 20_000
 #: A bin filled to this share is final.
 NEARLY_FULL = 0.995
+#: Share of the waiting bins that a round must save to be followed by another.
+LEAST_SAVED = 0.02
+#: A null id on its way: no id of a table, as it is the least number there is.
+NO_ID = -(1 << 63)
 
 BIN_SCHEMA = (
     "container int, bin_id bigint, used int, unfinished boolean, "
@@ -141,7 +146,7 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_column: str = "
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
-            ids, size = table["id"].fill_null(-1).to_numpy(), table["size"].to_numpy().astype(np.int64)
+            ids, size = table["id"].fill_null(NO_ID).to_numpy(), table["size"].to_numpy().astype(np.int64)
             for k, capacity in enumerate(capacities):
                 out = pack_local(k, capacity, ids, size, next_id[k])
                 next_id[k] += out.num_rows
@@ -158,28 +163,32 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_column: str = "
             yield from flush(held)
 
     state = cut(sizes.mapInArrow(local, BIN_SCHEMA))
-    parts, waiting, before, level = [state.where(~F.col("unfinished"))], state.where("unfinished"), None, 0
+    parts, waiting, before, level = [state.where(~F.col("unfinished"))], state.where("unfinished"), {}, 0
     while True:
         counts = {r["container"]: r["count"] for r in waiting.groupBy("container").count().collect()}
-        total = sum(counts.values())
-        if not total or (before is not None and total > 0.98 * before):
-            parts.append(waiting)
+        done = [k for k, n in counts.items() if k in before and n > (1 - LEAST_SAVED) * before[k]]
+        going = {k: n for k, n in counts.items() if k not in done}
+        if done:
+            parts.append(waiting.where(F.col("container").isin(done)))
+        if not going:
             break
         groups = F.lit(1)
-        for k, n in counts.items():
+        for k, n in going.items():
             groups = F.when(F.col("container") == k, F.lit(math.ceil(n / GROUP_BINS))).otherwise(groups)
-        dealt = waiting.withColumn("part", F.pmod(F.xxhash64("bin_id", F.lit(level)), groups).cast("int"))
+        dealt = waiting.where(F.col("container").isin(list(going))).withColumn("part", F.pmod(F.xxhash64("bin_id", F.lit(level)), groups).cast("int"))
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
             return merge_bins(table.drop_columns(["part"]), capacities[key[0].as_py()])
 
         merged = dealt.groupBy("container", "part").applyInArrow(merge, BIN_SCHEMA)
-        if max(counts.values()) <= GROUP_BINS:
+        if max(going.values()) <= GROUP_BINS:
             parts.append(merged)
             break
         merged = cut(merged)
-        parts.append(merged.where(~F.col("unfinished")))
-        waiting, before, level = merged.where("unfinished"), total, level + 1
+        last = [k for k, n in going.items() if n <= GROUP_BINS]
+        over = F.col("unfinished") & ~F.col("container").isin(last) if last else F.col("unfinished")
+        parts.append(merged.where(~over))
+        waiting, before, level = merged.where(over), going, level + 1
 
     bins = parts[0]
     for part in parts[1:]:
@@ -192,7 +201,7 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_column: str = "
     ).select(
         "container_name",
         "bin_id",
-        F.col("piece.item_ids").alias(id_column),
+        F.nullif(F.col("piece.item_ids"), F.lit(NO_ID)).alias(id_column),
         F.col("piece.starts").alias("start"),
         F.col("piece.lengths").alias("length"),
     )

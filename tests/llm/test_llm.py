@@ -154,6 +154,7 @@ def test_packing_is_valid_and_tight(spark, monkeypatch, small_groups):
     rows = [(i, rng.choice([0, 1, 5, 60, 99, 100, 101, 250, 7, 33])) for i in range(800)] + [(7, 5), (None, 3), (900, None)]
     items = spark.createDataFrame(rows, "doc_id long, n_tokens int").repartition(8)
     got = packing.pack(items, [("c100", 100), ("c64", 64)])
+    assert [r["length"] for r in got.where("doc_id is null and container_name = 'c64'").collect()] == [3]
     for name, capacity in (("c100", 100), ("c64", 64)):
         mine = [r for r in got.collect() if r["container_name"] == name]
         used: dict = {}
@@ -198,6 +199,19 @@ def test_mixing(spark):
     assert mixing.copies(emitted).count() == emitted.agg(F.sum("copies")).first()[0]
     assert emitted.where("source = 'small'").agg(F.max("copies")).first()[0] == 1
     assert set(emitted.collect()) == set(mixing.emit(rates, shards.repartition(7)).collect())
+    # Each source and kind is off by at most its largest shard, and single shards are drawn as often as they should.
+    kinds = emitted.groupBy("mix_id", "source", "synthetic").agg(F.sum(F.col("copies") * F.col("tokens")).alias("got")).collect()
+    for r in kinds:
+        row = rows[r["mix_id"], r["source"]]
+        wanted = row["synthetic_taken"] if r["synthetic"] else row["taken"] - row["synthetic_taken"]
+        assert abs(r["got"] - wanted) <= 1000
+    one = spark.createDataFrame([("c", "p", "train", "s", 100, False)], "corpus string, path string, split string, source string, tokens long, synthetic boolean")
+    many = spark.createDataFrame([(f"m{i}", "c", "s", 1.0, 5, 130) for i in range(400)], "mix_id string, corpus string, source string, weight double, max_repeats int, total_tokens long")
+    copies = [r["copies"] for r in mixing.emit(mixing.mix_rates(many, one), one).collect()]
+    assert len(copies) == 400 and set(copies) == {1, 2} and 85 <= copies.count(2) <= 155
+    uneven = spark.createDataFrame([("c", f"p{i}", "train", "s", 10 + (i * 37) % 90, False) for i in range(200)], one.schema)
+    for r in mixing.shares(mixing.mix_rates(many, uneven), mixing.emit(mixing.mix_rates(many, uneven), uneven)).collect():
+        assert abs(r["emitted_tokens"] - 130) <= 100
     total = mixing.shares(rates, emitted).where("mix_id = 'm'").agg(F.sum("actual_share")).first()[0]
     assert abs(total - 1) < 1e-9
 
