@@ -250,6 +250,14 @@ SQL = {
     "p5_statistics": f"""
         SELECT doc_id, CAST(words AS INTEGER) AS words, mean_word_length, symbol_ratio, punctuated_lines, common_words, filter_name,
             words < min_words AS too_few_words, ratio > max_non_alpha_ratio AS mostly_non_alphabetic FROM ({_STATISTICS}), quality_filters""",
+    "p4_groups": f"""
+        WITH RECURSIVE g AS ({_sequences(3)}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        p AS MATERIALIZED (SELECT a, b FROM m JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 10 * c >= 7 * (p.n + q.n - c)),
+        l AS MATERIALIZED (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+        r(doc_id, other) AS (SELECT x, y FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other)
+        SELECT r.doc_id, least(r.doc_id, min(r.other)) AS class_id, CAST(any_value(k) AS BIGINT) AS links
+        FROM r JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) c ON c.x = r.doc_id GROUP BY r.doc_id""",
     "p4_found": f"""
         WITH g AS ({_sequences(3)}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
