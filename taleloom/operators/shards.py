@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -38,15 +39,27 @@ def assign_shards(sizes: DataFrame, shard_tokens: int, split: str = "split", ord
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, shard, held = object(), 0, 0
         for batch in batches:
-            out = []
-            for name, n in zip(batch["split"].to_pylist(), batch["n_tokens"].to_pylist(), strict=True):
+            sizes = batch["n_tokens"].fill_null(0).to_numpy().astype(np.int64)
+            names = batch["split"].dictionary_encode(null_encoding="encode")
+            codes = names.indices.to_numpy()
+            out = np.empty(len(sizes), np.int32)
+            edges = [*np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist(), len(codes)] if len(codes) else []
+            for a, b in pairwise(edges):
+                name = names.dictionary[int(codes[a])].as_py()
                 if name != current:
                     current, shard, held = name, 0, 0
-                elif held >= shard_tokens:
-                    shard, held = shard + 1, 0
-                held += n or 0
-                out.append(shard)
-            yield batch.append_column("shard", pa.array(out, pa.int32()))
+                upto = np.cumsum(sizes[a:b])
+                begin = 0
+                while begin < b - a:
+                    if held >= shard_tokens:
+                        shard, held = shard + 1, 0
+                    before = int(upto[begin - 1]) if begin else 0
+                    # The document that fills the shard is its last.
+                    end = min(b - a, int(np.searchsorted(upto, before + shard_tokens - held)) + 1)
+                    out[a + begin : a + end] = shard
+                    held += int(upto[end - 1]) - before
+                    begin = end
+            yield batch.append_column("shard", pa.array(out))
 
     return ordered.mapInArrow(run, "split string, doc_id bigint, n_tokens bigint, shard int")
 

@@ -34,6 +34,15 @@ def pair_counts(spark, sf_dir):
     return bpe.pair_counts(letter_chunk_freq(spark, sf_dir))
 
 
+def byte_pair_counts(spark, sf_dir):
+    """Adjacent bytes in all pre-tokens of whole texts."""
+    return bpe.pair_counts(chunk_freq(spark, sf_dir))
+
+
+def best_byte_pair(spark, sf_dir):
+    return bpe.best_pair(byte_pair_counts(spark, sf_dir))
+
+
 def best_pair(spark, sf_dir):
     return bpe.best_pair(pair_counts(spark, sf_dir))
 
@@ -341,7 +350,7 @@ def events_per_window(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        letter_chunk_freq, chunk_freq, pair_counts, best_pair, bpe_compression, vocabulary_sweep, alphabet, shard_packing, shard_rollup,
+        letter_chunk_freq, chunk_freq, pair_counts, best_pair, byte_pair_counts, best_byte_pair, bpe_compression, vocabulary_sweep, alphabet, shard_packing, shard_rollup,
         split_summary, untagged_shards, windows_packed, diversity, frequent_tokens, bigram_model, split_on_separator, metrics_unpivot,
         seed_groups, noise_floor, leaderboard, best_so_far, last_values, orphan_metrics, permutation_exact, verdicts, permutation_whole,
         verdicts_whole, cell_means,
@@ -360,6 +369,18 @@ _BYTE_PAIRS = f"""
     SELECT ascii(substr(chunk, i, 1)) AS a, ascii(substr(chunk, i + 1, 1)) AS b, CAST(sum(n) AS BIGINT) AS n
     FROM (SELECT chunk, n, unnest(range(1, length(chunk))) AS i FROM ({_CHUNKS})) GROUP BY 1, 2
 """
+# Pre-tokens of whole texts: a run of blanks gives its last one to the word behind it, so a mark that no text holds is set before that.
+_BLANK = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARK = r"\x{10fffe}"
+_PRETOKENS = rf"""
+    SELECT chunk, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(regexp_replace(text, '([{_BLANK}])([{_BLANK}][^{_BLANK}])', '\1' || chr(1114110) || '\2', 'g'),
+            '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}{_MARK}]+|[{_BLANK}]+')) AS chunk FROM documents) GROUP BY chunk
+"""
+_WHOLE_PAIRS = f"""
+    SELECT ('0x' || substr(h, i, 2))::INTEGER AS a, ('0x' || substr(h, i + 2, 2))::INTEGER AS b, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT h, n, unnest(range(1, length(h) - 2, 2)) AS i FROM (SELECT hex(encode(chunk)) AS h, n FROM ({_PRETOKENS}))) GROUP BY 1, 2
+"""
 _GROUPS = """
     SELECT regexp_replace(name, '-s[0-9]+$', '') AS label, count(*) AS n, avg(best_bpb) AS mean, coalesce(stddev_samp(best_bpb), 0) AS std,
            coalesce(stddev_samp(best_bpb), 0) / sqrt(count(*)) AS sem, max(best_bpb) - min(best_bpb) AS spread
@@ -421,6 +442,9 @@ _SHARDS_ONCE = """
 
 SQL: dict[str, str] = {
     "letter_chunk_freq": _CHUNKS,
+    "chunk_freq": _PRETOKENS,
+    "byte_pair_counts": _WHOLE_PAIRS,
+    "best_byte_pair": f"SELECT * FROM ({_WHOLE_PAIRS}) ORDER BY n DESC, a, b LIMIT 1",
     "pair_counts": _BYTE_PAIRS,
     "best_pair": f"SELECT * FROM ({_BYTE_PAIRS}) ORDER BY n DESC, a, b LIMIT 1",
     "alphabet": "SELECT DISTINCT character FROM (SELECT unnest(string_split(text, '')) AS character FROM documents) WHERE character <> ''",

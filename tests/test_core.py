@@ -103,6 +103,8 @@ def test_bpe_against_naive_training(spark, tmp_path):
     tokenizer = bpe.train(docs, 400, ("<|endoftext|>",))
     chunks = [(r["chunk"], r["n"]) for r in bpe.chunk_counts(docs).collect()]
     assert tokenizer.merges == naive_merges(chunks, 400 - 257)
+    some = frame(spark, [("\0a\0a", 3), ("aaaa", 2), ("éé été", 5), ("", 9), ("banana", 4), ("x", 50)], "chunk string, n long")
+    assert bpe.learn_distributed(some, 18) == bpe.learn([(r["chunk"], r["n"]) for r in some.collect()], 18)
     for text in TRICKY + texts[:3]:
         assert tokenizer.decode(tokenizer.encode_ordinary(text)) == text
     end = tokenizer.special_tokens["<|endoftext|>"]
@@ -137,6 +139,25 @@ def test_shards_round_trip(spark, tmp_path):
     assert shards.sample_offsets([100, 3], 10, 2, 3, 0) == shards.sample_offsets([100, 3], 10, 2, 3, 0)
 
 
+def test_shards_close_when_full(spark):
+    """Against one document after the other, with empty and null sizes and a null split, in small batches."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([0, 0, 1, 5, 9, 10, 11, 30, None])) for i in range(400)]
+    want, state = {}, {}
+    for split, i, n in rows:
+        shard, held = state.get(split, (0, 0))
+        if held >= 10:
+            shard, held = shard + 1, 0
+        want[i] = shard
+        state[split] = (shard, held + (n or 0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = shards.assign_shards(frame(spark, rows, "split string, doc_id long, n_tokens long"), 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: r["shard"] for r in got} == want
+
+
 def test_batches(spark, tmp_path):
     """Windows of x and y as a loop over the files cuts them, for seeded and sequential batches."""
     root = str(tmp_path / "corpus")
