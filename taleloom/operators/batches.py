@@ -39,8 +39,9 @@ def seeded_batches(spark: SparkSession, root: str, split: str, seq_len: int, bat
     """``(step, row, x, y)``: the same seed gives the same batches. Shards are drawn by their tokens, starts evenly within them."""
     shards, dtype = usable_shards(spark, root, split, seq_len)
     drawn = sample_offsets([n for _, n in shards], seq_len, batch_size, steps, seed)
-    rows = [(step, row, shards[shard][0], start) for step, row, shard, start in drawn]
-    offsets = spark.createDataFrame(rows, "step int, row int, path string, start bigint")
+    columns = np.array(drawn, np.int64).reshape(-1, 4).T
+    paths = pa.array([path for path, _ in shards]).take(pa.array(columns[2]))
+    offsets = spark.createDataFrame(pa.table({"step": columns[0].astype(np.int32), "row": columns[1].astype(np.int32), "path": paths, "start": columns[3]}))
     # One row for each shard file, so a file is read once whatever is drawn from it.
     wanted = offsets.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "step", "row"))).alias("wanted"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from taleloom.session import cut, spread
 
 M61 = (1 << 61) - 1
 M31 = (1 << 31) - 1
+#: Shingles whose hashes a worker remembers, and texts whose signatures are made together.
+KNOWN_SHINGLES = 1_000_000
+TOGETHER = 64
 
 
 def draws(num_perm: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -38,35 +42,67 @@ def draws31(num_perm: int) -> list[tuple[int, int]]:
     return out
 
 
-def signature(text: str, a: np.ndarray, b: np.ndarray, ngram: int = 8) -> np.ndarray:
-    """Smallest wrapped (a*h + b) mod 2**61 - 1 over the distinct byte shingles."""
-    data = text.encode("utf-8")
-    shingles = {data[i : i + ngram] for i in range(max(1, len(data) - ngram + 1))}
-    raw = b"".join(hashlib.blake2b(s, digest_size=8).digest() for s in shingles)
-    h = np.frombuffer(raw, ">u8").astype(np.uint64) % np.uint64(M61)
-    out = np.empty(len(a), np.uint64)
-    for i in range(len(a)):
-        out[i] = ((h * a[i] + b[i]) % np.uint64(M61)).min()
-    return out
+#: Hashes of shingles, of which texts of one kind share most.
+_DIGESTS: dict[bytes | str, int] = {}
+
+
+def _remember(shingles: set) -> None:
+    """Hash the shingles that are not known; the memory is emptied when it is full."""
+    if len(_DIGESTS) + len(shingles) > KNOWN_SHINGLES:
+        _DIGESTS.clear()
+    new = list(shingles.difference(_DIGESTS))
+    if new and isinstance(new[0], bytes):
+        raw = b"".join([hashlib.blake2b(g, digest_size=8).digest() for g in new])
+        values = np.frombuffer(raw, ">u8").astype(np.uint64) % np.uint64(M61)
+        _DIGESTS.update(zip(new, values.tolist(), strict=True))
+    else:
+        _DIGESTS.update({g: int(hashlib.md5(g.encode()).hexdigest()[:15], 16) % M31 for g in new})
+
+
+def _shingles(data: bytes | str, ngram: int) -> set:
+    return {data[i : i + ngram] for i in range(max(1, len(data) - ngram + 1))}
 
 
-def signature31(text: str, pairs: np.ndarray, ngram: int = 8) -> np.ndarray:
-    shingles = {text[i : i + ngram] for i in range(max(1, len(text) - ngram + 1))}
-    h = np.array([int(hashlib.md5(s.encode()).hexdigest()[:15], 16) % M31 for s in shingles], np.int64)
-    return ((h[:, None] * pairs[:, 0] + pairs[:, 1]) % M31).min(0)
+def _modulo(x: np.ndarray, bits: int) -> np.ndarray:
+    """Modulo 2**bits - 1, by adding the upper bits to the lower ones; the array is used up."""
+    prime = np.uint64((1 << bits) - 1)
+    high = x >> np.uint64(bits)
+    x &= prime
+    x += high
+    np.subtract(x, prime, out=x, where=x >= prime)
+    return x
+
+
+def signature_matrix(texts: list[str], multipliers: np.ndarray, offsets: np.ndarray, ngram: int = 8, exact: bool = True) -> np.ndarray:
+    """(texts x permutations): smallest (a*h + b) modulo the family's prime over a text's distinct shingles.
+
+    The exact family takes shingles of bytes and lets the product wrap at 64 bits; the other one takes shingles of characters and
+    products below 2**62.
+    """
+    out = np.empty((len(texts), len(multipliers)), np.uint64)
+    for at in range(0, len(texts), TOGETHER):
+        sets = [_shingles(t.encode("utf-8") if exact else t, ngram) for t in texts[at : at + TOGETHER]]
+        sizes = [len(s) for s in sets]
+        _remember(set().union(*sets))
+        h = np.fromiter(map(_DIGESTS.__getitem__, chain.from_iterable(sets)), np.uint64, sum(sizes))
+        starts = np.cumsum([0, *sizes[:-1]])
+        for i, (a, b) in enumerate(zip(multipliers, offsets, strict=True)):
+            x = h * a
+            x += b
+            if not exact:  # up to 62 bits need the fold twice
+                x = _modulo(x, 31)
+            out[at : at + len(sets), i] = np.minimum.reduceat(_modulo(x, 61 if exact else 31), starts)
+    return out
 
 
 def signatures(documents: DataFrame, num_perm: int = 64, ngram: int = 8, seed: int = 0, exact: bool = True, id_column: str = "doc_id") -> DataFrame:
     """``(doc_id, signature)`` of every document with a text."""
     rows = documents.where(F.col("text").isNotNull()).select(F.col(id_column).alias("doc_id"), "text")
-    a, b = draws(num_perm, seed)
-    simple = np.array(draws31(num_perm), np.int64)
+    a, b = draws(num_perm, seed) if exact else np.array(draws31(num_perm), np.uint64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            found = [signature(t, a, b, ngram).astype(np.int64) if exact else signature31(t, simple, ngram) for t in texts]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            flat = signature_matrix(batch["text"].to_pylist(), a, b, ngram, exact).astype(np.int64).ravel()
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), num_perm).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "signature"])
 

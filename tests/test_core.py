@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import json
 import math
@@ -80,6 +81,20 @@ def joined(ids, pair, new):
     return [int(i) for i in done.split(",")]
 
 
+def test_signatures_by_plain_arithmetic():
+    a, b = minhash.draws(5)
+    simple = np.array(minhash.draws31(5), np.uint64)
+    texts = [*TRICKY, "longer text " * 30, "abcdefgh", "abcdefghi"] * 8
+    exact, other = minhash.signature_matrix(texts, a, b), minhash.signature_matrix(texts, simple[:, 0], simple[:, 1], exact=False)
+    for text, x, y in zip(texts, exact, other, strict=True):
+        data = text.encode()
+        grams = {data[i : i + 8] for i in range(max(1, len(data) - 7))}
+        h = [int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "big") % minhash.M61 for g in grams]
+        assert x.tolist() == [min((v * int(p) + int(q)) % 2**64 % minhash.M61 for v in h) for p, q in zip(a, b, strict=True)]
+        h = [int(hashlib.md5(text[i : i + 8].encode()).hexdigest()[:15], 16) % minhash.M31 for i in range(max(1, len(text) - 7))]
+        assert y.tolist() == [min((v * int(p) + int(q)) % minhash.M31 for v in h) for p, q in simple]
+
+
 def naive_merges(words, count):
     words, out = [(list(w.encode()), n) for w, n in words], {}
     while len(out) < count:
