@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.llm import copies, postings
-from taleloom.llm.suffixes import DEPTH, EVAL, TRAIN, Ranges, draw_ranges, neighbours, suffix_blocks
+from taleloom.llm.suffixes import CLASS_BITS, DEPTH, EVAL, TRAIN, Ranges, draw_ranges, neighbours, suffix_blocks
 from taleloom.llm.words import sequences
 from taleloom.session import cut
 
@@ -96,25 +96,45 @@ def _probe_blocks(ranges: Ranges, threshold: float):
             yield postings.batch_of(to, [EVAL] * len(to), [int(z - a)] * len(to), [payload] * len(to))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < BLOCK_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            last = int(np.searchsorted(table["e"].to_numpy(), table["e"][-1].as_py()))
-            if last:  # the last record may go on
-                yield from packed(table.slice(0, last))
-                held = table.slice(last).to_batches()
-                rows -= last
-        if rows:
-            yield from packed(pa.Table.from_batches(held))
+        for table in _whole_records(batches):
+            yield from packed(table)
 
     return run
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by record, in tables that hold whole records."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < BLOCK_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        last = int(np.searchsorted(table["e"].to_numpy(), table["e"][-1].as_py()))
+        if last:  # the last record may go on
+            yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+            rows -= last
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(e, sequences, covered, spans, longest)`` of each record."""
+    for table in _whole_records(batches):
+        record, place = (table[c].to_numpy() for c in ("e", "place"))
+        first, length = spans(record, place)
+        begins = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+        at = np.searchsorted(first, begins)
+        columns = [
+            record[begins], table["n"].to_numpy()[begins], np.add.reduceat(length - (DEPTH - 1), at).astype(np.int32),
+            np.diff(np.r_[at, len(first)]).astype(np.int32), np.maximum.reduceat(length, at).astype(np.int32),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "sequences", "covered", "spans", "longest"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(evaluation record, training record) for every probe and training suffix of one run."""
     for _, parts in postings.by_bucket_of(batches):
@@ -158,21 +178,45 @@ def _sets(column: pa.Array, depth: int) -> list[np.ndarray]:
     return [by.get(i, _NO) for i in coded.indices.to_pylist()]
 
 
-def class_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(e, t)``: representatives of texts of which the first, in an evaluation split, is covered by the second in train.
+def shared_suffixes(documents: DataFrame, check: int | None = None) -> tuple[DataFrame, Ranges]:
+    """Blocks of the suffixes that both sides have, and the cut of the array.
 
-    A text that stands in both meets its own suffixes and is paired with itself.
+    By default keys have only as many bits as it takes to make few candidates too many; with 32 check bits they tell sequences apart by themselves.
     """
     rows = documents.select("doc_id", "text", split_name().alias("side"))
     wanted = rows.where("side <> ''")
     texts = copies.distinct_texts(wanted, {"trains": F.col("side") == "train", "evaluates": F.col("side") != "train"})
     size = postings.stored_bytes(documents)
-    ranges = draw_ranges(wanted, size, postings.bucket_count(documents, size))
+    ranges = draw_ranges(wanted, size, postings.bucket_count(documents, size), check)
     array = texts.drop("copies").mapInArrow(suffix_blocks(ranges), postings.BLOCK_SCHEMA)
-    shared = cut(postings.by_bucket(array, ranges.buckets).mapInArrow(neighbours(ranges), postings.BLOCK_SCHEMA))
+    return cut(postings.by_bucket(array, ranges.buckets).mapInArrow(neighbours(ranges), postings.BLOCK_SCHEMA)), ranges
 
+
+def covered_suffixes(shared: DataFrame) -> DataFrame:
+    """The evaluation suffixes among them, by record and place."""
     covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, bucket int, key bigint, place bigint, df bigint")
-    by_record = covered.repartition("e").sortWithinPartitions("e", "place")
+    return covered.repartition("e").sortWithinPartitions("e", "place")
+
+
+def record_coverage(documents: DataFrame) -> DataFrame:
+    """``(doc_id, sequences, covered, spans, longest)`` of every evaluation record that shares a sequence with the training split as a whole.
+
+    ``longest`` is the length of the longest span in words. Sequences are told apart by 64 bits.
+    """
+    shared, _ = shared_suffixes(documents, 64 - DEPTH * CLASS_BITS)
+    found = covered_suffixes(shared).mapInArrow(_coverage, "e bigint, sequences int, covered int, spans int, longest int")
+    sided = documents.select("doc_id", "text", split_name().alias("side")).where("side <> ''")
+    evals = copies.members(sided, F.col("side")).where("side <> 'train'").select(F.col("rep").alias("e"), "doc_id")
+    return evals.join(found, "e").drop("e").dropDuplicates(["doc_id"])
+
+
+def class_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(e, t)``: representatives of texts of which the first, in an evaluation split, is covered by the second in train.
+
+    A text that stands in both meets its own suffixes and is paired with itself.
+    """
+    shared, ranges = shared_suffixes(documents)
+    by_record = covered_suffixes(shared)
     probe_blocks = by_record.mapInArrow(_probe_blocks(ranges, threshold), postings.BLOCK_SCHEMA)
     meeting = postings.by_bucket(shared.where(F.col("kind") == TRAIN).unionByName(probe_blocks), ranges.buckets)
     candidates = cut(meeting.mapInArrow(_meet, "e bigint, t bigint").distinct())

@@ -26,6 +26,11 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlaps(spark, sf_dir))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each evaluation record the training split holds, and in what spans."""
+    return overlap.record_coverage(read_table(spark, sf_dir, "documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose sets of 3-word sequences agree to 0.7."""
     return near.record_pairs(read_table(spark, sf_dir, "documents"), size=3, threshold=0.7)
@@ -201,6 +206,7 @@ def _sequences(n: int) -> str:
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_coverage": p2_coverage,
     "p3_found": p3_found,
     "p3_plan": p3_plan,
     "p3_copies": p3_copies,
@@ -233,7 +239,15 @@ _OVERLAPS = f"""
     m AS (SELECT e.doc_id AS e, t.doc_id AS t, count(*) AS c FROM g e JOIN g t ON e.g = t.g AND e.side = 'eval' AND t.side = 'train' GROUP BY 1, 2)
 """
 
+_PLACED = "SELECT doc_id, side, g, min(i) AS i FROM (" + _sequences(8).replace("SELECT DISTINCT doc_id, side,", "SELECT doc_id, side, i,") + ") GROUP BY 1, 2, 3"
+
 SQL = {
+    "p2_coverage": f"""
+        WITH s AS MATERIALIZED ({_PLACED}), t AS (SELECT DISTINCT g FROM s WHERE side = 'train'),
+        c AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s WHERE side = 'eval' AND g IN (SELECT g FROM t)),
+        p AS (SELECT doc_id, count(*) AS k FROM c GROUP BY doc_id, island)
+        SELECT p.doc_id, CAST(any_value(n) AS INTEGER) AS sequences, CAST(sum(k) AS INTEGER) AS covered, CAST(count(*) AS INTEGER) AS spans, CAST(max(k) + 7 AS INTEGER) AS longest
+        FROM p JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) q ON p.doc_id = q.doc_id GROUP BY p.doc_id""",
     "p3_copies": f"SELECT mix_id, source, path, tokens, synthetic, CAST(unnest(range(copies)) AS INTEGER) AS copy FROM ({_EMITTED}) WHERE copies > 0",
     "p3_shares": f"""
         SELECT h.mix_id, h.source, round(wanted, 6) AS wanted, max_repeats * available < wanted AS short, CAST(coalesce(e, 0) AS BIGINT) AS emitted_tokens,

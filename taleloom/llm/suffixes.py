@@ -107,9 +107,9 @@ def common_prefix(a: np.ndarray, b: np.ndarray, check: int) -> np.ndarray:
     return out
 
 
-def draw_ranges(texts: DataFrame, size: int, buckets: int) -> Ranges:
+def draw_ranges(texts: DataFrame, size: int, buckets: int, check: int | None = None) -> Ranges:
     """Splitters and large runs from a sample of texts whose size follows the number of ranges."""
-    check = check_bits(buckets)
+    check = check_bits(buckets) if check is None else check
     ranges = min(buckets, MOST_RANGES)
     fraction = min(1.0, max(LEAST_SAMPLE, SAMPLE_BYTES * ranges) / max(1, size))
 
