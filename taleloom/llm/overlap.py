@@ -49,10 +49,12 @@ def needed(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _open_eval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, _, n, payload in postings.streamed(batches):
+    for _, _, n, payload in postings.streamed(batches):
         key, rep, size, place, df = postings.opened(payload, n, 4)
-        columns = [rep.view(np.int64), size.astype(np.int32), np.full(n, bucket, np.int32), key.view(np.int64), place.view(np.int64), df.view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "n", "bucket", "key", "place", "df"])
+        # Rarity beyond what an int holds does not matter.
+        narrow = [c.astype(np.int32) for c in (size, place, np.minimum(df, np.uint64(2**31 - 1)))]
+        columns = [rep.view(np.int64), narrow[0], key.view(np.int64), *narrow[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["e", "n", "key", "place", "df"])
 
 
 def spans(record: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def probing(table: pa.Table, threshold: float) -> np.ndarray:
     coverage = np.add.reduceat(length - (DEPTH - 1), np.searchsorted(first, begins))
     spare = coverage - needed(n[begins], threshold) + 1
     owner = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(record)]))
-    order = np.lexsort((table["key"].to_numpy(), table["bucket"].to_numpy(), df, owner))
+    order = np.lexsort((table["key"].to_numpy(), df, owner))
     rank = np.arange(len(order)) - begins[owner]
     return order[rank < spare[owner]]
 
@@ -84,9 +86,10 @@ def _probe_blocks(ranges: Ranges, threshold: float):
 
     def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = probing(table, threshold)
-        bucket, key, rep = (table[c].to_numpy()[rows] for c in ("bucket", "key", "e"))
-        order = np.lexsort((key.view(np.uint64), bucket))
-        bucket, key, rep = bucket[order], key[order].view(np.uint64), rep[order].view(np.uint64)
+        key, rep = (table[c].to_numpy()[rows].view(np.uint64) for c in ("key", "e"))
+        bucket = ranges.bucket_of(key, rep)
+        order = np.lexsort((key, bucket))
+        bucket, key, rep = bucket[order], key[order], rep[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
         for a, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             payload = postings.squeeze(np.diff(key[a:z], prepend=np.uint64(0)), rep[a:z])
@@ -194,7 +197,7 @@ def shared_suffixes(documents: DataFrame, check: int | None = None) -> tuple[Dat
 
 def covered_suffixes(shared: DataFrame) -> DataFrame:
     """The evaluation suffixes among them, by record and place."""
-    covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, bucket int, key bigint, place bigint, df bigint")
+    covered = shared.where(F.col("kind") == EVAL).mapInArrow(_open_eval, "e bigint, n int, key bigint, place int, df int")
     return covered.repartition("e").sortWithinPartitions("e", "place")
 
 

@@ -94,7 +94,7 @@ def test_suffixes_are_sorted_words():
 
 def test_spans_and_coverage():
     """Record 1 has 5 of 9 sequences in two spans and probes with its rarest one; record 2 has too few."""
-    rows = {"e": [1] * 5 + [2], "place": [0, 1, 2, 7, 8, 4], "n": [9] * 6, "df": [5, 4, 1, 3, 9, 1], "bucket": [0] * 6, "key": [7] * 6}
+    rows = {"e": [1] * 5 + [2], "place": [0, 1, 2, 7, 8, 4], "n": [9] * 6, "df": [5, 4, 1, 3, 9, 1], "key": [7] * 6}
     first, length = overlap.spans(np.array(rows["e"]), np.array(rows["place"]))
     assert first.tolist() == [0, 3, 5] and length.tolist() == [10, 9, 8]
     table = pa.table(rows)
