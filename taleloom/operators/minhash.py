@@ -182,7 +182,9 @@ def curate(documents: DataFrame, filters=None, near_duplicate_threshold: float |
     given = documents.where(F.col("text").isNotNull()).select(F.col(order).alias("doc_id"), "text")
     first = C.exact_dedup(given).select("doc_id")
     reason = C.reject_reason(F.col("text"), filters or C.QualityFilters())
-    judged = cut(given.join(first, "doc_id", "left_semi").select("doc_id", reason.alias("reason")))
+    # Judged where the texts lie, before they meet the first ones.
+    every = spread(given, "doc_id").select("doc_id", reason.alias("reason"))
+    judged = cut(every.join(first, "doc_id", "left_semi"))
     passed = given.join(judged.where(F.col("reason").isNull()), "doc_id", "left_semi")
     stages = [("input", given), ("exact_duplicates", judged), ("quality", judged.where(F.col("reason").isNull()))]
     kept = passed

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taleloom.operators import curate, minhash
 from taleloom.operators.components import components
-from taleloom.session import read_table
+from taleloom.session import read_table, spread
 
 PERMS, BANDS, THRESHOLD = 32, 8, 0.8
 
@@ -18,7 +18,8 @@ _CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    """The documents, in enough partitions for work on whole texts; large inputs have them anyway."""
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
