@@ -78,7 +78,7 @@ class Ranges:
 
 def check_bits(buckets: int) -> int:
     """The longer the array, the more, so that sequences are told apart as well at any size."""
-    return min(64 - DEPTH * CLASS_BITS, 10 + int(buckets).bit_length())
+    return min(64 - DEPTH * CLASS_BITS, 8 + int(buckets).bit_length())
 
 
 def suffixes(texts: list[str | None], check: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
