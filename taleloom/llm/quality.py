@@ -47,6 +47,8 @@ HALF = 0.5
 CLEAR = 0.9
 REFERENCE_WORDS = 20
 OUTLYING = 0.05
+#: Scores are summed up in whole numbers of this part of one, so that the order of adding does not matter.
+UNITS = 1e9
 #: In a looping phrase most triples of words recur; sentences of one pattern with other words in it are running text.
 SUSPECT_DISTINCT = 0.7
 #: Words up to this frequency, or the root of the length, meet by pairs of places; the others by a transform each.
@@ -242,7 +244,7 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     tail = F.when(side < 0, low).when(side > 0, high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
     scores = (
         own.join(ranks.select("part", "value", tail.alias("tail")).hint("merge"), ["part", "value"])
-        .groupBy("row").agg((-F.sum(F.round(F.ln("tail"), 9).cast("decimal(20,9)"))).cast("double").alias("score"))
+        .groupBy("row").agg((F.sum(F.round(F.ln("tail") * -UNITS).cast("bigint")) / UNITS).alias("score"))
     )
     numbered = marked.withColumn("row", F.monotonically_increasing_id())
     return numbered.join(scores.hint("merge"), "row", "left").drop("row").withColumn("score", F.coalesce("score", F.lit(0.0)))
