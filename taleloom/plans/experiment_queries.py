@@ -168,13 +168,15 @@ def _whole_groups(spark, sf_dir):
     return runs.seed_groups(_runs(spark, sf_dir), group_by="rung", strip_seed_suffix=False)
 
 
-def _compared(groups):
+def _compared(groups, tasks=None):
+    """Every two groups; with ``tasks`` they are dealt out to so many, as large groups take seconds a pair."""
     sides = [groups.select(*[F.col(c).alias(f"{c}_{s}") for c in ("label", "mean", "std", "values")]) for s in "ab"]
-    return expstats.compare(sides[0].join(sides[1], F.col("label_a") < F.col("label_b")))
+    pairs = sides[0].join(sides[1], F.col("label_a") < F.col("label_b"))
+    return expstats.compare(pairs.repartition(tasks) if tasks else pairs)
 
 
-def _p_values(groups):
-    return _rounded(_compared(groups).select("label_a", "label_b", "p_value", "min_p"), "p_value", "min_p")
+def _p_values(groups, tasks=None):
+    return _rounded(_compared(groups, tasks).select("label_a", "label_b", "p_value", "min_p"), "p_value", "min_p")
 
 
 def _verdicts(groups):
@@ -190,7 +192,7 @@ def verdicts(spark, sf_dir):
 
 
 def permutation_whole(spark, sf_dir):
-    return _p_values(_whole_groups(spark, sf_dir))
+    return _p_values(_whole_groups(spark, sf_dir), spark.sparkContext.defaultParallelism)
 
 
 def verdicts_whole(spark, sf_dir):

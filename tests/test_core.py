@@ -4,6 +4,9 @@ import json
 import math
 import random
 import socket
+import statistics
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -331,6 +334,54 @@ def test_whole_groups_are_compared(spark, tmp_path):
     assert all(abs(d - (sum(groups[y]) / len(groups[y]) - sum(groups[x]) / len(groups[x]))) < 1e-6 for (x, y), d in difference.items())
 
 
+def many_runs(spark, folder, sizes=(8000, 8100, 7900), shifts=(0, 0.005, 0.3), spread=0.2):
+    """Rungs a, b and c of thousands of runs, as a table; their values."""
+    rng = random.Random(5)
+    groups = {r: [rng.gauss(2 + shift, spread) for _ in range(n)] for r, n, shift in zip("abc", sizes, shifts, strict=True)}
+    rows = [(f"{r}-s{i}", r, i % 5, v) for r, values in groups.items() for i, v in enumerate(values)]
+    frame(spark, rows, "name string, rung string, seed long, best_bpb double").write.parquet(f"{folder}/runs.parquet")
+    return groups
+
+
+def test_large_groups_are_split_in_time(spark, tmp_path):
+    """All runs and 20,000 random splits also of groups whose shuffles would take minutes (290 s here)."""
+    groups, began = many_runs(spark, tmp_path), time.monotonic()
+    got = {(r["label_a"], r["label_b"]): r["p_value"] for r in experiment_queries.permutation_whole(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60 and set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (x, y), p in got.items():
+        gap = statistics.fmean(groups[x]) - statistics.fmean(groups[y])
+        error = statistics.stdev(groups[x] + groups[y]) * (1 / len(groups[x]) + 1 / len(groups[y])) ** 0.5
+        assert abs(p - math.erfc(abs(gap) / error / 2**0.5)) < 0.015
+    assert 0.02 < got["a", "b"] < 0.98 and got["b", "c"] == 0
+
+
+def test_random_masks_are_sets_of_equal_chance():
+    for total, size in ((10, 5), (9, 2), (8, 4), (66, 2), (11, 1), (70, 69)):
+        masks = expstats._masks(np.random.default_rng(1), total, size, 100_000)
+        bits = np.unpackbits(masks, axis=1, bitorder="little")
+        assert (bits.sum(1) == size).all() and not bits[:, total:].any()
+        found, sets = Counter(map(bytes, masks)), math.comb(total, size)
+        each = 100_000 / sets
+        assert len(found) == sets and abs(sum((n - each) ** 2 / each for n in found.values()) - (sets - 1)) < 4 * (2 * sets) ** 0.5
+    for total, size in ((5000, 2500), (5000, 2), (5001, 40), (4999, 1700)):
+        assert (np.unpackbits(expstats._masks(np.random.default_rng(2), total, size, 300), axis=1).sum(1) == size).all()
+
+
+def test_masks_and_shuffles_agree(monkeypatch):
+    """A test by masks is near that by shuffles; values that are no numbers or infinite count alike."""
+    rng = random.Random(7)
+    few = lambda n, more: [rng.random() + more for _ in range(n)]
+    cases = [(few(30, 0), few(50, 0.1)), (few(200, 0.02), few(90, 0)), (few(5, 0.4), few(500, 0)), ([1.0] * 40, [1.0] * 60), (few(40, 0) + [math.inf], few(60, 0)), (few(40, 0), few(60, 0) + [math.nan])]
+    by_shuffles = [expstats.permutation_p(a, b) for a, b in cases]
+    monkeypatch.setattr(expstats, "SHUFFLED", 0)
+    monkeypatch.setattr(expstats, "HELD", 10_000)
+    monkeypatch.setattr(expstats, "GROUPS", 3)
+    by_masks = [expstats.permutation_p(a, b) for a, b in cases]
+    assert all(abs(p - q) < 0.02 for p, q in zip(by_shuffles, by_masks, strict=True)) and by_masks[3] == 1 and by_masks[5] == 0
+    assert [expstats.permutation_p(a, b) for a, b in cases] == by_masks
+    assert expstats.permutation_p([1, 2, 3, 4, 5], [11, 12, 13, 14, 15]) == 2 / 252
+
+
 def test_sweep_has_all_sizes(spark, tmp_path):
     """The reference's six sizes; a larger vocabulary needs no more tokens."""
     rng = random.Random(6)
