@@ -179,8 +179,8 @@ def _p_values(groups, tasks=None):
     return _rounded(_compared(groups, tasks).select("label_a", "label_b", "p_value", "min_p"), "p_value", "min_p")
 
 
-def _verdicts(groups):
-    return _rounded(_compared(groups).select("label_a", "label_b", "difference", "effect", "winner", "verdict"), "difference", "effect")
+def _verdicts(groups, tasks=None):
+    return _rounded(_compared(groups, tasks).select("label_a", "label_b", "difference", "effect", "winner", "verdict"), "difference", "effect")
 
 
 def permutation_exact(spark, sf_dir):
@@ -196,7 +196,7 @@ def permutation_whole(spark, sf_dir):
 
 
 def verdicts_whole(spark, sf_dir):
-    return _verdicts(_whole_groups(spark, sf_dir))
+    return _verdicts(_whole_groups(spark, sf_dir), spark.sparkContext.defaultParallelism)
 
 
 def _cells(spark, sf_dir, parity=None):

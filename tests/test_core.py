@@ -355,6 +355,17 @@ def test_large_groups_are_split_in_time(spark, tmp_path):
     assert 0.02 < got["a", "b"] < 0.98 and got["b", "c"] == 0
 
 
+def test_verdicts_on_large_groups_in_time(spark, tmp_path):
+    """Effects, winners and verdicts over all runs, beside a group of two runs (190 s by shuffles)."""
+    groups, began = many_runs(spark, tmp_path, (8000, 8100, 2), (0, 0.3, 0.3)), time.monotonic()
+    got = {(r["label_a"], r["label_b"]): r for r in experiment_queries.verdicts_whole(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60 and set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (x, y), row in got.items():
+        gap, most = statistics.fmean(groups[y]) - statistics.fmean(groups[x]), max(statistics.stdev(groups[x]), statistics.stdev(groups[y]))
+        assert abs(row["difference"] - gap) < 2e-6 and abs(row["effect"] - abs(gap) / most) < 2e-6 and row["winner"] == (x if gap > 0 else y)
+    assert [got[k]["verdict"] for k in (("a", "b"), ("a", "c"), ("b", "c"))] == ["better", "not significant", "below the noise floor"]
+
+
 def test_random_masks_are_sets_of_equal_chance():
     for total, size in ((10, 5), (9, 2), (8, 4), (66, 2), (11, 1), (70, 69)):
         masks = expstats._masks(np.random.default_rng(1), total, size, 100_000)
