@@ -378,6 +378,15 @@ def test_random_masks_are_sets_of_equal_chance():
         assert (np.unpackbits(expstats._masks(np.random.default_rng(2), total, size, 300), axis=1).sum(1) == size).all()
 
 
+def test_splits_are_those_of_shuffles():
+    """Draw by draw what the reference's seeded shuffles give."""
+    for total, first in ((30, 12), (65, 64), (257, 100)):
+        lot, deck = random.Random(0), list(range(total))
+        for row in expstats._splits(total, first, 50):
+            lot.shuffle(deck)
+            assert row.tolist() == deck[:first]
+
+
 def test_masks_and_shuffles_agree(monkeypatch):
     """A test by masks is near that by shuffles; values that are no numbers or infinite count alike."""
     rng = random.Random(7)
